@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing
+from lodestar.llm import decontamination, mixing, pii
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark, sf_dir):
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_pii": (op3_pii, None),
     "op5_mixing": (op5_mixing, mixing.ORACLE_SQL),
+    "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
 }

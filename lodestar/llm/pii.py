@@ -55,7 +55,7 @@ def _digits(value: Column) -> Column:
 
 def luhn(value: Column) -> Column:
     """12 to 19 digits whose Luhn sum is divisible by ten."""
-    d = F.transform(F.split(F.reverse(_digits(value)), "(?!^)"), lambda x: x.cast("int"))
+    d = F.transform(F.split(F.reverse(_digits(value)), "(?<=[0-9])(?=[0-9])"), lambda x: x.cast("int"))
     one = F.transform(d, lambda x, i: F.when(i % 2 == 0, x).when(x > 4, 2 * x - 9).otherwise(2 * x))
     return F.length(_digits(value)).between(12, 19) & (F.aggregate(one, F.lit(0), lambda a, x: a + x) % 10 == 0)
 

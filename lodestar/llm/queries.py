@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, mixing, pii
+from lodestar.llm import decontamination, mixing, pii, substring_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op3_pii(spark, sf_dir):
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op9_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op3_pii": (op3_pii, None),
+    "op4_substring_dedup": (op4_substring_dedup, substring_dedup.ORACLE_SQL),
     "op5_mixing": (op5_mixing, mixing.ORACLE_SQL),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
 }

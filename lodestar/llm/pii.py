@@ -126,7 +126,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: flo
     terms = joint.select("term").distinct()
     terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
     every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    held = every.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    held = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")  # counted first: the join sees a term once
     total = docs.agg(F.count("*").alias("d"))
     p = F.col("n_te") / F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
     info = F.log2(F.greatest(F.col("d"), F.col("n_e")) / F.col("n_e"))

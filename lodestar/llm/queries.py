@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, mixing, pii, substring_dedup
+from lodestar.llm import decontamination, mixing, pii, simhash, substring_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +21,10 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix_table(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,5 +33,6 @@ QUERIES = {
     "op3_pii": (op3_pii, None),
     "op4_substring_dedup": (op4_substring_dedup, substring_dedup.ORACLE_SQL),
     "op5_mixing": (op5_mixing, mixing.ORACLE_SQL),
+    "op6_simhash": (op6_simhash, None),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
 }

@@ -38,8 +38,9 @@ WINDOW, ROUNDS, LEAST = 13, 4, 3
 CHUNK = 8 << 20
 LAST = np.iinfo(np.int64).max
 _FAR = 1 << 28
-SENT = "pid int, doc_id long, mark int, data binary"
-MARKS = "doc_id long, mark int, data binary"
+SENT = "pid int, settled boolean, data binary"
+HOMES = "home int, data binary"
+MARKS = "id long, mark int, marks binary"
 _SEGMENT = np.dtype([("key", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("rel", "u1"), ("n", "u1")])
 
 
@@ -112,18 +113,40 @@ def choose(anchors: tuple[np.ndarray, ...], n: int, window: int = WINDOW) -> np.
     return at
 
 
-def _starts_to_ranges(doc: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(doc number, pairs first and count of consecutive window starts), sorted input."""
+def _pack(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
+    """Ranges of window starts, one entry a range: its document, first start and number."""
+    return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in ((ids, "<i8"), (marks, "<i4"), (first, "<u4"), (count, "<u4")))
+
+
+def _unpack_marks(packs: list[bytes]) -> list[np.ndarray]:
+    parts = []
+    for data in packs:
+        n, out, at = len(data) // 20, [], 0
+        for t in ("<i8", "<i4", "<u4", "<u4"):
+            out.append(np.frombuffer(data, t, n, at))
+            at += out[-1].nbytes
+        parts.append(out)
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def _ranges(doc: np.ndarray, at: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Consecutive window starts (sorted by document and place) as ranges for ``_pack``."""
     if not len(doc):
-        return
+        return ids[:0], marks[:0], at[:0], at[:0]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
-    pairs = np.stack([at[head], np.diff(np.append(head, len(doc)))], 1).astype("<u4")
-    d = doc[head]
-    cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-    for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
-        yield int(d[a]), pairs[a:b].tobytes()
+    return ids[doc[head]], marks[doc[head]], at[head], np.diff(np.append(head, len(doc)))
+
+
+def _by_home(ranges: tuple[np.ndarray, ...], parts: int) -> Iterator[tuple[int, bytes]]:
+    """One pack for each share of the documents that has any."""
+    home = (mix64(ranges[0].view(np.uint64), 8) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    bound = np.searchsorted(home[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(bound)).tolist():
+        own = order[bound[k] : bound[k + 1]]
+        yield k, _pack(*(x[own] for x in ranges))
 
 
 def _send(parts: int, window: int):
@@ -156,8 +179,7 @@ def _send(parts: int, window: int):
         later[o] = ids[doc[o]] > np.repeat(first, np.diff(np.append(np.flatnonzero(new), len(o))))
         rows: list[tuple] = []
         q = np.flatnonzero(later)
-        for d, data in _starts_to_ranges(doc[q], q - w.first[doc[q]]):
-            rows.append((int(ids[d]) % parts, int(ids[d]), int(marks[d]), data))
+        rows += [(k, True, data) for k, data in _by_home(_ranges(doc[q], q - w.first[doc[q]], ids, marks), parts)]
 
         p = np.flatnonzero(valid & ~later)
         a = anchor[p]
@@ -178,10 +200,10 @@ def _send(parts: int, window: int):
                 used, s["doc"] = np.unique(s["doc"], return_inverse=True)
                 at = np.repeat(head[own] - np.append(0, np.cumsum(s["n"][:-1], dtype=np.int64)), s["n"]) + np.arange(int(s["n"].sum()))
                 data = [np.array([len(s), len(used)], "<u8"), *(s[c] for c in _SEGMENT.names), ids[used], marks[used], check[p[at]]]
-                rows.append((k, None, None, b"".join(np.ascontiguousarray(x).tobytes() for x in data)))
+                rows.append((k, False, b"".join(np.ascontiguousarray(x).tobytes() for x in data)))
         for i in range(0, len(rows), 64):
             cols = list(zip(*rows[i : i + 64], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["pid", "doc_id", "mark", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["pid", "settled", "data"])
 
     def run(batches):
         for batch in pieces(batches, "text", CHUNK):
@@ -200,12 +222,18 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """The records of a share of the names -> the windows that a smaller id has too."""
-    rows: list[tuple] = []
+    """The records of a share of the names -> packs of the windows that a smaller id has too.
+
+    Packs that a task settled by itself come along under the share of their documents.
+    """
+    total = len(table) and table["parts"][0].as_py()
+    ranges: list[tuple[np.ndarray, ...]] = []
+    settled = [data.as_py() for s, data in zip(table["settled"].to_pylist(), table["data"], strict=True) if s]
+    if settled:
+        ranges.append(tuple(_unpack_marks(settled)))
     docs, marks, parts, base = [], [], [], 0
-    for d, m, data in zip(table["doc_id"].to_pylist(), table["mark"].to_pylist(), table["data"], strict=True):
-        if d is not None:
-            rows.append((d, m, data.as_py()))
+    for s, data in zip(table["settled"].to_pylist(), table["data"], strict=True):
+        if s:
             continue
         key, doc, at, rel, n, ids, mark, check = _unpack(data.as_buffer())
         parts.append((np.repeat(key, n), np.repeat(doc + np.uint32(base), n), at, rel, n, check))
@@ -234,10 +262,19 @@ def _decide(table: pa.Table) -> pa.Table:
         hit = order[own > np.repeat(least, np.diff(np.append(head, len(order))))]
         del key, tail, order, own
         hit = hit[np.lexsort((at[hit], doc[hit]))]
-        for d, data in _starts_to_ranges(doc[hit], at[hit]):
-            rows.append((int(ids[d]), int(marks[d]), data))
-    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "mark", "data"])
+        ranges.append(_ranges(doc[hit], at[hit], ids, marks))
+    rows = list(_by_home(tuple(np.concatenate(x) for x in zip(*ranges, strict=True)), total)) if ranges else []
+    return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["home", "data"])
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """Packs of a share of the documents -> one row a document."""
+    ids, marks, first, count = _unpack_marks([x.as_py() for x in table["data"]])
+    order = np.lexsort((marks, ids))
+    ids, marks, pairs = ids[order], marks[order], np.stack([first, count], 1)[order]
+    head = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))
+    data = [pairs[a:b].tobytes() for a, b in zip(head, np.append(head[1:], len(ids)), strict=True)]
+    return pa.table([pa.array(ids[head]), pa.array(marks[head]), pa.array(data, pa.binary())], ["id", "mark", "marks"])
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -251,8 +288,8 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.hash(t).alias("mark"), t.alias("text"))
     sent = d.select(F.col("id").alias("doc_id"), "mark", "text").mapInArrow(_send(parts, window), SENT)
-    marks = sent.groupBy("pid").applyInArrow(_decide, MARKS)
-    return d, marks.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.collect_list("data").alias("marks"))
+    homes = sent.withColumn("parts", F.lit(parts)).groupBy("pid").applyInArrow(_decide, HOMES)
+    return d, homes.groupBy("home").applyInArrow(_gather, MARKS)
 
 
 def _kept(window: int, texts: bool):
@@ -265,7 +302,7 @@ def _kept(window: int, texts: bool):
                 n_words.append(len(words))
                 if marks:
                     drop = np.zeros(len(words) + 1, np.int32)
-                    for first, count in np.concatenate([np.frombuffer(m, "<u4").reshape(-1, 2) for m in marks]).astype(np.int64):
+                    for first, count in np.frombuffer(marks, "<u4").reshape(-1, 2).astype(np.int64):
                         drop[first] += 1
                         drop[first + count + window - 1] -= 1
                     keep = np.flatnonzero(np.cumsum(drop[:-1]) == 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, mixing, pii, simhash, substring_dedup
+from lodestar.llm import decontamination, langid, mixing, pii, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -25,14 +25,24 @@ def op6_simhash(spark, sf_dir):
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_langid(spark, sf_dir):
+    return langid.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_pii": (op3_pii, None),
     "op4_substring_dedup": (op4_substring_dedup, substring_dedup.ORACLE_SQL),
     "op5_mixing": (op5_mixing, mixing.ORACLE_SQL),
     "op6_simhash": (op6_simhash, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
+    "op10_langid": (op10_langid, None),
 }

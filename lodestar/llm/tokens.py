@@ -12,6 +12,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words of letters, digits and non-ASCII characters.
+MARKS = np.zeros(256, bool)
+MARKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Any odd number with well spread bits makes a hash base modulo 2^64.
@@ -95,18 +98,18 @@ def _merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts.
+    """The words of a batch of texts, ``[^\\x20\\x09-\\x0D]+`` unless other ``breaks`` are given.
 
     ``start``/``end`` are byte positions in ``data``; the words of text i are
     numbers ``first[i]`` to ``first[i + 1]``.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
         data, offsets = utf8(column)
         self.data, self.offsets = (_LOWER[data] if lower else data), offsets
         n = len(data)
         space = np.ones(n + 1, bool)
-        space[1:] = _SPACE[data]  # space[i + 1] is byte i
+        space[1:] = breaks[data]  # space[i + 1] is byte i
         edge = space[:-1].copy()
         edge[offsets[:-1][offsets[:-1] < n]] = True
         self.start = np.flatnonzero(edge & ~space[1:])
@@ -117,21 +120,29 @@ class Words:
         self.end = np.flatnonzero(last & ~space[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of its bytes, then mixed."""
-        out = np.zeros(len(self.start), np.uint64)
-        size = (self.end - self.start).astype(np.uint64)
+    def hashes(self, *prefixes: int) -> np.ndarray:
+        """A 64-bit hash of each word: a polynomial of its bytes, then mixed.
+
+        With ``prefixes``, one row for the words and one for each prefix of so
+        many bytes (for shorter words the word's own hash).
+        """
+        size = self.end - self.start
+        to = [self.end, *(self.start + np.minimum(size, k) for k in prefixes)]
+        out = np.zeros((len(to), len(size)), np.uint64)
         i = 0
-        while i < len(out):
+        while i < len(size):
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + _BLOCK, "right")))
             base, part = self.start[i], self.data[self.start[i] : self.end[j - 1]]
             up, down = _powers(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=total[1:])
             at = self.start[i:j] - base
-            out[i:j] = (total[self.end[i:j] - base] - total[at]) * down[at]
+            for row, end in zip(out, to, strict=True):
+                row[i:j] = (total[end[i:j] - base] - total[at]) * down[at]
             i = j
-        return mix64(out ^ (size << np.uint64(52)))
+        for row, end in zip(out, to, strict=True):
+            row[:] = mix64(row ^ ((end - self.start).astype(np.uint64) << np.uint64(52)))
+        return out if prefixes else out[0]
 
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
@@ -148,3 +159,10 @@ def windows(names: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
         out *= np.uint64(_BASE)
         out += x[k : k + m]
     return mix64(out, salt)
+
+
+def codepoints(data: np.ndarray) -> np.ndarray:
+    """``[i]``: characters before byte i, for byte positions 0 to len(data)."""
+    out = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+    return out

@@ -26,6 +26,8 @@ from lodestar.session import small_batches
 SAMPLE, FEATURE_BITS, THRESHOLD = 8_000, 18, 0.3
 #: A word counts as itself and as its first so many bytes.
 PREFIXES = (5, 6, 7, 8)
+#: Features that take part in fitting: those whose share of documents differs most by label.
+SCREEN = 1024
 CHUNK = 4 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -69,29 +71,49 @@ class Bags:
         return -np.expm1(-np.bincount(self.of, np.logaddexp(0, z), self.n))
 
 
-def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, support: int = 5) -> Model:
+def _pairs(bags: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentence, feature) of each occurrence, and the document of each sentence."""
+    n = len(bags.head)
+    at = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(bags.head, bags.feature.shape[1])))
+    sentence = np.concatenate([at[own] for own in bags.own])
+    return sentence, np.concatenate([f[own] for f, own in zip(bags.feature, bags.own, strict=True)]).astype(np.int32), bags.of
+
+
+def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, support: int = 5, screen: int = SCREEN) -> Model:
     """Adam with soft thresholding (most features get weight zero); without both labels a constant model."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0)
-    bags = Bags(pa.array(texts, pa.string()), bits)
-    n_s = len(bags.head)
-    sentence_of = np.repeat(np.arange(n_s), np.diff(np.append(bags.head, bags.feature.shape[1])))
-    sentence = np.concatenate([sentence_of[own] for own in bags.own])
-    feature = np.concatenate([f[own] for f, own in zip(bags.feature, bags.own, strict=True)])
-    # rare features cannot be told from chance
-    in_doc = np.unique((feature << 24) | bags.of[sentence])
-    common = np.bincount(in_doc >> 24, minlength=1 << bits) >= support
-    sentence, feature = sentence[common[feature]], feature[common[feature]]
+    # in parts, so that memory is that of a part and of what screening leaves
+    parts = range(0, len(texts), 256)
+    seen = np.zeros((2, 1 << bits))
+    for i in parts:
+        sentence, feature, of = _pairs(Bags(pa.array(texts[i : i + 256], pa.string()), bits))
+        in_doc = np.unique(of[sentence].astype(np.int64) << bits | feature)
+        for label in (0, 1):
+            seen[label] += np.bincount(in_doc[y[i : i + 256][in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
+    rate_0, rate_1 = seen[0] / (y == 0).sum(), seen[1] / (y == 1).sum()
+    spread = np.sqrt((seen.sum(0) + 1) / len(y))
+    tells = np.abs(rate_1 - rate_0) / spread * (seen.sum(0) >= support)
+    chosen = np.zeros(1 << bits, bool)
+    chosen[np.argsort(-tells, kind="stable")[:screen]] = True
+    chosen &= tells > 0
+    kept, n_s = [], 0
+    for i in parts:
+        sentence, feature, of = _pairs(Bags(pa.array(texts[i : i + 256], pa.string()), bits))
+        own = chosen[feature]
+        kept.append((sentence[own] + n_s, feature[own], of + i))
+        n_s += len(of)
+    sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
     used, feature = np.unique(feature, return_inverse=True)
     theta = np.zeros(len(used) + 1)
     theta[-1] = np.log(y.mean() / max(n_s / len(y), 1))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
         z = theta[-1] + np.bincount(sentence, theta[feature], n_s)
-        s = np.bincount(bags.of, np.logaddexp(0, z), bags.n)
+        s = np.bincount(of, np.logaddexp(0, z), len(y))
         to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
-        g_z = to_s[bags.of] / (1 + np.exp(-np.clip(z, -500, 500)))
+        g_z = to_s[of] / (1 + np.exp(-np.clip(z, -500, 500)))
         grad = np.append(np.bincount(feature, g_z[sentence], len(used)), g_z.sum())
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontamination, langid, lm_scoring, mixing, pii, simhash, substring_dedup, toxicity
+from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, pii, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -29,6 +29,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark, sf_dir):
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_substring_dedup": (op4_substring_dedup, substring_dedup.ORACLE_SQL),
     "op5_mixing": (op5_mixing, mixing.ORACLE_SQL),
     "op6_simhash": (op6_simhash, None),
+    "op7_ann": (op7_ann, None),
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
     "op10_langid": (op10_langid, None),

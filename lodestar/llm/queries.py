@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, pii, simhash, substring_dedup, toxicity
+from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, pii, secret_scan, simhash, substring_dedup, toxicity
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secret_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark, sf_dir):
     return lm_scoring.report(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_langid(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_secret_scan": (op1_secret_scan, None),
     "op2_lm_scoring": (op2_lm_scoring, None),
     "op3_pii": (op3_pii, None),
     "op4_substring_dedup": (op4_substring_dedup, substring_dedup.ORACLE_SQL),

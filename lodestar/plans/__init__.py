@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
+FAMILIES = ("business",)
+
 
 def load_queries() -> dict:
     """All registered queries, in order of registration."""
+    for family in FAMILIES:
+        importlib.import_module(f"lodestar.plans.{family}")
     from lodestar.registry import QUERIES
 
     return QUERIES

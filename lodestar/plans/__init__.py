@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business",)
+FAMILIES = ("business", "monitoring")
 
 
 def load_queries() -> dict:

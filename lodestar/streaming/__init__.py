@@ -1 +1 @@
-"""Lodestar: streaming."""
+"""Structured Streaming forms of the monitoring operators."""

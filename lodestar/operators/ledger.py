@@ -42,8 +42,5 @@ def run_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def eligible(offers: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Adds ``reason``: the first rule (reason, SQL condition to pass) that fails, null if none."""
-    reason = F
-    for name, condition in rules:
-        test = F.when(~F.coalesce(F.expr(condition), F.lit(False)), name)
-        reason = test if reason is F else F.coalesce(reason, test)
-    return offers.withColumn("reason", F.lit(None).cast("string") if reason is F else reason)
+    tests = [F.when(~F.coalesce(F.expr(condition), F.lit(False)), name) for name, condition in rules]
+    return offers.withColumn("reason", F.coalesce(*tests, F.lit(None).cast("string")))

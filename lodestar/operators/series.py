@@ -39,14 +39,15 @@ def long_form(wide: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def phase(seconds: Column, window) -> Column:
-    """Circular mean of seconds within a minute over a window."""
+    """Circular mean of seconds within a minute over a window; null where they cancel out."""
     rad = seconds * 6.283185307179586 / 60
-    return F.pmod(F.atan2(F.sum(F.sin(rad)).over(window), F.sum(F.cos(rad)).over(window)) * 60 / 6.283185307179586 + 60, F.lit(60.0))
+    y, x = F.sum(F.sin(rad)).over(window), F.sum(F.cos(rad)).over(window)
+    return F.when(F.abs(x) + F.abs(y) > 1e-6, F.pmod(F.atan2(y, x) * 60 / 6.283185307179586 + 60, F.lit(60.0)))
 
 
-def aligned(df: DataFrame, ts: str, before: int = 5) -> DataFrame:
+def aligned(df: DataFrame, ts: str, keys: list[str], order: list[str], before: int = 5) -> DataFrame:
     """Adds ``phase`` of this and the last rows, and ``minute_key``: the minute whose phase-shifted middle is nearest."""
-    w = Window.orderBy(ts).rowsBetween(-before, 0)  # one feed is one clock
+    w = Window.partitionBy(*keys).orderBy(ts, *order).rowsBetween(-before, 0)  # each feed has its own clock
     out = df.withColumn("phase", phase(F.second(ts).cast("double"), w))
     return out.withColumn("minute_key", F.date_trunc("minute", F.expr(f"{ts} + make_dt_interval(0, 0, 0, 30.0 - phase)")))
 

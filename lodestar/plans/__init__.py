@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business", "monitoring")
+FAMILIES = ("business", "monitoring", "knowledge")
 
 
 def load_queries() -> dict:

@@ -355,9 +355,9 @@ def identity_coverage(spark, d):
     return coverage(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("j10_theta_multiply", "select p_partkey, k from part, lateral (select unnest(range(1, p_size + 1)) as k) where p_size <= 5")
+@query("j10_theta_multiply", "select p_partkey, k from part, lateral (select unnest(range(1, p_size + 1)) as k)")
 def theta_multiply(spark, d):
-    return table(spark, d, "part").where("p_size <= 5").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_size").cast("long"))).alias("k"))
+    return table(spark, d, "part").select("p_partkey", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_size").cast("long"))).alias("k"))
 
 
 @query("s20_daily_settlement", """select o_orderdate as day, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,4))) as double) as amount from orders where o_orderstatus = 'F' group by 1""".replace("o_orderdate as day", "date_trunc('day', o_orderdate) as day"))

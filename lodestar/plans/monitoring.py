@@ -57,11 +57,11 @@ def gap_detection(spark, d):
     return series.gaps(table(spark, d, "events").select("user_id", "ts"), "ts", ["user_id"], 86400)
 
 
-@query("wn6_circular_phase", f"""with r as (select event_id, ts, second(ts) * 6.283185307179586 / 60 as rad from events where user_id = 7),
-  p as (select event_id, ts, ((atan2(sum(sin(rad)) over w, sum(cos(rad)) over w) * 60 / 6.283185307179586 + 60) % 60 + 60) % 60 as phase from r window w as (order by ts rows between 5 preceding and current row))
+@query("wn6_circular_phase", f"""with r as (select event_id, user_id, ts, second(ts) * 6.283185307179586 / 60 as rad from events),
+  p as (select event_id, ts, case when abs(sum(sin(rad)) over w) + abs(sum(cos(rad)) over w) > 1e-6 then ((atan2(sum(sin(rad)) over w, sum(cos(rad)) over w) * 60 / 6.283185307179586 + 60) % 60 + 60) % 60 end as phase from r window w as (partition by user_id order by ts, event_id rows between 5 preceding and current row))
   select event_id, cast(floor(phase * 1000 + 0.5) as bigint) as phase_milli from p""")
 def circular_phase(spark, d):
-    a = series.aligned(table(spark, d, "events").where("user_id = 7").select("event_id", "ts"), "ts")
+    a = series.aligned(table(spark, d, "events").select("event_id", "user_id", "ts"), "ts", ["user_id"], ["event_id"])
     return a.select("event_id", F.floor(F.col("phase") * 1000 + 0.5).alias("phase_milli"))
 
 
@@ -84,10 +84,10 @@ def point_in_interval(spark, d):
     return intervals.point_in_interval(table(spark, d, "events").select("event_id", "ts"), "ts", incidents(spark, d), "start_ts", "end_ts").select("event_id", "incident")
 
 
-@query("j11_interval_overlap", f"with i as ({INCIDENTS_SQL}) select a.incident as a, b.incident as b from i a join i b on a.start_ts < b.end_ts and a.end_ts >= b.start_ts and a.incident < b.incident")
+@query("j11_interval_overlap", f"with i as ({INCIDENTS_SQL}) select a.incident as a, b.incident as b from i a join i b on a.start_ts < b.end_ts and a.end_ts + interval 12 hour >= b.start_ts and a.incident < b.incident")
 def interval_overlap(spark, d):
     i = incidents(spark, d)
-    a, b = i.select(F.col("incident").alias("a"), F.col("start_ts").alias("a0"), F.col("end_ts").alias("a1")), i.select(F.col("incident").alias("b"), F.col("start_ts").alias("b0"), F.col("end_ts").alias("b1"))
+    a, b = i.select(F.col("incident").alias("a"), F.col("start_ts").alias("a0"), F.expr("end_ts + interval 12 hours").alias("a1")), i.select(F.col("incident").alias("b"), F.col("start_ts").alias("b0"), F.col("end_ts").alias("b1"))
     return intervals.overlapping(a, b, ("a0", "a1"), ("b0", "b1")).where("a < b").select("a", "b")
 
 

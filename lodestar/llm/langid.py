@@ -27,6 +27,7 @@ from lodestar.llm.tokens import MARKS, pieces, utf8
 from lodestar.session import small_batches
 
 PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 300, 200, 256, 1e-2
+SALTS = 64
 BITS = (8, 12, 13, 13)  # of the hash of an n-gram, n = 1 to 4
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 CHUNK, ROWS = 2 << 20, 512
@@ -112,8 +113,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"))
     top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages)
     known = known.join(F.broadcast(top.select("label")), "label", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    known = known.withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "label")
+    known = known.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    # by salt first: however many tasks read the table, at most SALTS * per_language rows of a language meet
+    for keys in (("label", "salt"), ("label",)):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
+        known = known.withColumn("nth", nth).where(F.col("nth") <= per_language)
+    known = known.select("id", "label")
     return train(*sample_texts(docs, known, doc_id, text))
 
 

@@ -56,17 +56,18 @@ def distinct_customers(spark, d):
     return sales(spark, d).groupBy("nation").agg(F.countDistinct("c_custkey").alias("customers"), F.countDistinct(F.when(F.col("status") == "closed", F.col("o_orderkey"))).alias("closed_orders"))
 
 
-@query("j5_customers_without_orders", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("j5_customers_without_orders", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderpriority = '1-URGENT')")
 def customers_without_orders(spark, d):
     c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    o = o.where((F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT"))
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
 @query("j4_customers_with_urgent_orders", """select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey
-  and o_orderpriority like '1-%') and c_nationkey in (select n_nationkey from nation where n_name like 'A%')""")
+  and o_orderpriority like '1-%') and c_nationkey in (select n_nationkey from nation where n_regionkey = 1)""")
 def customers_with_urgent_orders(spark, d):
     c, o, n = (table(spark, d, t) for t in ("customer", "orders", "nation"))
-    o, n = o.where(F.col("o_orderpriority").like("1-%")), n.where(F.col("n_name").like("A%"))
+    o, n = o.where(F.col("o_orderpriority").like("1-%")), n.where(F.col("n_regionkey") == 1)
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").join(n, c["c_nationkey"] == n["n_nationkey"], "left_semi").select("c_custkey", "c_name")
 
 
@@ -373,7 +374,7 @@ def tuple_in(spark, d):
 
 
 @query("p1_p6_predicates", """select p_partkey, coalesce(nullif(p_size, 7), -1) as size, least(100, greatest(0, p_size * 3)) as capped, case when p_brand like '%2%' escape '!' then 'two' else 'other' end as kind
-  from part where p_size between 5 and 20 and p_retailprice >= 900 and p_retailprice < 1500 and regexp_matches(p_type, '(?i)brass|tin')""")
+  from part where p_size between 5 and 20 and p_retailprice >= 900 and p_retailprice < 1500 and regexp_matches(p_type, '(?i)promo|economy')""")
 def predicates(spark, d):
-    p = table(spark, d, "part").where(F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 900) & (F.col("p_retailprice") < 1500) & F.col("p_type").rlike("(?i)brass|tin"))
+    p = table(spark, d, "part").where(F.col("p_size").between(5, 20) & (F.col("p_retailprice") >= 900) & (F.col("p_retailprice") < 1500) & F.col("p_type").rlike("(?i)promo|economy"))
     return p.select("p_partkey", F.coalesce(F.nullif("p_size", F.lit(7)), F.lit(-1)).alias("size"), F.least(F.lit(100), F.greatest(F.lit(0), F.col("p_size") * 3)).alias("capped"), F.when(F.col("p_brand").like("%2%"), "two").otherwise("other").alias("kind"))

@@ -44,7 +44,7 @@ def marked_documents(texts: DataFrame) -> DataFrame:
     parts = texts.select("doc", F.filter(F.split("text", r"\n"), lambda s: F.regexp_like(s, F.lit(r"^\[[^:\]]+:[^\]]*\]$"))).alias("m"), F.regexp_replace("text", r"(?m)^\[[^:\]]+:[^\]]*\]$\n?", "").alias("body"))
     pair = lambda s: F.struct(F.lower(F.trim(F.regexp_extract(s, r"^\[([^:\]]+):", 1))).alias("k"), F.trim(F.regexp_extract(s, r":([^\]]*)\]$", 1)).alias("v"))
     meta = F.map_from_entries(F.transform("m", pair))
-    blocks = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda b: F.trim(b)), lambda b: b != "")
+    blocks = F.filter(F.transform(F.split("body", r"\n\s*\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
     return parts.select("doc", meta.alias("meta"), F.posexplode(blocks).alias("n", "block"))
 
 

@@ -2,17 +2,21 @@
 
 Protected entities are the e-mail addresses, IP addresses, card and phone
 numbers that the patterns find. Corpus co-occurrence then estimates how much a
-term standing near an entity reveals it: with n(e) the distinct contexts of
-entity e, n(t, e) those holding term t, n(t) the documents of the whole corpus
-holding t and D all documents,
+term reveals an entity. All counts are of distinct texts, so copies count once:
+with n(e) the texts that spell e out, n(t) those holding the term t, n(t, e)
+those holding both and D all of them,
 
-    P(e) = n(e) / D,   P(e|t) = n(t, e) / max(n(t), n(t, e)),
+    P(e) = n(e) / D,   P(e|t) = n(t, e) / n(t),
     disclosure(t, e) = log2(P(e|t) / P(e)),   information(e) = -log2 P(e).
 
-A term whose disclosure reaches ``alpha`` of the entity's information, in at
-least ``support`` distinct contexts, becomes a span of kind ``term``: it is
+Terms are whole words of letters, marks and digits outside the pattern spans. A
+term whose disclosure reaches ``alpha`` of the entity's information becomes a
+span of kind ``term`` wherever it occurs, in texts without the entity too: it is
 removed where P(e|t) is at least ``remove_at``, else generalised to a class.
-Copies of one text count as one context, so copying alone proves nothing.
+An estimate needs ``support`` distinct surroundings of the entity, each in a
+text that holds the term or with the term within ``reach`` characters; near
+copies share their surroundings, so copying alone proves nothing. An entity
+with fewer surroundings than that has no estimate.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"(?<!\p{L})\p{L}{4,}+"
+# a whole word that no pattern span (masked by NUL) touches
+TERM = r"(?<![\p{L}\p{M}\p{N}\x00])[\p{L}\p{M}\p{N}]++(?!\x00)"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 REACH = 80
 BROADCAST_TERMS = 500_000
@@ -101,44 +106,96 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(t: Column) -> Column:
+    """The text with NUL for each character of its pattern spans."""
+    nul = F.lit("\0")
+
+    def step(acc, s):
+        gap = F.substring(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        fill = F.repeat(nul, F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(gap, fill)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    masked = F.aggregate("base", zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""))
+    return F.when(F.size("base") > 0, masked).otherwise(t)
+
+
+def _words(masked: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def _term_spans(masked: Column, puts: Column) -> Column:
+    """Spans of the words that ``puts`` (lower-case term -> replacement) holds."""
+    m = F.regexp_extract_all(masked, F.lit(TERM), F.lit(0))
+    kind = "array<struct<start:int,k:int,end:int,value:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc, pair):
+        start = acc["at"] + F.length(pair["piece"])
+        end = start + F.length(pair["match"])
+        put = F.try_element_at(puts, F.lower(pair["match"]))
+        span = F.array(F.struct(start.alias("start"), F.lit(4).alias("k"), end.alias("end"), put.alias("value"))).cast(kind)
+        return F.struct(end.alias("at"), F.when(put.isNotNull(), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.arrays_zip(F.slice(F.split(masked, TERM, -1), F.lit(1), F.size(m)).alias("piece"), m.alias("match"))
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: float = 0.8, support: int = 3, remove_at: float = 0.5, reach: int = REACH) -> DataFrame:
     """``doc_id, row_key, base, terms``: pattern spans and disclosing terms of each document.
 
     ``terms`` holds ``struct<start, k, end, value>`` whose value is the
     replacement: empty for removal, else the class that generalises the term.
     """
-    based = base_spans(docs, doc_id, text)
+    based = base_spans(docs, doc_id, text).withColumn("m", _masked(F.col("t")))
 
     def context(s):
         left, right = F.greatest(s["start"] - reach, F.lit(0)), s["end"] + reach
-        return F.struct(s["k"].alias("k"), s["value"].alias("value"), left.alias("l0"), F.substring(F.col("t"), left + 1, s["start"] - left).alias("l"), s["end"].alias("r0"), F.substring(F.col("t"), s["end"] + 1, right - s["end"]).alias("r"))
-
-    based = materialise(based.select("doc_id", "row_key", "base", F.transform("base", context).alias("near")), "pii-base")
-
-    spot = based.select("row_key", F.explode("near").alias("n")).select("row_key", F.concat_ws(":", F.col("n.k").cast("string"), F.lower("n.value")).alias("entity"), F.xxhash64("n.l", "n.r").alias("context"), F.explode(F.array(F.struct(F.col("n.l0").alias("at"), F.col("n.l").alias("s")), F.struct(F.col("n.r0").alias("at"), F.col("n.r").alias("s")))).alias("c"))
-    words = spot.select("row_key", "entity", "context", F.col("c.at").alias("at"), F.col("c.s").alias("s"), F.regexp_extract_all(F.col("c.s"), F.lit(TERM), F.lit(0)).alias("m"))
-    words = words.select("row_key", "entity", "context", "at", F.explode(located(F.col("s"), F.col("m"), TERM)).alias("w"))
-    words = materialise(words.select("row_key", "entity", "context", (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.lower("w.value").alias("term")), "pii-near")
-
-    joint = words.groupBy("entity", "term").agg(F.countDistinct("context").alias("n_te")).where(F.col("n_te") >= support)
-    alone = spot.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
-    joint = materialise(joint.join(alone, "entity"), "pii-joint")
-    terms = joint.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))).alias("term"))
-    held = every.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")  # counted first: the join sees a term once
-    total = docs.agg(F.count("*").alias("d"))
-    p = F.col("n_te") / F.greatest(F.coalesce("n_t", F.lit(0)), F.col("n_te"))
-    info = F.log2(F.greatest(F.col("d"), F.col("n_e")) / F.col("n_e"))
-    tells = joint.join(held, "term", "left").crossJoin(F.broadcast(total)).withColumn("p", p).where((F.log2("p") + info >= alpha * info) & (info > 0))
-    tells = tells.select("entity", "term", F.when(F.col("p") >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))
-
-    spans = words.join(tells, ["entity", "term"]).groupBy("row_key", "start", "end").agg(F.min("put").alias("put"))
-    spans = spans.groupBy(F.col("row_key").alias("k2")).agg(F.array_sort(F.collect_list(F.struct(F.col("start"), F.lit(4).alias("k"), F.col("end"), F.col("put").alias("value")))).alias("terms"))
-    out = based.drop("near").join(spans, based["row_key"] == spans["k2"], "left").drop("k2")
-    # a term inside a pattern span is covered by it
-    free = F.filter(F.coalesce("terms", F.array().cast(spans.schema["terms"].dataType)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.select("doc_id", "row_key", "base", free.alias("terms"))
+        # the character before and after the reach shows whether its outer words are whole
+        around = F.xxhash64(F.substring(F.col("t"), left + 1, s["start"] - left), F.substring(F.col("t"), s["end"] + 1, right - s["end"]))
+        wide = F.greatest(left - 1, F.lit(0))
+        l, r = F.substring(F.col("m"), wide + 1, s["start"] - wide), F.substring(F.col("m"), s["end"] + 1, right + 1 - s["end"])
+        l = F.when(left > 0, F.regexp_replace(l, r"^[\p{L}\p{M}\p{N}]+", " ")).otherwise(l)
+        r = F.when(F.length(r) > reach, F.regexp_replace(r, r"[\p{L}\p{M}\p{N}]+\z", " ")).otherwise(r)
+        return F.struct(F.concat_ws(":", s["k"].cast("string"), F.lower(s["value"])).alias("entity"), around.alias("context"), F.concat(l, F.repeat(F.lit("\0"), s["end"] - s["start"]), r).alias("s"))
+
+    based = based.select("doc_id", "row_key", "base", "m", F.transform("base", context).alias("near"), F.xxhash64("t").alias("h"), F.length("t").alias("n"), F.monotonically_increasing_id().alias("uid"))
+    based = materialise(based, "pii-base")
+
+    # one row of each distinct text
+    copied = materialise(based.groupBy(F.col("h").alias("c_h"), F.col("n").alias("c_n")).agg(F.count("*").alias("copies"), F.min("uid").alias("first")).where("copies > 1"), "pii-copies")
+    texts = based.join(_few(copied.drop("copies")), (F.col("h") == F.col("c_h")) & (F.col("n") == F.col("c_n")), "left").where("first is null or first = uid").select("uid", "m", "near")
+    total = based.select("h", "n").distinct().agg(F.count("*").alias("d"))
+
+    spot = materialise(texts.select("uid", F.explode("near").alias("e")).select("uid", "e.entity", "e.context", "e.s"), "pii-near")
+    alone = spot.groupBy(F.col("entity").alias("a_entity")).agg(F.countDistinct("uid").alias("n_e"), F.countDistinct("context").alias("seen")).where(F.col("seen") >= support)
+    alone = materialise(alone.drop("seen"), "pii-entities")
+    spot = spot.join(_few(alone.select("a_entity")), F.col("entity") == F.col("a_entity"), "left_semi")
+
+    close = spot.select("entity", "context", F.explode(_words(F.col("s"))).alias("term"), F.lit(0).alias("whole"))
+    owned = spot.groupBy("uid", "entity").agg(F.min("context").alias("context")).groupBy(F.col("uid").alias("o_uid")).agg(F.collect_list(F.struct("entity", "context")).alias("own"))
+    held = texts.where(F.size("near") > 0).select("uid", "m").join(owned, F.col("uid") == F.col("o_uid")).select("own", F.explode(_words(F.col("m"))).alias("term"))
+    held = held.select(F.explode("own").alias("e"), "term").select("e.entity", "e.context", "term", F.lit(1).alias("whole"))
+    joint = held.unionByName(close).groupBy("entity", "term").agg(F.sum("whole").alias("n_te"), F.countDistinct("context").alias("seen")).where((F.col("seen") >= support) & (F.col("n_te") > 0))
+    joint = materialise(joint.join(alone, F.col("entity") == F.col("a_entity")).select("entity", "term", "n_te", "n_e"), "pii-joint")
+
+    every = texts.select(F.explode(_words(F.col("m"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    every = every.join(_few(joint.select("term").distinct()), "term")  # counted first: the join sees a term once
+    p, info = F.col("n_te") / F.greatest("n_t", "n_te"), F.log2(F.col("d") / F.col("n_e"))
+    tells = joint.join(every, "term").crossJoin(F.broadcast(total)).withColumn("p", p).where((F.log2("p") + info >= alpha * info) & (info > 0))
+    tells = tells.groupBy("term").agg(F.max("p").alias("p")).select("term", F.when(F.col("p") >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))
+    tells = materialise(tells, "pii-terms")
+
+    # every text that holds such a term, whether it spells the entity out or not
+    hits = based.select("uid", F.explode(_words(F.col("m"))).alias("term")).join(_few(tells), "term").groupBy(F.col("uid").alias("h_uid")).agg(F.map_from_entries(F.collect_list(F.struct("term", "put"))).alias("puts"))
+    hits = materialise(hits, "pii-hits")
+    spans = based.select("uid", "m").join(_few(hits), F.col("uid") == F.col("h_uid")).select("h_uid", _term_spans(F.col("m"), F.col("puts")).alias("terms"))
+    out = based.select("doc_id", "row_key", "base", "uid").join(spans, F.col("uid") == F.col("h_uid"), "left")
+    return out.select("doc_id", "row_key", "base", F.coalesce("terms", F.array().cast(spans.schema["terms"].dataType)).alias("terms"))
 
 
 def report(docs: DataFrame, **params) -> DataFrame:

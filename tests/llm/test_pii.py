@@ -83,6 +83,32 @@ def test_terms_that_reveal_an_entity_are_found(spark):
     assert "Zarquon" not in clean and "[EMAIL]" in clean
 
 
+def test_terms_are_sought_and_removed_in_whole_texts(spark):
+    r = random.Random(2)
+    filler = ["alpha", "river", "table", "green", "house", "cloud", "stone", "paper", "music", "light"]
+    far = lambda: " ".join(r.choices(filler, k=60))
+    rows = [(i, f"Qx7 {far()} {r.choice(filler)} z@q.org {far()} ZO {far()}") for i in range(6)]
+    rows += [(50 + i, rows[0][1]) for i in range(400)]  # copies prove and hide nothing
+    rows += [(500, f"{far()} qx7, {far()} Qx70"), *((600 + i, far()) for i in range(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, found = dict(rows), {}
+    for x in pii.find(df).collect():
+        found[x.doc_id] = {texts[x.doc_id][s.start : s.end] for s in x.terms}
+    assert all(found[i] == {"Qx7", "ZO"} for i in [*range(6), *range(50, 450)])
+    assert found[500] == {"qx7"} and not any(found[600 + i] for i in range(200))
+    clean = {x.doc_id: x.text for x in pii.sanitise(df).collect()}
+    assert "Qx7" not in clean[50] and "ZO" not in clean[50] and "qx7" not in clean[500] and clean[500].endswith("Qx70") and clean[600] == texts[600]
+
+
+def test_near_copies_alone_prove_nothing(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    body = " ".join(words[:60])
+    rows = [(i, f"{body} write to z@q.org today {' '.join(words[60:120])} {words[200 + i]}") for i in range(20)]
+    rows += [(100 + i, " ".join(r.choices(words[120:], k=50))) for i in range(100)]
+    assert pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").count() == 0
+
+
 @pytest.mark.parametrize("f", [pii.report, pii.sanitise])
 def test_empty_table(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0

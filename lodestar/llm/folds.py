@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts longer than this many characters are not used to fit a model.
+#: Labelled texts longer than this many characters are fitted in a bounded number, if at all.
 FIT_CHARS = 50_000
 
 
@@ -18,9 +18,15 @@ def held_out(doc_id: Column, n: int, r: int) -> Column:
     return remainder(doc_id, n) == r
 
 
-def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list, list[str]]:
-    """(labels, texts) of ``labelled`` (``id, label``: a sample of bounded size), in order of id."""
+def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int = 0) -> tuple[list, list[str]]:
+    """(labels, texts) of ``labelled`` (``id, label``: a sample of bounded size), in order of id.
+
+    Of the texts above ``FIT_CHARS`` characters ``long`` are taken, least hash of id first.
+    """
     picked = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(labelled), F.col("d") == F.col("id"))
-    rows = picked.where(F.col("t").isNotNull() & (F.length("t") <= FIT_CHARS)).select("id", "label", "t").collect()
+    picked = picked.where(F.col("t").isNotNull()).select("id", "label", "t")
+    rows = picked.where(F.length("t") <= FIT_CHARS).collect()
+    if long:
+        rows += picked.where(F.length("t") > FIT_CHARS).orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(long).collect()
     rows.sort(key=lambda r: (r.id, r.t))
     return [r.label for r in rows], [r.t for r in rows]

@@ -6,8 +6,14 @@ prod(1 - p), and only documents carry labels. The gradient of the document's
 likelihood reaches each sentence in proportion to its share, so the model
 learns which sentences offend and can point at them.
 
+With s the sum of the weights, a sentence of s <= 0 has probability zero and
+another one 1 - (1 - sigmoid(b + s)) / (1 - sigmoid(b)): sentences without
+telling words add nothing, however many. Labels that the words do not explain
+go to one leak a document, which takes part in fitting only.
+
 The model is fitted on at most ``SAMPLE`` labelled documents (least hash of id
-first); scoring runs in Arrow batches with a broadcast weight vector.
+first), ``LONG`` of more than ``folds.FIT_CHARS`` characters among them, all
+whole; scoring runs in Arrow batches with a broadcast weight vector.
 """
 
 from __future__ import annotations
@@ -23,7 +29,9 @@ from lodestar.llm.folds import held_out, sample_texts
 from lodestar.llm.tokens import MARKS, Words, codepoints, pieces
 from lodestar.session import small_batches
 
-SAMPLE, FEATURE_BITS, THRESHOLD = 8_000, 18, 0.3
+SAMPLE, LONG, FEATURE_BITS, THRESHOLD = 8_000, 64, 18, 0.3
+#: The bias starts no lower, so that long texts teach too.
+LEAST_BIAS = -4.0
 #: A word counts as itself and as its first so many bytes.
 PREFIXES = (5, 6, 7, 8)
 #: Features that take part in fitting: those whose share of documents differs most by label.
@@ -37,6 +45,8 @@ _ENDS[[10, 33, 46, 63]] = True
 class Model:
     weights: np.ndarray
     bias: float
+    #: Fitted to one label only: every sentence has the probability of the bias.
+    constant: bool = False
 
 
 class Bags:
@@ -67,8 +77,11 @@ class Bags:
             by_word += np.where(own, m.weights[f], 0)
         return m.bias + np.add.reduceat(by_word, self.head)
 
-    def noisy_or(self, z: np.ndarray) -> np.ndarray:
-        return -np.expm1(-np.bincount(self.of, np.logaddexp(0, z), self.n))
+    def noisy_or(self, z: np.ndarray, m: Model) -> np.ndarray:
+        s = np.logaddexp(0, z)
+        if not m.constant:
+            s = np.where(z > m.bias, s - np.logaddexp(0, m.bias), 0)
+        return -np.expm1(-np.bincount(self.of, s, self.n))
 
 
 def _pairs(bags: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,19 +92,31 @@ def _pairs(bags: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sentence, np.concatenate([f[own] for f, own in zip(bags.feature, bags.own, strict=True)]).astype(np.int32), bags.of
 
 
+def _parts(texts: list[str], docs: int = 256, chars: int = 1 << 20):
+    """Ranges of at most ``docs`` texts and about ``chars`` characters (one text at least)."""
+    i, size = 0, 0
+    for j, t in enumerate(texts):
+        if j > i and (j - i == docs or size + len(t) > chars):
+            yield i, j
+            i, size = j, 0
+        size += len(t)
+    if texts:
+        yield i, len(texts)
+
+
 def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, support: int = 5, screen: int = SCREEN) -> Model:
     """Adam with soft thresholding (most features get weight zero); without both labels a constant model."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
-        return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0)
+        return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0, True)
     # in parts, so that memory is that of a part and of what screening leaves
-    parts = range(0, len(texts), 256)
+    parts = list(_parts(texts))
     seen = np.zeros((2, 1 << bits))
-    for i in parts:
-        sentence, feature, of = _pairs(Bags(pa.array(texts[i : i + 256], pa.string()), bits))
+    for i, j in parts:
+        sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
         in_doc = np.unique(of[sentence].astype(np.int64) << bits | feature)
         for label in (0, 1):
-            seen[label] += np.bincount(in_doc[y[i : i + 256][in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
+            seen[label] += np.bincount(in_doc[y[i:j][in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
     rate_0, rate_1 = seen[0] / (y == 0).sum(), seen[1] / (y == 1).sum()
     spread = np.sqrt((seen.sum(0) + 1) / len(y))
     tells = np.abs(rate_1 - rate_0) / spread * (seen.sum(0) >= support)
@@ -99,29 +124,34 @@ def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps:
     chosen[np.argsort(-tells, kind="stable")[:screen]] = True
     chosen &= tells > 0
     kept, n_s = [], 0
-    for i in parts:
-        sentence, feature, of = _pairs(Bags(pa.array(texts[i : i + 256], pa.string()), bits))
+    for i, j in parts:
+        sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
         own = chosen[feature]
         kept.append((sentence[own] + n_s, feature[own], of + i))
         n_s += len(of)
     sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
     used, feature = np.unique(feature, return_inverse=True)
-    theta = np.zeros(len(used) + 1)
-    theta[-1] = np.log(y.mean() / max(n_s / len(y), 1))
+    # weights, bias, and the leak of a document: what the words do not explain, whatever its length
+    theta = np.zeros(len(used) + 2)
+    theta[-2] = max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS)
+    theta[-1] = np.log(np.expm1(-np.log1p(-y.mean() / 2)))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        z = theta[-1] + np.bincount(sentence, theta[feature], n_s)
-        s = np.bincount(of, np.logaddexp(0, z), len(y))
+        b, over = theta[-2], np.bincount(sentence, theta[feature], n_s)
+        counts = over >= 0
+        z = np.where(counts, b + over, b)
+        s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
         to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
-        g_z = to_s[of] / (1 + np.exp(-np.clip(z, -500, 500)))
-        grad = np.append(np.bincount(feature, g_z[sentence], len(used)), g_z.sum())
+        p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
+        g_z = to_s[of] * p * counts
+        grad = np.append(np.bincount(feature, g_z[sentence], len(used)), [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))])
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
         theta -= size * first / (1 - 0.9**k)
-        theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - size[:-1] * l1, 0)
+        theta[:-2] = np.sign(theta[:-2]) * np.maximum(np.abs(theta[:-2]) - size[:-2] * l1, 0)
     weights = np.zeros(1 << bits, np.float32)
-    weights[used] = theta[:-1]
-    return Model(weights, float(theta[-1]))
+    weights[used] = theta[:-2]
+    return Model(weights, float(theta[-2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -129,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return train(*sample_texts(docs, known, doc_id, text))
+    return train(*sample_texts(docs, known, doc_id, text, LONG))
 
 
 def _score(model: Model, where: bool):
@@ -137,7 +167,7 @@ def _score(model: Model, where: bool):
         for batch in pieces(batches, "text", CHUNK):
             bags = Bags(batch.column("text"), int(np.log2(len(model.weights))))
             z = bags.logits(model)
-            score = bags.noisy_or(z)
+            score = bags.noisy_or(z, model)
             names = batch.schema.names
             cols = [c for c, n in zip(batch.columns, names, strict=True) if n != "text"]
             out = [pa.array(score)]
@@ -184,7 +214,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
     def run(batches):
         for batch in pieces(batches, "text", CHUNK):
             bags = Bags(batch.column("text"), int(np.log2(len(model.weights))))
-            keep = bags.noisy_or(bags.logits(model)) < threshold
+            keep = bags.noisy_or(bags.logits(model), model) < threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
     return rows.mapInArrow(run, f"row {docs.schema.simpleString()}").select("row.*")

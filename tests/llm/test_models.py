@@ -132,6 +132,31 @@ def test_toxicity_on_held_out_documents(spark):
             assert any(any(w in texts[x.doc_id][a:b] for w in rude) for a, b in spans) or not spans
 
 
+def test_long_clean_documents_are_not_toxic(spark):
+    r = random.Random(12)
+    calm = "we went to the market and read the paper in the garden with tea and bread".split()
+    line = lambda: " ".join(r.choices(calm, k=8))
+    docs, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        lines = [line() for _ in range(r.randint(1, 12))]
+        if bad and i % 40:  # a tenth of the toxic labels is not explained by words
+            lines.append("you hateful vermin")
+        docs.append((i, ". ".join(lines) + "."))
+        labels.append((i, int(bad)))
+    docs += [(1000 + k, ". ".join(line() for _ in range(n)) + ".") for k, n in enumerate((10_000, 100_000))]
+    docs.append((1002, docs[-2][1] + " you hateful vermin."))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert {x.doc_id for x in toxicity.remove_toxic(d, y).where("doc_id >= 1000").collect()} == {1000, 1001}
+
+
+def test_long_labelled_texts_take_part_in_fitting(spark):
+    rows = [(i, (f"calm words {i}. " * 4000) + ("hateful vermin." if i % 2 else "")) for i in range(60)]
+    y = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), y)
+    assert model.weights.any() and not model.constant
+
+
 def test_labels_of_held_out_documents_are_not_learnt(spark):
     docs = [(i, "good words only" if i % 2 else "bad words only") for i in range(200)]
     labels = [(i, 1 - i % 2) for i in range(200)]

@@ -12,22 +12,22 @@ from pyspark.sql import types as T
 
 #: Stop words of the content measures.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-#: Order matters: a later pattern must not eat what an earlier one names.
-REDACTIONS = (
-    (r"(?s)-----BEGIN [A-Z ]+-----.*?-----END [A-Z ]+-----", "<PEM>"),
-    (r"\bocid1\.[a-z0-9]+(?:\.[A-Za-z0-9_-]*)+", "<OCID>"),
-    (r"\b(?:[0-9a-fA-F]{2}:){15}[0-9a-fA-F]{2}\b", "<FINGERPRINT>"),
-    (r"(?<![A-Za-z0-9])/(?:home|Users|root|opt|u01)/[^\s'\":;,]+", "<PATH>"),
-    (r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", "<IP>"),
-    (r"(?i)\b(password|passwd|secret|token|api_?key)(\s*[:=]\s*)\S+", "$1$2<SECRET>"),
-)
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-CURRENCIES = ("qar", "usd", "eur", "gbp", "aed", "sar")
-
-
-def redact(text: Column) -> Column:
-    for pattern, label in REDACTIONS:
-        text = F.regexp_replace(text, pattern, label)
+#: What ``redact`` hides, by label. Patterns keep to what both Java and RE2 read.
+HIDDEN = {
+    "secret": (r"(?i)\b(pass(?:word|wd)|secret|token|api_?key)([ \t]*[=:][ \t]*)[^ \t\r\n]+", r"\1\2"),
+    "address": (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", ""),
+    "digest": (r"\b[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){15,63}\b", ""),
+    "path": (r"(^|[ \t\r\n\"'(=])(?:/[A-Za-z0-9._-]+){2,}/?", r"\1"),
+    "key": (r"(?s)-----BEGIN [A-Z0-9 ]+-----.*?-----END [A-Z0-9 ]+-----", ""),
+}
+UNITS = ("kb", "mb", "gb", "tb", "km", "kg", "ms")
+
+
+def redact(text: Column, vendor: dict[str, str] | None = None) -> Column:
+    """The text with ``[label]`` for what ``HIDDEN`` and the caller's own ``vendor`` patterns (by label) find."""
+    for label, (pattern, kept) in (HIDDEN | {k: (v, "") for k, v in (vendor or {}).items()}).items():
+        text = F.regexp_replace(text, pattern, re.sub(r"\\([0-9])", r"$\1", kept) + f"[{label}]")
     return text
 
 
@@ -54,20 +54,32 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(text) / 3.5).cast("int"))
 
 
-def dates_units(text: str) -> str:
-    """Dates as "month day", currency before its amount, plain numbers, lower-case units after a space."""
-    t = text.lower().replace(",", "") if re.search(r"\d,\d", text) else text.lower()
-    short = {m[:3]: m for m in MONTHS}
-    t = re.sub(r"\b(\d{1,2})[- ]([a-z]{3})[a-z]*\b", lambda m: f"{short[m[2]]} {int(m[1])}" if m[2] in short else m[0], t)
-    t = re.sub(rf"\b(\d+(?:\.\d+)?)\s*({'|'.join(CURRENCIES)})\b", r"\2 \1", t)
-    t = re.sub(r"\b(\d+)\.(\d*?)0+\b", lambda m: m[1] + ("." + m[2] if m[2] else ""), t)
-    t = re.sub(r"\b(\d+(?:\.\d+)?)\s*(gb|mb|kb|tb)\b", r"\1 \2", t)
-    return re.sub(r"(\d)\s*%", r"\1 percent", t)
+def rewrites(currencies: tuple[str, ...] = ("eur", "gbp", "usd"), units: tuple[str, ...] = UNITS) -> list[tuple[str, str]]:
+    """Ordered (pattern, replacement) that bring amounts, dates and units of lower-case text to one form."""
+    rules = [(r"([0-9]),([0-9]{3})", r"\1\2")] * 2  # twice, as neighbouring groups share a digit
+    rules += [(r"([0-9]\.[0-9]*[1-9])0+\b", r"\1"), (r"([0-9])\.0+\b", r"\1")]
+    rules += [(r"([0-9]) ?%", r"\1 percent"), (rf"([0-9]) ?({'|'.join(units)})\b", r"\1 \2")]
+    rules += [(rf"\b([0-9]+(?:\.[0-9]+)?) ?({'|'.join(currencies)})\b", r"\2 \1")]
+    for name in MONTHS:
+        rules += [(rf"\b0?([1-9][0-9]?)[ -]({name[:3]}|{name})\b", rf"{name} \1")]
+    return rules
+
+
+def dates_units(text: Column, **params) -> Column:
+    """Lower-case text with dates as "month day", currency before its amount, plain numbers, spaced units."""
+    text = F.lower(text)
+    for pattern, put in rewrites(**params):
+        text = F.regexp_replace(text, pattern, re.sub(r"\\([0-9])", r"$\1", put))
+    return text
+
+
+def has_term(term: Column, text: Column) -> Column:
+    """Whether the term's tokens occur in a row in the text, both brought to one form first."""
 
+    def tokens(c: Column) -> Column:
+        return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(dates_units(c), r"[^\p{L}\p{N}.]+", " "), r"\.( |$)", "$1")), F.lit(" "))
 
-def has_term(term: str, text: str) -> bool:
-    """Whether a term occurs between token boundaries after ``dates_units``."""
-    return re.search(rf"(?<![\w.]){re.escape(dates_units(term))}(?![\w])", dates_units(text)) is not None
+    return F.contains(tokens(text), tokens(term))
 
 
 def osa(a: str, b: str) -> int:
@@ -125,7 +137,7 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Rough text of an HTML page: no scripts, styles, comments or tags; basic entities decoded."""
+    """What a reader of an HTML page sees, roughly: markup, scripts, styles and comments go, basic entities are decoded."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):

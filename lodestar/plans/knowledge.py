@@ -157,12 +157,21 @@ def recall_precision(spark, d):
     return h.select("query_id", micro(F.size(F.array_intersect("a", "b")) / 5.0).alias("precision_5"))
 
 
-@query("x33_redaction", r"""select doc_id, sha256(regexp_replace(regexp_replace(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b', '<IP>', 'g'), '(?i)\b(password|passwd|secret|token|api_?key)(\s*[:=]\s*)\S+', '\1\2<SECRET>', 'g')) as sha from documents""")
+def _chain(column: str, rules) -> str:
+    """DuckDB SQL that applies (pattern, replacement) rules in order."""
+    for pattern, put in rules:
+        column = "regexp_replace({}, '{}', '{}', 'g')".format(column, pattern.replace("'", "''"), put.replace("'", "''"))
+    return column
+
+
+@query("x33_redaction", "select doc_id, sha256(" + _chain("text", [(p, kept + f"[{k}]") for k, (p, kept) in text.HIDDEN.items()]) + ") as sha from documents")
 def redaction(spark, d):
-    t = F.col("text")
-    for pattern, label in text.REDACTIONS[4:]:
-        t = F.regexp_replace(t, pattern, label)
-    return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("sha"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("sha"))
+
+
+@query("x35_dates_units", "select doc_id, sha256(" + _chain("lower(text)", text.rewrites()) + ") as sha from documents")
+def dates_units(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.dates_units(F.col("text")), 256).alias("sha"))
 
 
 @query("x34_failure_void", "select user_id, count_if(event_type = 'error') / count(*) > 0.2 as void from events group by user_id")

@@ -1,6 +1,8 @@
 """Exact removal of repeated passages by recompression.
 
-Every word gets a global name, a 64-bit hash of its bytes. A round splits the
+Every word gets a global name, the XXH64 of its bytes, and so does every symbol
+that stands for a pair or a run: the same in every task and document, without
+asking anyone. A round splits the
 names into two sides by a hash bit and replaces each pair (left, right) by one
 new name; symbols that stay alone are then merged with equal neighbours, so
 that runs shrink too. A name is a hash of what it replaces, hence the same in
@@ -11,9 +13,10 @@ is an anchor of that window wherever the window occurs.
 
 A window is filed under its anchor of least hash (under its own name if it has
 none), so neighbouring windows travel together: one record holds the anchor's
-name, the place, and 32 bits of verification for each window. Spark groups the
-records by name; the group decides, from name, offset and verification bits
-together, which windows also start in a document with a smaller id.
+name, the place, and 64 bits of verification for each window, made from other
+XXH64 names of its 13 words. Spark groups the records by name; the group
+decides, from name, offset and verification bits together, which windows also
+start in a document with a smaller id: windows are equal if 128 bits are.
 
 Skew: a task first settles the windows that repeat among its own texts and
 sends only those of the least document id, so a passage of a third of all
@@ -36,6 +39,8 @@ from lodestar.session import small_batches
 WINDOW, ROUNDS, LEAST = 13, 4, 3
 #: Bytes of text that a task handles at once.
 CHUNK = 8 << 20
+#: Bytes of text a share of the names, which one task decides in memory.
+SHARE = 16 << 20
 LAST = np.iinfo(np.int64).max
 _FAR = 1 << 28
 SENT = "pid int, settled boolean, data binary"
@@ -159,16 +164,16 @@ def _send(parts: int, window: int):
         n = len(w.start)
         if n < window:
             return
-        names = w.hashes()
+        names, others = w.names(0, 1)
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(w.first))
         valid = np.zeros(n, bool)
         valid[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
-        whole, check = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        whole, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         whole[: n - window + 1] = windows(names, window)
-        check[: n - window + 1] = windows(names, window, 5) >> np.uint64(32)
+        check[: n - window + 1] = windows(others, window, 5)
         anchors = recompress(names, doc, window=window)
         anchor = choose(anchors, n, window)
-        del names
+        del names, others
 
         # windows that repeat here: those of a larger id are settled
         p = np.flatnonzero(valid)
@@ -193,14 +198,13 @@ def _send(parts: int, window: int):
         pid = (mix64(seg["key"], 3) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(pid, kind="stable")
         bound = np.searchsorted(pid[order], np.arange(parts + 1))
-        for k in range(parts):
+        for k in np.flatnonzero(np.diff(bound)).tolist():
             own = order[bound[k] : bound[k + 1]]
-            if len(own):
-                s = seg[own]
-                used, s["doc"] = np.unique(s["doc"], return_inverse=True)
-                at = np.repeat(head[own] - np.append(0, np.cumsum(s["n"][:-1], dtype=np.int64)), s["n"]) + np.arange(int(s["n"].sum()))
-                data = [np.array([len(s), len(used)], "<u8"), *(s[c] for c in _SEGMENT.names), ids[used], marks[used], check[p[at]]]
-                rows.append((k, False, b"".join(np.ascontiguousarray(x).tobytes() for x in data)))
+            s = seg[own]
+            used, s["doc"] = np.unique(s["doc"], return_inverse=True)
+            at = np.repeat(head[own] - np.append(0, np.cumsum(s["n"][:-1], dtype=np.int64)), s["n"]) + np.arange(int(s["n"].sum()))
+            data = [np.array([len(s), len(used)], "<u8"), *(s[c] for c in _SEGMENT.names), ids[used], marks[used], check[p[at]]]
+            rows.append((k, False, b"".join(np.ascontiguousarray(x).tobytes() for x in data)))
         for i in range(0, len(rows), 64):
             cols = list(zip(*rows[i : i + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["pid", "settled", "data"])
@@ -218,7 +222,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     for t, n in [*((_SEGMENT[c], m) for c in _SEGMENT.names), (np.dtype("<i8"), u), (np.dtype("<i4"), u)]:
         out.append(np.frombuffer(data, t, n, at))
         at += t.itemsize * n
-    return (*out, np.frombuffer(data, "<u4", -1, at))
+    return (*out, np.frombuffer(data, "<u8", -1, at))
 
 
 def _decide(table: pa.Table) -> pa.Table:
@@ -248,9 +252,10 @@ def _decide(table: pa.Table) -> pa.Table:
         at = np.repeat(np.concatenate([x[2] for x in parts]).astype(np.int64), n) + step
         rel = np.repeat(np.concatenate([x[3] for x in parts]).astype(np.int64), n)
         rel = np.where(rel == 255, 255, rel - step).astype(np.uint64)
-        tail = rel << np.uint64(32) | check
+        key = mix64(key) + mix64(rel, 4)
+        tail = check
         del parts, rel, step, check
-        key = mix64(key) + mix64(tail, 4)
+        key += mix64(tail, 6)  # one sort: rows of one key and one tail are equal in all three
         order = np.argsort(key)
         same = (key[order[1:]] == key[order[:-1]])
         if (same & (tail[order[1:]] != tail[order[:-1]])).any():
@@ -284,11 +289,13 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("id"), F.hash(t).alias("mark"), t.alias("text"))
+    own = F.col(doc_id).try_cast("long")
+    d = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), F.hash(t).alias("mark"), t.alias("text"))
+    size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE)
     sent = d.select(F.col("id").alias("doc_id"), "mark", "text").mapInArrow(_send(parts, window), SENT)
-    homes = sent.withColumn("parts", F.lit(parts)).groupBy("pid").applyInArrow(_decide, HOMES)
+    homes = sent.withColumn("parts", F.lit(parts)).repartition(parts, "pid").groupBy("pid").applyInArrow(_decide, HOMES)
     return d, homes.groupBy("home").applyInArrow(_gather, MARKS)
 
 
@@ -329,7 +336,7 @@ def report(docs: DataFrame, **params) -> DataFrame:
 
     A word goes if a window of ``window`` words around it also starts in a
     document with a smaller id; windows are judged on the input. Null texts have
-    no words; a null id is larger than any other and never repeats itself; rows
+    no words; a null id (as is one that is no integer) is larger than any other and never repeats itself; rows
     with equal ids are one document in that they remove nothing from each other;
     an empty table gives no rows.
     """
@@ -337,7 +344,7 @@ def report(docs: DataFrame, **params) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """``doc_id, n_words, n_removed, text``: the kept words, joined by one space."""
+    """``doc_id, n_words, n_removed, text``: the kept words, joined by one space; all else as in ``report``."""
     return _applied(docs, True, **params).withColumnRenamed("kept", "text")
 
 

@@ -1,6 +1,7 @@
 """Arrow texts to words and word hashes, vectorised in numpy.
 
-A batch's UTF-8 bytes are used where they lie; no Python string is made.
+Words are told apart by their bytes: hashes are taken of distinct words only,
+XXH64 for names and a rolling polynomial for features that may collide.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -100,31 +102,41 @@ def _merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 class Words:
     """The words of a batch of texts, ``[^\\x20\\x09-\\x0D]+`` unless other ``breaks`` are given.
 
-    ``start``/``end`` are byte positions in ``data``; the words of text i are
-    numbers ``first[i]`` to ``first[i + 1]``.
+    ``start``/``end`` are byte positions in ``data``, where a space follows each
+    text; the words of text i are numbers ``first[i]`` to ``first[i + 1]``.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE):
         data, offsets = utf8(column)
-        self.data, self.offsets = (_LOWER[data] if lower else data), offsets
-        n = len(data)
-        space = np.ones(n + 1, bool)
-        space[1:] = breaks[data]  # space[i + 1] is byte i
-        edge = space[:-1].copy()
-        edge[offsets[:-1][offsets[:-1] < n]] = True
-        self.start = np.flatnonzero(edge & ~space[1:])
-        last = np.ones(n, bool)
-        last[:-1] = space[2:]
-        ends = offsets[1:][offsets[1:] > 0] - 1
-        last[ends] = True
-        self.end = np.flatnonzero(last & ~space[1:]) + 1
-        self.first = np.searchsorted(self.start, offsets)
-
-    def hashes(self, *prefixes: int) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial of its bytes, then mixed.
-
-        With ``prefixes``, one row for the words and one for each prefix of so
-        many bytes (for shorter words the word's own hash).
+        n = len(offsets) - 1
+        keep = np.ones(len(data) + n, bool)
+        keep[offsets[1:] + np.arange(n)] = False
+        self.data = np.full(len(keep), 32, np.uint8)
+        self.data[keep] = _LOWER[data] if lower else data
+        self.offsets = offsets + np.arange(n + 1)
+        self.gap = gap = breaks[self.data]
+        before = np.append(True, gap[:-1])[: len(gap)]
+        self.start = np.flatnonzero(before & ~gap)
+        self.end = np.flatnonzero(gap & ~before)
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """(number of its distinct word for each word, the distinct words); told apart by their bytes."""
+        ends = np.append(0, np.cumsum(self.end - self.start))
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(self.data[~self.gap])])
+        coded = packed.dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def names(self, *seeds: int) -> list[np.ndarray]:
+        """XXH64 of each word, one array a seed."""
+        codes, words = self.distinct()
+        return [np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)[codes] for seed in seeds]
+
+    def features(self, *prefixes: int) -> np.ndarray:
+        """A hash of each word for feature hashing, where words may collide anyway: a polynomial, then mixed.
+
+        One row for the words and one for each prefix of so many bytes (for
+        shorter words the word's own hash).
         """
         size = self.end - self.start
         to = [self.end, *(self.start + np.minimum(size, k) for k in prefixes)]
@@ -142,10 +154,10 @@ class Words:
             i = j
         for row, end in zip(out, to, strict=True):
             row[:] = mix64(row ^ ((end - self.start).astype(np.uint64) << np.uint64(52)))
-        return out if prefixes else out[0]
+        return out
 
     def text(self, i: int) -> bytes:
-        return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
+        return self.data[self.offsets[i] : self.offsets[i + 1] - 1].tobytes()
 
 
 def windows(names: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

@@ -55,7 +55,7 @@ class Bags:
     def __init__(self, column: pa.Array, bits: int = FEATURE_BITS):
         w = Words(column, lower=True, breaks=MARKS)
         self.words = w
-        self.feature = (w.hashes(*PREFIXES) >> np.uint64(64 - bits)).astype(np.int64)
+        self.feature = (w.features(*PREFIXES) >> np.uint64(64 - bits)).astype(np.int64)
         size = w.end - w.start
         self.own = [size >= 0, *(size > k for k in PREFIXES)]  # shorter words have no such beginning
         ends = np.zeros(len(w.data) + 1, np.int64)

@@ -83,9 +83,26 @@ def test_language_model_base_and_score(spark):
 
 
 def test_language_model_is_normalised():
-    code = np.unique(np.random.default_rng(1).integers(0, lm_scoring.CLASSES**3, 3000))
-    table = lm_scoring.train(code, np.random.default_rng(2).integers(1, 50, len(code)), steps=20)
-    assert np.allclose((10.0**table).sum(1), 1, atol=1e-3)
+    rng = np.random.default_rng(1)
+    counts = np.floor(rng.pareto(1, lm_scoring.SYMBOLS) * 10)
+    trainer = lm_scoring.Trainer(lm_scoring.Network.start(counts), counts)
+    for _ in range(3):
+        trainer.learn(*rng.integers(0, lm_scoring.SYMBOLS, (3, 500)))
+    place = np.arange(lm_scoring.SYMBOLS)
+    for one, two in ((3, 70), (5000, 1)):
+        p = np.exp(trainer.net.log_probability(np.full(len(place), one), np.full(len(place), two), place))
+        assert p.sum() == pytest.approx(1, abs=1e-4) and (p > 0).all()
+    assert np.allclose(lm_scoring.Network.of_rows(trainer.net.rows()).context, trainer.net.context)
+
+
+def test_words_of_one_polynomial_hash_are_told_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    seen = next(i for i in range(50) if not left_out(i, 10, 0))
+    out = next(i for i in range(50) if left_out(i, 10, 0))
+    for head in (lm_scoring.HEAD, 0):
+        got = {r.doc_id: r for r in lm_scoring.report(spark.createDataFrame([(seen, x + " is"), (out, y + " is")], "doc_id long, text string"), head=head).collect()}
+        assert got[out].n_known == 2 and got[seen].n_known == 3  # "is" and the end of text
 
 
 def test_neighbours_reach_the_recall_and_exact_scores(spark):

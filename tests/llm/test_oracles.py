@@ -54,6 +54,20 @@ def test_substring_dedup(tables):
     same(con, substring_dedup.report(docs), substring_dedup.ORACLE_SQL)
 
 
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_of_one_polynomial_hash_are_told_apart(spark, size):
+    """Thue-Morse words and their complements collide for every polynomial modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    tail = " ".join(ITEM[:12])
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{y} {tail} more")]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = spark.createDataFrame(rows, "doc_id long, text string")
+    same(con, substring_dedup.report(got), substring_dedup.ORACLE_SQL)
+    assert [(r.doc_id, r.n_removed) for r in substring_dedup.report(got).orderBy("doc_id").collect()] == [(1, 0), (2, 0), (3, 13)]
+
+
 def test_kept_words(tables):
     _, docs, _ = tables
     out = {x.doc_id: x for x in substring_dedup.deduplicate(docs).collect()}

@@ -1,7 +1,7 @@
 """Exact removal of repeated passages by recompression.
 
-Every word gets a global name, the XXH64 of its bytes, and so does every symbol
-that stands for a pair or a run: the same in every task and document, without
+Every word gets a global name, half of the XXH3 of its bytes, and so does every
+symbol that stands for a pair or a run: the same in every task and document, without
 asking anyone. A round splits the
 names into two sides by a hash bit and replaces each pair (left, right) by one
 new name; symbols that stay alone are then merged with equal neighbours, so
@@ -13,8 +13,8 @@ is an anchor of that window wherever the window occurs.
 
 A window is filed under its anchor of least hash (under its own name if it has
 none), so neighbouring windows travel together: one record holds the anchor's
-name, the place, and 64 bits of verification for each window, made from other
-XXH64 names of its 13 words. Spark groups the records by name; the group
+name, the place, and 64 bits of verification for each window, made from the
+other halves of its words' hashes. Spark groups the records by name; the group
 decides, from name, offset and verification bits together, which windows also
 start in a document with a smaller id: windows are equal if 128 bits are.
 
@@ -164,7 +164,7 @@ def _send(parts: int, window: int):
         n = len(w.start)
         if n < window:
             return
-        names, others = w.names(0, 1)
+        names, others = w.names()
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(w.first))
         valid = np.zeros(n, bool)
         valid[: n - window + 1] = doc[: n - window + 1] == doc[window - 1 :]
@@ -293,9 +293,9 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     own = F.col(doc_id).try_cast("long")
     d = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), F.hash(t).alias("mark"), t.alias("text"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE)
+    parts = max(2 * spark.sparkContext.defaultParallelism, size // SHARE)
     sent = d.select(F.col("id").alias("doc_id"), "mark", "text").mapInArrow(_send(parts, window), SENT)
-    homes = sent.withColumn("parts", F.lit(parts)).repartition(parts, "pid").groupBy("pid").applyInArrow(_decide, HOMES)
+    homes = sent.withColumn("parts", F.lit(parts)).groupBy("pid").applyInArrow(_decide, HOMES)
     return d, homes.groupBy("home").applyInArrow(_gather, MARKS)
 
 

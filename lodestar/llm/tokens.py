@@ -1,7 +1,7 @@
 """Arrow texts to words and word hashes, vectorised in numpy.
 
 Words are told apart by their bytes: hashes are taken of distinct words only,
-XXH64 for names and a rolling polynomial for features that may collide.
+XXH3 for names and a rolling polynomial for features that may collide.
 """
 
 from __future__ import annotations
@@ -127,10 +127,11 @@ class Words:
         coded = packed.dictionary_encode()
         return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
-    def names(self, *seeds: int) -> list[np.ndarray]:
-        """XXH64 of each word, one array a seed."""
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """XXH3 of each word, 128 bits in two arrays."""
         codes, words = self.distinct()
-        return [np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)[codes] for seed in seeds]
+        both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+        return both[codes, 0], both[codes, 1]
 
     def features(self, *prefixes: int) -> np.ndarray:
         """A hash of each word for feature hashing, where words may collide anyway: a polynomial, then mixed.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled texts longer than this many characters are fitted in a bounded number, if at all.
-FIT_CHARS = 50_000
+#: Characters of all texts of a labelled sample together.
+FIT_CHARS = 16_000_000
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -18,15 +18,26 @@ def held_out(doc_id: Column, n: int, r: int) -> Column:
     return remainder(doc_id, n) == r
 
 
-def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", long: int = 0) -> tuple[list, list[str]]:
+def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = FIT_CHARS) -> tuple[list, list[str]]:
     """(labels, texts) of ``labelled`` (``id, label``: a sample of bounded size), in order of id.
 
-    Of the texts above ``FIT_CHARS`` characters ``long`` are taken, least hash of id first.
+    One text is taken of each id, however many rows repeat it, and texts are
+    whole. They are taken in order of the hash of their id as long as they fit
+    into ``chars`` characters together; one that does not fit is passed over.
     """
-    picked = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(labelled), F.col("d") == F.col("id"))
-    picked = picked.where(F.col("t").isNotNull()).select("id", "label", "t")
-    rows = picked.where(F.length("t") <= FIT_CHARS).collect()
-    if long:
-        rows += picked.where(F.length("t") > FIT_CHARS).orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(long).collect()
-    rows.sort(key=lambda r: (r.id, r.t))
-    return [r.label for r in rows], [r.t for r in rows]
+    row = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    row = row.select("d", "t", F.xxhash64("t").alias("h"), F.length("t").alias("n"))
+    sizes = row.join(F.broadcast(labelled), F.col("d") == F.col("id")).groupBy("id").agg(F.min(F.struct("n", "h")).alias("m"), F.first("label").alias("label"))
+    taken, left = [], chars
+    for r in sizes.select("id", "label", "m.n", "m.h").orderBy(F.xxhash64("id"), "id").collect():  # one row an id of the sample
+        if r.n <= left:
+            taken.append((r.id, r.h, r.n, r.label))
+            left -= r.n
+    if not taken:
+        return [], []
+    kind = labelled.schema["id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([x[:3] for x in taken], f"w_id {kind}, w_h long, w_n int")
+    found = row.join(F.broadcast(wanted), (F.col("d") == F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("n") == F.col("w_n")))
+    texts = {r.w_id: r.t for r in found.groupBy("w_id").agg(F.min("t").alias("t")).collect()}
+    taken.sort(key=lambda x: x[0])
+    return [x[3] for x in taken], [texts[x[0]] for x in taken]

@@ -8,8 +8,10 @@ of kernel values to landmarks. Since a kernel value is itself an inner product
 of presence vectors, landmarks and coefficients fold into one matrix a gram
 length, and scoring a batch is a presence matrix times that matrix.
 
-Fitted on at most ``PER_LANGUAGE`` labelled texts a language and
-``LANGUAGES`` languages (the most frequent); whole texts are scored.
+N-grams are told apart by 8 to 13 bits of a hash (all single bytes exactly), so
+that rare ones may share a column. Fitted on a sample of all labelled languages,
+at most ``PER_LANGUAGE`` texts each and about ``SAMPLE`` in all; the sample's
+kernel values are summed up batch by batch. Whole texts are fitted and scored.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.folds import held_out, sample_texts
+from lodestar.llm.folds import FIT_CHARS, held_out, sample_texts
 from lodestar.llm.tokens import MARKS, pieces, utf8
-from lodestar.session import small_batches
+from lodestar.session import materialise, small_batches
 
-PER_LANGUAGE, LANGUAGES, LANDMARKS, RIDGE = 300, 200, 256, 1e-2
-SALTS = 64
+PER_LANGUAGE, SAMPLE, LANDMARKS, RIDGE = 300, 20_000, 256, 1e-2
+#: Rows picked by hash a language, over what is wanted, before the exact choice.
+SPARE = 4
+BROADCAST_LANGUAGES = 100_000
 BITS = (8, 12, 13, 13)  # of the hash of an n-gram, n = 1 to 4
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])])
 CHUNK, ROWS = 2 << 20, 512
@@ -70,56 +74,68 @@ def scaled(p: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray
+    #: Kernel values to landmarks, then languages; one matrix where that is the smaller.
+    weights: tuple[np.ndarray, ...]
     bias: np.ndarray
     sharpness: float
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        for w in self.weights:
+            x = x @ w
+        return x + self.bias
+
 
 def train(labels: list[str], texts: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((OFFSETS[-1], 0), np.float32), np.zeros(0), 1.0)
-    x = np.concatenate([scaled(presence(*utf8(pa.array(texts[i : i + ROWS], pa.string())))) for i in range(0, len(texts), ROWS)])
-    y = np.array([[1.0 if v == k else -1.0 for k in languages] for v in labels])
+        return Model([], (), np.zeros(0), 1.0)
+    number = {k: i for i, k in enumerate(languages)}
+    truth = np.array([number[v] for v in labels])
     # landmarks take turns among the languages
-    turn = np.zeros(len(labels))
-    for k in languages:
-        own = [i for i, v in enumerate(labels) if v == k]
-        turn[own] = np.arange(len(own))
-    mark = x[np.argsort(turn, kind="stable")[:landmarks]]
+    order = np.argsort(truth, kind="stable")
+    turn = np.empty(len(labels), np.int64)
+    size = np.bincount(truth)
+    turn[order] = np.arange(len(labels)) - np.repeat(np.cumsum(size) - size, size)
+    of_text = lambda part: scaled(presence(*utf8(pa.array(part, pa.string()))))
+    mark = of_text([texts[i] for i in np.argsort(turn, kind="stable")[:landmarks]])
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(float))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (x @ mark.T).astype(float) @ root
-    mean_x, mean_y = phi.mean(0), y.mean(0)
-    size = {k: labels.count(k) for k in languages}
-    w = np.array([len(labels) / (len(languages) * size[v]) for v in labels])[:, None]
+    # only the texts' short vectors are kept, not their presence
+    phi = np.concatenate([(of_text(texts[i : i + ROWS // 4]) @ mark.T).astype(float) @ root for i in range(0, len(texts), ROWS // 4)])
+    mean_x, mean_y = phi.mean(0), 2 * size / len(labels) - 1
+    w = len(labels) / (len(languages) * size[truth])[:, None]
     c = phi - mean_x
-    beta = np.linalg.solve(c.T @ (w * c) + ridge * len(labels) * np.eye(c.shape[1]) / 10, c.T @ (w * (y - mean_y)))
+    right = np.stack([2 * (w * c)[truth == k].sum(0) for k in range(len(languages))], 1) - (w * c).T @ np.ones((len(labels), 1)) * (1 + mean_y)
+    beta = np.linalg.solve(c.T @ (w * c) + ridge * len(labels) * np.eye(c.shape[1]) / 10, right)
     bias = mean_y - mean_x @ beta
     s = phi @ beta + bias
-    truth = np.array([languages.index(v) for v in labels])
 
     def loss(k):
         e = k * s - (k * s).max(1, keepdims=True)
         return -(e[np.arange(len(e)), truth] - np.log(np.exp(e).sum(1))).mean()
 
-    return Model(languages, (mark.T @ (root @ beta)).astype(np.float32), bias, min((0.5, 1, 2, 3, 4, 6, 8, 12), key=loss))
+    near = (mark.T @ root).astype(np.float32)
+    weights = (near, beta.astype(np.float32)) if len(languages) > near.shape[1] else ((near @ beta.astype(np.float32)),)
+    return Model(languages, weights, bias, min((0.5, 1, 2, 3, 4, 6, 8, 12), key=loss))
+
 
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample: int = SAMPLE, chars: int = FIT_CHARS) -> Model:
+    """Learn from a sample of labelled rows that are not held out, least hash first, ``chars`` characters together.
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
-    """Learn from a bounded sample of labelled rows that are not held out, least hash first."""
+    Languages are counted, and each gets a bound on the hash of the id below
+    which about ``SPARE`` times the wanted texts lie; what passes is small.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
-    known = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"))
-    top = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(languages)
-    known = known.join(F.broadcast(top.select("label")), "label", "left_semi")
-    known = known.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
-    # by salt first: however many tasks read the table, at most SALTS * per_language rows of a language meet
-    for keys in (("label", "salt"), ("label",)):
-        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
-        known = known.withColumn("nth", nth).where(F.col("nth") <= per_language)
-    known = known.select("id", "label")
-    return train(*sample_texts(docs, known, doc_id, text))
+    known = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 31)).alias("h"))
+    counts = materialise(known.groupBy(F.col("label").alias("c_label")).agg(F.count("*").alias("c")), "langid-counts")
+    languages = counts.count()
+    quota = max(1, min(per_language, sample // max(languages, 1)))
+    counts = counts.select("c_label", (F.lit(float(quota * SPARE)) / F.col("c") * (1 << 31)).alias("bound"))
+    counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
+    picked = known.join(counts, (F.col("label") == F.col("c_label")) & (F.col("h") < F.col("bound"))).select("label", "h", "id").distinct()
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    return train(*sample_texts(docs, picked.withColumn("nth", nth).where(F.col("nth") <= quota).groupBy("id").agg(F.min("label").alias("label")), doc_id, text, chars))
 
 
 def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -131,7 +147,7 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     for i in range(0, len(column), ROWS):
         o = offsets[i : i + ROWS + 1]
         if model.languages:
-            s = scaled(presence(data[o[0] : o[-1]], o - o[0])) @ model.weights + model.bias
+            s = model.margins(scaled(presence(data[o[0] : o[-1]], o - o[0])))
             e = np.exp(model.sharpness * (s - s.max(1, keepdims=True)))
             e /= e.sum(1, keepdims=True)
         for j in range(len(o) - 1):

@@ -12,8 +12,11 @@ telling words add nothing, however many. Labels that the words do not explain
 go to one leak a document, which takes part in fitting only.
 
 The model is fitted on at most ``SAMPLE`` labelled documents (least hash of id
-first), ``LONG`` of more than ``folds.FIT_CHARS`` characters among them, all
-whole; scoring runs in Arrow batches with a broadcast weight vector.
+first) of ``folds.FIT_CHARS`` characters together, all whole. Fitting works on
+the features whose share of documents differs most by label, then adds every
+other feature whose gradient exceeds the l1 penalty, until there is none: the
+result is that of fitting all features. Scoring runs in Arrow batches with a
+broadcast weight vector.
 """
 
 from __future__ import annotations
@@ -24,18 +27,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestar.llm.folds import held_out, sample_texts
+from lodestar.llm.folds import FIT_CHARS, held_out, sample_texts
 from lodestar.llm.tokens import MARKS, Words, codepoints, pieces
 from lodestar.session import small_batches
 
-SAMPLE, LONG, FEATURE_BITS, THRESHOLD = 8_000, 64, 18, 0.3
+SAMPLE, FEATURE_BITS, THRESHOLD = 8_000, 18, 0.3
 #: The bias starts no lower, so that long texts teach too.
 LEAST_BIAS = -4.0
 #: A word counts as itself and as its first so many bytes.
 PREFIXES = (5, 6, 7, 8)
-#: Features that take part in fitting: those whose share of documents differs most by label.
-SCREEN = 1024
+#: Features of the first working set, and added to it at most in a round.
+WORKING = 1024
 CHUNK = 4 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -104,62 +108,86 @@ def _parts(texts: list[str], docs: int = 256, chars: int = 1 << 20):
         yield i, len(texts)
 
 
-def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, support: int = 5, screen: int = SCREEN) -> Model:
-    """Adam with soft thresholding (most features get weight zero); without both labels a constant model."""
+class _Fit:
+    """Adam with soft thresholding over a working set of features."""
+
+    def __init__(self, y: np.ndarray, sentence: np.ndarray, feature: np.ndarray, of: np.ndarray, l1: float):
+        self.y, self.sentence, self.of, self.l1 = y, sentence, of, l1
+        self.used, self.feature = np.unique(feature, return_inverse=True)
+
+    def gradient(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(of each sentence's logit, of the parameters); the last two are the bias and the leak."""
+        y, of, n_s = self.y, self.of, len(self.of)
+        b, over = theta[-2], np.bincount(self.sentence, theta[self.feature], n_s)
+        counts = over >= 0
+        z = np.where(counts, b + over, b)
+        s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
+        to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
+        p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
+        g_z = to_s[of] * p * counts
+        tail = [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))]
+        return g_z, np.append(np.bincount(self.feature, g_z[self.sentence], len(self.used)), tail)
+
+    def run(self, theta: np.ndarray, steps: int, rate: float) -> np.ndarray:
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        for k in range(1, steps + 1):
+            grad = self.gradient(theta)[1]
+            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+            size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+            theta = theta - size * first / (1 - 0.9**k)
+            theta[:-2] = np.sign(theta[:-2]) * np.maximum(np.abs(theta[:-2]) - size[:-2] * self.l1, 0)
+        return theta
+
+
+def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, working: int = WORKING, rounds: int = 8) -> Model:
+    """l1-penalised weights over all features (most are zero); without both labels a constant model."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0, True)
-    # in parts, so that memory is that of a part and of what screening leaves
-    parts = list(_parts(texts))
-    seen = np.zeros((2, 1 << bits))
-    for i, j in parts:
+    # each text is cut up once; occurrences are kept as whole numbers of four bytes
+    kept, n_s = [], 0
+    for i, j in _parts(texts):
         sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
-        in_doc = np.unique(of[sentence].astype(np.int64) << bits | feature)
+        kept.append((sentence + np.int32(n_s), feature, (of + i).astype(np.int32)))
+        n_s += len(of)
+    sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
+    del kept
+    seen = np.zeros((2, 1 << bits))
+    for i in range(0, len(sentence), 1 << 22):
+        doc = of[sentence[i : i + (1 << 22)]].astype(np.int64)
+        in_doc = np.unique(doc << bits | feature[i : i + (1 << 22)])
         for label in (0, 1):
-            seen[label] += np.bincount(in_doc[y[i:j][in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
-    rate_0, rate_1 = seen[0] / (y == 0).sum(), seen[1] / (y == 1).sum()
-    spread = np.sqrt((seen.sum(0) + 1) / len(y))
-    tells = np.abs(rate_1 - rate_0) / spread * (seen.sum(0) >= support)
+            seen[label] += np.bincount(in_doc[y[in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
+    tells = np.abs(seen[1] / (y == 1).sum() - seen[0] / (y == 0).sum()) / np.sqrt((seen.sum(0) + 1) / len(y))
     chosen = np.zeros(1 << bits, bool)
-    chosen[np.argsort(-tells, kind="stable")[:screen]] = True
+    chosen[np.argsort(-tells, kind="stable")[:working]] = True
     chosen &= tells > 0
-    kept, n_s = [], 0
-    for i, j in parts:
-        sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
+    weights = np.zeros(1 << bits)
+    # the bias, and the leak of a document: what the words do not explain, whatever its length
+    tail = [max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS), np.log(np.expm1(-np.log1p(-y.mean() / 2)))]
+    for _ in range(rounds):
         own = chosen[feature]
-        kept.append((sentence[own] + n_s, feature[own], of + i))
-        n_s += len(of)
-    sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
-    used, feature = np.unique(feature, return_inverse=True)
-    # weights, bias, and the leak of a document: what the words do not explain, whatever its length
-    theta = np.zeros(len(used) + 2)
-    theta[-2] = max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS)
-    theta[-1] = np.log(np.expm1(-np.log1p(-y.mean() / 2)))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, steps + 1):
-        b, over = theta[-2], np.bincount(sentence, theta[feature], n_s)
-        counts = over >= 0
-        z = np.where(counts, b + over, b)
-        s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
-        to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
-        p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
-        g_z = to_s[of] * p * counts
-        grad = np.append(np.bincount(feature, g_z[sentence], len(used)), [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))])
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-        theta -= size * first / (1 - 0.9**k)
-        theta[:-2] = np.sign(theta[:-2]) * np.maximum(np.abs(theta[:-2]) - size[:-2] * l1, 0)
-    weights = np.zeros(1 << bits, np.float32)
-    weights[used] = theta[:-2]
-    return Model(weights, float(theta[-2]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` labelled documents whose id is not held out."""
+        step = _Fit(y, sentence[own], feature[own], of, l1)
+        theta = step.run(np.append(weights[step.used], tail), steps, rate)
+        weights[:] = 0
+        weights[step.used], tail = theta[:-2], theta[-2:].tolist()
+        # features outside whose gradient the penalty does not hold at zero
+        g_z = step.gradient(theta)[0]
+        pull = np.abs(np.bincount(feature, g_z[sentence], 1 << bits)) * ~chosen
+        late = np.argsort(-pull, kind="stable")[:working]
+        late = late[pull[late] > l1]
+        if not len(late):
+            break
+        chosen[late] = True
+    return Model(weights.astype(np.float32), float(tail[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, chars: int = FIT_CHARS) -> Model:
+    """Learn from at most ``sample`` labelled documents, ``chars`` characters together, whose id is not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return train(*sample_texts(docs, known, doc_id, text, LONG))
+    return train(*sample_texts(docs, known, doc_id, text, chars))
 
 
 def _score(model: Model, where: bool):
@@ -201,15 +229,26 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def report(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """``fit`` then ``score``.
+
+    Null labels and labels of null ids are not learnt; of labels that repeat an
+    id the largest counts; without both labels every document gets the score of
+    the one there is (0 without any).
+    """
     return score(docs, fit(docs, labels, **params))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD, **params) -> DataFrame:
-    """The documents that score below ``threshold``, unchanged."""
+    """The documents that score below ``threshold``, unchanged, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, text=text, **params)
-    names = [f"`{c}`" for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(text).alias("text"))
+    # a struct of numbered fields carries the row, whatever its columns are called
+    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.col(text).alias("text"))
 
     def run(batches):
         for batch in pieces(batches, "text", CHUNK):
@@ -217,4 +256,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
             keep = bags.noisy_or(bags.logits(model), model) < threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
-    return rows.mapInArrow(run, f"row {docs.schema.simpleString()}").select("row.*")
+    kept = rows.mapInArrow(run, T.StructType([T.StructField("row", row)]))
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -1,16 +1,26 @@
 """Nearest neighbours by additive quantisation, with exact reranking.
 
-A vector is approximated by the sum of M codewords, one from each of M
-full-dimensional codebooks. Codebooks start as residual k-means and are refined
-by least squares over beam-search codes; they are fitted on at most ``SAMPLE``
-distinct vectors (least hash of id first), while every vector is encoded and
-searched. The index row of a vector holds its M code bytes and two norms, of
-the vector and of its approximation, which rescale looked-up inner products.
-
-A block of queries meets a block of codes: inner products of the queries with
-all codewords form a lookup table, a vector's score is the sum of M lookups,
-and the best ``CANDIDATES`` distinct vectors of a query over all blocks are
-rescored with their original vectors in double precision.
+A vector is split into its norm (in double precision, so that components of any
+finite size take part) and its direction. A direction is approximated by the
+sum of M codewords, one from each of M full-dimensional codebooks. Codebooks
+start as residual k-means and are refined by least squares over beam-search
+codes; they are fitted on at most ``SAMPLE`` distinct vectors (least hash of id
+first), while every vector is encoded and searched. The index row of a vector
+holds its M code bytes, its norm, and the norm of its approximation, which
+rescales looked-up inner products.
+
+The index is divided into cells: power-of-two bands of the norm, times a pair
+of centroids of the direction's two halves, so many that a cell has about
+``CELL`` vectors. A query probes the cells of largest estimated inner product.
+In a cell, inner products of the queries with all codewords form a lookup
+table, a vector's score is the sum of M lookups, and the best candidates of a
+query over its cells are rescored with their original vectors in double
+precision. Work and shuffle are thus in proportion to the rows, up to
+``HALF``^2 cells a band; beyond them cells grow.
+
+Recall is measured before the search: ``TRIAL`` queries are searched exactly,
+and probes and candidates are doubled until the index finds ``TARGET`` of their
+neighbours or all cells are probed.
 
 Equal vectors are searched once and stand for their least k + 1 ids, which is
 all that a ranking of k with ties to the smaller id can use.
@@ -18,6 +28,8 @@ all that a ranking of k with ties to the smaller id can use.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +39,11 @@ from pyspark.sql.window import Window
 
 from lodestar.session import materialise
 
-BOOKS, WORDS, BEAM, SAMPLE, CANDIDATES = 32, 64, 4, 16_384, 200
+BOOKS, WORDS, BEAM, SAMPLE = 32, 64, 4, 16_384
+#: Vectors a cell; centroids of a half at most.
+CELL, HALF = 512, 1024
+#: Where the trial starts, its number of queries, the recall it asks for.
+PROBES, CANDIDATES, TRIAL, TARGET = 16, 200, 64, 0.97
 CODE_BLOCK, QUERY_BLOCK = 16_384, 512
 
 
@@ -86,24 +102,110 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 1
 
 
 def valid(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """``id, v``: distinct usable vectors (not null, not zero, all components finite).
+    """``id, v``: usable vectors (not null, not zero, all components finite), as doubles.
 
-    Lengths other than the most frequent one (of equals the longest) take no part.
+    Vectors shorter than the longest are filled up with zeros, which changes no inner product.
     """
     ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-    d = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
-    top = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return d.where(F.size("v") == (top.n if top else 0))
+    d = vectors.select(F.col(vec_id).try_cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
+    sizes = d.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if sizes.low == sizes.high:
+        return d
+    return d.select("id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(sizes.high) - F.size("v"))).alias("v"))
+
+
+def split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(norms in double precision, directions as float32)."""
+    top = np.abs(x).max(1)
+    u = x / top[:, None]
+    size = np.sqrt((u * u).sum(1))
+    with np.errstate(over="ignore"):
+        norm = np.minimum(top * size, np.finfo(float).max)
+    return norm, (u / size[:, None]).astype(np.float32)
+
+
+@dataclass
+class Index:
+    """Codebooks (M, words, d) and the centroids of the two halves of a direction."""
+
+    books: np.ndarray
+    halves: tuple[np.ndarray, np.ndarray]
+    bands: list[int]
+
+    @classmethod
+    def fit(cls, x: np.ndarray, n: int, bands: list[int]) -> Index:
+        _, u = split(x)
+        k = int(min(HALF, max(1, np.ceil(np.sqrt(n / CELL / max(len(bands), 1)))), max(1, len(u) // 8)))
+        rng, half = np.random.default_rng(5), (u.shape[1] + 1) // 2
+        return cls(train(u), tuple(kmeans(part, k, rng) for part in (u[:, :half], u[:, half:])), bands)
+
+    def cells(self, norm: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """band * HALF^2 + place of the first half * HALF + place of the second."""
+        out, at = band(norm) * HALF * HALF, 0
+        for c, step in zip(self.halves, (HALF, 1), strict=True):
+            part = u[:, at : at + c.shape[1]]
+            out += np.argmin((c * c).sum(1) - 2 * part @ c.T, 1) * step
+            at += c.shape[1]
+        return out
+
+    def all_cells(self) -> int:
+        return len(self.bands) * len(self.halves[0]) ** 2
+
+    def probes(self, u: np.ndarray, n: int) -> np.ndarray:
+        """The n cells of largest estimated inner product with each direction (all, if fewer)."""
+        half, k = self.halves[0].shape[1], len(self.halves[0])
+        n = min(n, self.all_cells())
+        # with both halves in order, the cell (i, j) has (i + 1) (j + 1) - 1 cells before it
+        i = np.repeat(np.arange(k), [min(k, n // (r + 1)) for r in range(k)])
+        j = np.concatenate([np.arange(min(k, n // (r + 1))) for r in range(k)])
+        bands = np.array(self.bands, np.int64)
+        scale = np.ldexp(0.75, np.maximum(bands - bands.max(), -1000))  # the middle of a band stands for its norms
+        out, block = [], max(1, (1 << 22) // (len(i) * len(bands)))
+        for at in range(0, len(u), block):
+            one, two = u[at : at + block, :half] @ self.halves[0].T, u[at : at + block, half:] @ self.halves[1].T
+            a, b = np.argsort(-one, 1, kind="stable"), np.argsort(-two, 1, kind="stable")
+            both = np.take_along_axis(one, a, 1)[:, i] + np.take_along_axis(two, b, 1)[:, j]
+            score = (both[:, None, :] * scale[:, None]).reshape(len(one), -1)
+            cell = ((a[:, i] * HALF + b[:, j])[:, None, :] + bands[:, None] * HALF * HALF).reshape(len(one), -1)
+            out.append(np.take_along_axis(cell, np.argsort(-score, 1, kind="stable")[:, :n], 1))
+        return np.concatenate(out)
+
+
+def band(norm: np.ndarray) -> np.ndarray:
+    return np.frexp(norm)[1].astype(np.int64) - 1
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    v = batch.column(batch.schema.get_field_index("v"))
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _bands(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(band(split(_vectors(batch))[0])))], ["band"])
+
+
+def _encode(index: Index):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            norm, u = split(_vectors(batch))
+            codes = np.concatenate([encode(u[i : i + 512], index.books) for i in range(0, len(u), 512)])
+            near = np.linalg.norm(index.books[np.arange(len(index.books)), codes].sum(1).astype(float), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(index.cells(norm, u)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(near)], ["rep", "cell", "codes", "norm", "near_norm"])
+
+    return run
 
 
-def _index(books: np.ndarray):
+def _probe(index: Index, n: int):
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float32)
-            codes = np.concatenate([encode(x[i : i + 512], books) for i in range(0, len(x), 512)])
-            near = books[np.arange(len(books)), codes].sum(1)
-            norms = [np.linalg.norm(y.astype(float), axis=1) for y in (x, near)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms)], ["rep", "codes", "norm", "near_norm"])
+            if batch.num_rows:
+                cells = index.probes(split(_vectors(batch))[1], n)
+                at = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(at), pa.array(cells.ravel())], ["q", "cell"])
 
     return run
 
@@ -117,56 +219,112 @@ def _search(books: np.ndarray, top: int):
             codes = codes.sort_values("rep")
             rep = codes["rep"].to_numpy()
             c = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, m)
-            scale = (codes["norm"] / np.maximum(codes["near_norm"], 1e-12)).to_numpy(np.float32)
+            scale = (codes["norm"] / np.maximum(codes["near_norm"], 1e-12)).to_numpy()
             for i in range(0, len(queries), 128):
                 part = queries.iloc[i : i + 128]
-                table = np.stack(part["v"].to_list()).astype(np.float32) @ books.reshape(m * k, d).T
+                table = split(np.stack(part["v"].to_list()))[1] @ books.reshape(m * k, d).T
                 score = sum(table[:, b * k : (b + 1) * k][:, c[:, b]] for b in range(m)) * scale
                 n = min(top, len(rep))
                 best = np.argpartition(-score, n - 1, 1)[:, :n]
-                out.append(pd.DataFrame({"q": np.repeat(part["rep"].to_numpy(), n), "rep": rep[best].ravel(), "near": np.take_along_axis(score, best, 1).ravel().astype(float)}))
+                out.append(pd.DataFrame({"q": np.repeat(part["rep"].to_numpy(), n), "rep": rep[best].ravel(), "near": np.take_along_axis(score, best, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "near": []})
 
     return run
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def _dot(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
+
+
+def _candidates(wanted: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, probes: int, candidates: int) -> DataFrame:
+    """``q, rep``: the best of each query by looked-up scores over its cells.
+
+    A large cell is dealt out in blocks of codes, a much asked one in blocks of queries.
+    """
+    asked = wanted.mapInArrow(_probe(index, probes), "q long, cell long").join(F.broadcast(sizes), "cell")
+    load = asked.groupBy(F.col("cell").alias("l_cell")).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("long").alias("q_blocks"))
+    asked = asked.join(load, F.col("cell") == F.col("l_cell")).join(wanted, F.col("q") == F.col("rep"))
+    left = asked.select("rep", "v", "cell", F.pmod(F.xxhash64("rep"), "q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_blocks") - 1)).alias("cb"))
+    right = codes.join(F.broadcast(sizes), "cell").join(load, F.col("cell") == F.col("l_cell"))
+    right = right.select("rep", "codes", "norm", "near_norm", "cell", F.pmod(F.xxhash64("rep", F.lit(1)), "c_blocks").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("qb"))
+    found = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInPandas(_search(index.books, candidates), "q long, rep long, near double")
+    by_near = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))
+    return found.withColumn("place", by_near).where(F.col("place") <= candidates).select("q", "rep")
+
+
+def _rescored(found: DataFrame, wanted: DataFrame, each: DataFrame, keep: int) -> DataFrame:
+    """``q, score, ids``: the best ``keep`` candidates of each query by the original vectors."""
+    a, b = wanted.select(F.col("rep").alias("qr"), F.col("v").alias("qv")), each.select(F.col("rep").alias("cr"), F.col("v").alias("cv"), "ids")
+    pairs = found.join(b, F.col("rep") == F.col("cr")).join(a, F.col("q") == F.col("qr"))
+    scored = pairs.select("q", _dot("qv", "cv").alias("score"), F.col("ids")[0].alias("first"), "ids")
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("place") <= keep)
+
+
+def _exact(queries: pd.DataFrame, keep: int):
+    """Brute force for a few queries: each batch's best."""
+    q, v = queries["rep"].to_numpy(), np.stack(queries["v"].to_list())
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = v @ _vectors(batch).T
+                n = min(keep, batch.num_rows)
+                best = np.argpartition(-score, n - 1, 1)[:, :n]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.take_along_axis(score, best, 1).ravel())], ["q", "score"])
+
+    return run
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", vector: str = "embedding", target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
     """Each query's k nearest: ``query_id, rank, vec_id, score``.
 
     Queries are the rows whose id is divisible by ``every``; all other rows are
-    candidates. Repeated rows count once; null ids take no part; an empty table
-    gives no rows.
+    candidates. Vectors that are null, zero or not finite take no part, nor do
+    ids that are null or no integers; vectors of several lengths are filled up
+    with zeros. Repeated rows count once; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     d = valid(vectors, vec_id, vector)
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     least = d.distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1)
     same = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # at most k + 1 of them
-    each = materialise(same.select(F.array_min("ids").alias("rep0"), "ids", "v").select(F.xxhash64("v").alias("rep"), "ids", "v"), "ann-distinct")
+    each = materialise(same.select(F.xxhash64("v").alias("rep"), "ids", "v"), "ann-distinct")
     n = each.count()
     fit_on = each.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").collect()
     if not fit_on:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = train(np.array([r.v for r in fit_on], np.float32))
-    blocks = -(-n // CODE_BLOCK)
-    codes = materialise(each.select("rep", "v").mapInArrow(_index(books), "rep long, codes binary, norm double, near_norm double"), "ann-codes")
+    bands = sorted(r.band for r in each.select("v").mapInArrow(_bands, "band long").distinct().collect())  # exponents of a double
+    index = Index.fit(np.array([r.v for r in fit_on]), n, bands)
+    codes = materialise(each.select("rep", "v").mapInArrow(_encode(index), "rep long, cell long, codes binary, norm double, near_norm double"), "ann-codes")
+    sizes = materialise(codes.groupBy("cell").agg(F.ceil(F.count("*") / CODE_BLOCK).cast("long").alias("c_blocks")), "ann-cells")
 
     asked = d.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("q")).distinct()
-    wanted = each.join(asked.select("q").distinct(), F.col("rep") == F.col("q"), "left_semi").select("rep", "v")
-    query_blocks = max(1, -(-asked.select("q").distinct().count() // QUERY_BLOCK))
-    left = wanted.select("rep", "v", F.pmod(F.xxhash64("rep"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"))
-    right = codes.select("*", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(_search(books, candidates), "q long, rep long, near double")
-    by_near = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))
-    found = found.withColumn("place", by_near).where(F.col("place") <= candidates).select("q", "rep")
+    wanted = materialise(each.join(asked.select("q").distinct(), F.col("rep") == F.col("q"), "left_semi").select("rep", "v"), "ann-queries")
+    probes, candidates = calibrate(wanted, each, codes, sizes, index, k, n, target)
 
-    a, b = wanted.select(F.col("rep").alias("qr"), F.col("v").alias("qv")), each.select(F.col("rep").alias("cr"), F.col("v").alias("cv"), "ids")
-    pairs = found.join(b, F.col("rep") == F.col("cr")).join(a, F.col("q") == F.col("qr"))
-    exact = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("q", exact.alias("score"), F.col("ids")[0].alias("first"), "ids")
-    scored = scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("place") <= k + 1)
+    scored = _rescored(_candidates(wanted, codes, sizes, index, probes, candidates), wanted, each, k + 1)
     listed = scored.select("q", "score", F.explode("ids").alias("vec_id"))
     listed = listed.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     listed = materialise(listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near")), "ann-near")
     out = asked.join(listed, "q").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     return out.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def calibrate(wanted: DataFrame, each: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, k: int, n: int, target: float) -> tuple[int, int]:
+    """(probes, candidates) with which ``TRIAL`` queries find ``target`` of their exact neighbours."""
+    trial = wanted.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(TRIAL).toPandas()
+    if not len(trial):
+        return PROBES, CANDIDATES
+    keep = min(k + 1, n)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    exact = each.select("v").mapInArrow(_exact(trial, keep), "q long, score double").withColumn("place", best).where(F.col("place") <= keep)
+    least = {r.q: r.score for r in exact.groupBy("q").agg(F.min("score").alias("score")).collect()}  # TRIAL rows
+    asked = wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(int(q),) for q in trial["rep"]], "t long")), F.col("rep") == F.col("t"), "left_semi")
+    probes, candidates = PROBES, max(CANDIDATES, k + 1)
+    while True:
+        rows = _rescored(_candidates(asked, codes, sizes, index, probes, candidates), asked, each, keep).select("q", "score").collect()  # k + 1 rows a trial query
+        found = sum(r.score >= least[r.q] - 1e-9 * abs(least[r.q]) for r in rows)
+        if found >= target * keep * len(trial) or (probes >= index.all_cells() and candidates >= n):
+            return probes, candidates
+        probes, candidates = min(2 * probes, max(index.all_cells(), 1)), min(2 * candidates, max(n, k + 1))

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestar.llm import ann, langid, lm_scoring, secret_scan, toxicity
@@ -50,10 +52,33 @@ def test_secret_spans_equal_brute_force(spark):
 def test_secret_network_tells_secrets_from_look_alikes():
     words = "the report of an entry in the yearly list was read by all members".split()
     texts = [" ".join(random.Random(i).choices(words, k=40)) for i in range(30)]
-    model = secret_scan.train(*secret_scan.labelled_findings(texts, 2000))
-    x, y = secret_scan.labelled_findings(texts, 600, seed=99)
-    s = model.score(x) >= model.threshold
-    assert s[y == 1].mean() > 0.9 and s[y == 0].mean() < 0.1
+    model = secret_scan.train(*secret_scan.labelled_findings(texts, 4000))
+    x, y, kind = secret_scan.labelled_findings(texts, 1500, seed=99)
+    s = model.score(x) >= np.array(model.thresholds)[kind]
+    assert s[y == 1].mean() > 0.9 and s[y == 0].mean() < 0.2
+    assert all(s[(y == 1) & (kind == k)].mean() > 0.85 for k in range(5))
+
+
+def test_secrets_beside_the_patterns_are_found(spark):
+    r = random.Random(5)
+    alnum, lines, want = string.ascii_letters + string.digits, [], []
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    for i in range(200):
+        value = [lambda: pick(string.ascii_letters, 40), lambda: pick(alnum + "!#$%", 12), lambda: "npm_" + pick(alnum, 36), lambda: pick(alnum, 700)][i % 4]()
+        lines.append((i, f"the report of the entry was read pwd: {value} by all members"))
+        want.append((i, lines[-1][1].index(value), value))
+    clean = [(1000 + i, "see https://example.org/the/yearly/report-of-members at 12:30, title: members of the yearly list, 2024-05-06T10:11:12Z") for i in range(50)]
+    got = {x.doc_id: x for x in secret_scan.report(spark.createDataFrame(lines + clean, "doc_id long, text string")).collect()}
+    assert all(got[i].n_candidates for i, _, _ in want)
+    found = [any(s.startswith(f"model:{a}:") and int(s.split(":")[2]) > a + len(v) // 2 for s in got[i].spans.split(",")) for i, a, v in want]
+    assert np.mean(found) > 0.9 and np.mean([got[i].n_model for i, _ in clean]) <= 0.1
+
+
+def test_parts_of_a_run_outside_a_pattern_stay_candidates():
+    text = "x9AbCdEfGhIjKlMnOpQrStUv" + "token=abcdefgh" + " AKIA" + "A1" * 8
+    base = secret_scan.base_spans(text)
+    assert [(text[s:e], k) for s, k, e in base] == [("token=abcdefgh", 0), ("AKIA" + "A1" * 8, 1)]
+    assert [text[s:e] for s, _, e in secret_scan.candidates(text, base)] == ["x9AbCdEfGhIjKlMnOpQrStUv"]
 
 
 def test_language_model_base_and_score(spark):
@@ -126,6 +151,44 @@ def test_neighbours_reach_the_recall_and_exact_scores(spark):
     assert hits / (75 * 20) >= 0.9
 
 
+def recall_of(got, z, k=20):
+    found, hits, asked = {}, 0, range(0, len(z), 20)
+    for g in got:
+        found.setdefault(g.query_id, set()).add(g.vec_id)
+    for q in asked:
+        with np.errstate(over="ignore"):
+            s = z @ z[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    return hits / (k * len(asked))
+
+
+@pytest.mark.parametrize("large", [1e25, 1e150])
+def test_large_vectors_do_not_spoil_the_recall(spark, large):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(1200, 12))
+    z[77, 3], z[78, 5], z[79] = large, -large, z[79] * 1e-30
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "vec_id long, embedding array<double>")).collect()
+    assert recall_of(got, z) >= 0.9
+
+
+def test_many_cells_keep_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 16)
+    monkeypatch.setattr(ann, "CODE_BLOCK", 20)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 8)
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(2000, 24)) * rng.lognormal(0, 1, size=(2000, 1))
+    got = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "vec_id long, embedding array<double>")).collect()
+    assert recall_of(got, z) >= 0.9
+
+
+def test_vectors_of_several_lengths_take_part(spark):
+    rows = [(i, [float(i + 1), 1.0][: 1 + i % 2]) for i in range(60)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 20").collect()
+    z = np.array([[*v, 0.0][:2] for _, v in rows])
+    assert [g.vec_id for g in sorted(got, key=lambda g: g["rank"])] == sorted((i for i in range(60) if i != 20), key=lambda i: (-(z[i] @ z[20]), i))[:20]
+
+
 def test_toxicity_on_held_out_documents(spark):
     r = random.Random(7)
     calm = "we went to the market and read the paper in the garden with tea and bread".split()
@@ -174,6 +237,41 @@ def test_long_labelled_texts_take_part_in_fitting(spark):
     assert model.weights.any() and not model.constant
 
 
+def test_every_feature_may_get_a_weight():
+    """The working set only orders the work: starting small or large gives the same verdicts."""
+    r = random.Random(3)
+    texts = [" ".join(r.choices("we read the paper in our garden".split(), k=12)) + (f". you rude{i % 60}x" if i % 3 == 0 else ".") for i in range(900)]
+    labels = [int(i % 3 == 0) for i in range(900)]
+    scores = []
+    for working in (4, 4096):
+        model = toxicity.train(labels, texts, working=working, rounds=200)
+        bags = toxicity.Bags(pa.array(texts))
+        scores.append(bags.noisy_or(bags.logits(model), model) >= 0.3)
+    assert (scores[0] == scores[1]).mean() > 0.99 and (scores[0] == np.array(labels, bool)).mean() > 0.98
+
+
+def plain_noisy_or(text, model):
+    """Sentence by sentence, in plain Python."""
+    p0, keep = 1 / (1 + math.exp(-model.bias)), 1.0
+    for sentence in re.split(r"[\n!.?]", text.lower()):
+        z = 0.0
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
+            bags = toxicity.Bags(pa.array([w]))
+            z += sum(float(model.weights[f[0]]) for f, own in zip(bags.feature, bags.own, strict=True) if own[0])
+        if z > 0:
+            keep *= (1 - 1 / (1 + math.exp(-model.bias - z))) / (1 - p0)
+    return 1 - keep
+
+
+def test_toxicity_equals_a_plain_noisy_or(spark):
+    r = random.Random(13)
+    texts = ["", "One. Two! three? vermin scum", *(". ".join(" ".join(r.choices("calm words vermin scum paper été".split(), k=4)) for _ in range(r.randint(1, 6))) for _ in range(40))]
+    model = toxicity.train([int("vermin" in t) for t in texts], texts)
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_noisy_or(t, model), abs=1e-5)
+
+
 def test_labels_of_held_out_documents_are_not_learnt(spark):
     docs = [(i, "good words only" if i % 2 else "bad words only") for i in range(200)]
     labels = [(i, 1 - i % 2) for i in range(200)]

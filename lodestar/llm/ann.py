@@ -18,9 +18,10 @@ query over its cells are rescored with their original vectors in double
 precision. Work and shuffle are thus in proportion to the rows, up to
 ``HALF``^2 cells a band; beyond them cells grow.
 
-Recall is measured before the search: ``TRIAL`` queries are searched exactly,
-and probes and candidates are doubled until the index finds ``TARGET`` of their
-neighbours or all cells are probed.
+Recall is measured before the search: ``TRIAL`` queries are searched exactly.
+Probes are the fewest whose cells hold their neighbours (all cells if
+``MOST_PROBES`` do not), and candidates are doubled until ``TARGET`` of the
+neighbours are found.
 
 Equal vectors are searched once and stand for their least k + 1 ids, which is
 all that a ranking of k with ties to the smaller id can use.
@@ -41,9 +42,9 @@ from lodestar.session import materialise
 
 BOOKS, WORDS, BEAM, SAMPLE = 32, 64, 4, 16_384
 #: Vectors a cell; centroids of a half at most.
-CELL, HALF = 512, 1024
-#: Where the trial starts, its number of queries, the recall it asks for.
-PROBES, CANDIDATES, TRIAL, TARGET = 16, 200, 64, 0.97
+CELL, HALF = 8192, 1024
+#: Candidates the trial starts with, its number of queries, the recall it asks for, the probes it weighs.
+CANDIDATES, TRIAL, TARGET, MOST_PROBES = 200, 64, 0.97, 4096
 CODE_BLOCK, QUERY_BLOCK = 16_384, 512
 
 
@@ -271,7 +272,8 @@ def _exact(queries: pd.DataFrame, keep: int):
                     score = v @ _vectors(batch).T
                 n = min(keep, batch.num_rows)
                 best = np.argpartition(-score, n - 1, 1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(np.take_along_axis(score, best, 1).ravel())], ["q", "score"])
+                rep = batch.column("rep").to_numpy()[best].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(rep), pa.array(np.take_along_axis(score, best, 1).ravel())], ["q", "rep", "score"])
 
     return run
 
@@ -315,16 +317,23 @@ def calibrate(wanted: DataFrame, each: DataFrame, codes: DataFrame, sizes: DataF
     """(probes, candidates) with which ``TRIAL`` queries find ``target`` of their exact neighbours."""
     trial = wanted.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(TRIAL).toPandas()
     if not len(trial):
-        return PROBES, CANDIDATES
+        return 1, CANDIDATES
     keep = min(k + 1, n)
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    exact = each.select("v").mapInArrow(_exact(trial, keep), "q long, score double").withColumn("place", best).where(F.col("place") <= keep)
-    least = {r.q: r.score for r in exact.groupBy("q").agg(F.min("score").alias("score")).collect()}  # TRIAL rows
-    asked = wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(int(q),) for q in trial["rep"]], "t long")), F.col("rep") == F.col("t"), "left_semi")
-    probes, candidates = PROBES, max(CANDIDATES, k + 1)
-    while True:
-        rows = _rescored(_candidates(asked, codes, sizes, index, probes, candidates), asked, each, keep).select("q", "score").collect()  # k + 1 rows a trial query
-        found = sum(r.score >= least[r.q] - 1e-9 * abs(least[r.q]) for r in rows)
-        if found >= target * keep * len(trial) or (probes >= index.all_cells() and candidates >= n):
-            return probes, candidates
-        probes, candidates = min(2 * probes, max(index.all_cells(), 1)), min(2 * candidates, max(n, k + 1))
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+    exact = each.select("rep", "v").mapInArrow(_exact(trial, keep), "q long, rep long, score double").withColumn("place", best).where(F.col("place") <= keep)
+    near = exact.join(codes.select(F.col("rep").alias("c_rep"), "cell"), F.col("rep") == F.col("c_rep")).select("q", "score", "cell").collect()  # keep rows a trial query
+    order = index.probes(split(np.stack(trial["v"].to_list()))[1], MOST_PROBES)
+    place = {(q, c): i for q, row in zip(trial["rep"], order.tolist(), strict=True) for i, c in enumerate(row)}
+    needed = sorted(place.get((r.q, r.cell), index.all_cells() - 1) for r in near)
+    probes = needed[min(len(needed) - 1, int((1 + target) / 2 * len(needed)))] + 1
+    least: dict[int, float] = {}
+    for r in near:
+        least[r.q] = min(r.score, least.get(r.q, r.score))
+    asked = materialise(wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(int(q),) for q in trial["rep"]], "t long")), F.col("rep") == F.col("t"), "left_semi"), "ann-trial")
+    candidates = max(CANDIDATES, k + 1)
+    while candidates < n:
+        rows = _rescored(_candidates(asked, codes, sizes, index, probes, candidates), asked, each, keep).select("q", "score").collect()
+        if sum(r.score >= least[r.q] - 1e-9 * abs(least[r.q]) for r in rows) >= target * len(near):
+            break
+        candidates *= 2
+    return probes, candidates

@@ -8,7 +8,8 @@ no window leaves the stage unless it really occurs. Per document the hit words
 are the union of the windows found.
 
 The hash set is broadcast only up to ``broadcast_windows`` rows; a larger
-benchmark is joined by shuffling (hash, second hash, document, position) rows.
+benchmark is joined by shuffling (hash, second hash, document, position) rows,
+and the words of what is found are compared with the texts afterwards.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.llm.rows import packed, unpacked
 from lodestar.session import materialise
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,7 +47,7 @@ def _hash(words: Column, at: Column, n: int, *first: Column) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """``item, win, len, key, check`` for every window of every item."""
+    """``item, len, win`` for every window of every item."""
     w = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("w"))
     starts = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)).when(F.size("w") > 0, F.array(F.lit(0)))
     w = w.select("item", "w", F.least(F.size("w"), F.lit(size)).alias("len"), F.explode(starts).alias("at"))
@@ -89,10 +91,13 @@ def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         on = (F.col("p.key") == F.col("key")) & (F.col("p.n") == F.col("len")) & (F.col("at") >= 0) & same
         found = pos.join(F.broadcast(keyed.drop("check")), on, "left")
     else:
-        pos = pos.select("doc_id", "row_key", "n_words", "at", F.col("p.key").alias("k1"), F.col("p.check").alias("k2"), F.col("p.n").alias("k3"))
-        on = (F.col("k1") == F.col("key")) & (F.col("k2") == F.col("check")) & (F.col("k3") == F.col("len"))
         heads = pos.where("at < 0").select("doc_id", "row_key", "n_words", "at", F.lit(None).cast("int").alias("len"), F.lit(None).cast("long").alias("win_id"))
-        found = pos.where("at >= 0").join(keyed, on, "inner").select("doc_id", "row_key", "n_words", "at", "len", "win_id").unionByName(heads)
+        pos = pos.where("at >= 0").select("doc_id", "row_key", "n_words", "at", F.col("p.key").alias("k1"), F.col("p.check").alias("k2"), F.col("p.n").alias("k3"))
+        on = (F.col("k1") == F.col("key")) & (F.col("k2") == F.col("check")) & (F.col("k3") == F.col("len"))
+        hits = pos.join(keyed, on).select("doc_id", "row_key", "n_words", "at", "len", "win_id", "win")
+        texts = cut.select(F.col("row_key").alias("t_key"), "w").dropDuplicates(["t_key"])
+        same = F.expr("array_join(slice(w, at + 1, len), ' ') = win")
+        found = hits.join(texts, (F.col("row_key") == F.col("t_key")) & same).select("doc_id", "row_key", "n_words", "at", "len", "win_id").unionByName(heads)
     found = found.where((F.col("at") < 0) | F.col("win_id").isNotNull()).select("doc_id", "row_key", "n_words", "at", "len", "win_id")
     return materialise(found, "bench-hits"), wins
 
@@ -128,10 +133,13 @@ def report(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
-    dirty = judge(*scan(docs, items, **params)).where("contaminated").select(F.col("row_key").alias("__key")).distinct()
-    key = row_key(F.col(params.get("doc_id", "doc_id")), F.col(params.get("text", "text")))
-    return docs.join(dirty, key == F.col("__key"), "left_anti")
+    """The documents that are not contaminated, unchanged, with all their columns.
+
+    Documents without words stay, as all do without items; repeated rows stay or go together.
+    """
+    dirty = judge(*scan(docs, items, **params)).where("contaminated").select(F.col("row_key").alias("dirty_key")).distinct()
+    rows = packed(docs, key=row_key(F.col(params.get("doc_id", "doc_id")), F.col(params.get("text", "text"))))
+    return unpacked(rows.join(dirty, F.col("key") == F.col("dirty_key"), "left_anti"), docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -25,7 +25,8 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", t
     whole. They are taken in order of the hash of their id as long as they fit
     into ``chars`` characters together; one that does not fit is passed over.
     """
-    row = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    kind = labelled.schema["id"].dataType.simpleString()
+    row = docs.select(F.col(doc_id).try_cast(kind).alias("d"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     row = row.select("d", "t", F.xxhash64("t").alias("h"), F.length("t").alias("n"))
     sizes = row.join(F.broadcast(labelled), F.col("d") == F.col("id")).groupBy("id").agg(F.min(F.struct("n", "h")).alias("m"), F.first("label").alias("label"))
     taken, left = [], chars
@@ -35,7 +36,6 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", t
             left -= r.n
     if not taken:
         return [], []
-    kind = labelled.schema["id"].dataType.simpleString()
     wanted = docs.sparkSession.createDataFrame([x[:3] for x in taken], f"w_id {kind}, w_h long, w_n int")
     found = row.join(F.broadcast(wanted), (F.col("d") == F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("n") == F.col("w_n")))
     texts = {r.w_id: r.t for r in found.groupBy("w_id").agg(F.min("t").alias("t")).collect()}

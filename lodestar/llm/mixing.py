@@ -1,6 +1,6 @@
 """Mix sources to target weights with hash-threshold histograms (native).
 
-Each document gets a 60-bit hash of its id. Tokens are summed by (source,
+Each document gets a 60-bit hash of its id and text. Tokens are summed by (source,
 top 12 hash bits); a running sum over at most 4096 buckets a source finds the
 bucket in which the source's budget runs out; only that boundary bucket is
 refined by the next 12 bits, and so on. What comes out is one hash threshold a
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodestar.llm.rows import packed, unpacked
 from lodestar.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(doc_id: Column) -> Column:
-    """60 uniform bits of the document id; null ids share one value."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """60 uniform bits of the document's id and text; equal rows share one value."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(" "), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(both), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -45,8 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     goes through one window here: a table of names, not of documents.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    src = sizes.select("source", "source_size", weight.cast("long").alias("w")).withColumn("cap", F.col("source_size") * max_repeats)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    src = sizes.select("source", "source_size", weight.alias("w")).withColumn("cap", F.col("source_size") * max_repeats)
     by_ratio = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before, everything = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     src = src.withColumn("level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))))
@@ -101,7 +103,7 @@ def plan_mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeat
 
     The texts are read once; sizes and hashes are then a narrow written table.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), id_hash(F.col(doc_id)).alias("h"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(doc_id), F.col(text)).alias("h"))
     sized = materialise(sized, "mix-sizes")
     targets = materialise(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats), "mix-targets")
     return sized, thresholds(sized, targets)
@@ -115,8 +117,8 @@ def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix_table(docs: DataFrame, **params) -> DataFrame:
     """Per document ``doc_id, size, source_size, target, taken``; see ``plan_mix``.
 
-    Null texts have size 0, an empty table gives no rows, rows that share a
-    doc_id stand or fall together, and further columns are ignored.
+    Null texts have size 0, an empty table gives no rows, equal rows stand or
+    fall together, and further columns are ignored.
     """
     sized, plan = plan_mix(docs, **params)
     copies = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
@@ -131,16 +133,17 @@ def mix_documents(docs: DataFrame, copies: str = "copies", **params) -> DataFram
     """
     _, plan = plan_mix(docs, **params)
     doc_id, text, source = (params.get(k, k) for k in ("doc_id", "text", "source"))
-    names = [c for c in docs.columns if c != copies]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source).cast("string").alias("source"), id_hash(F.col(doc_id)).alias("h"), (F.regexp_instr(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)) == 0).alias("empty"))
+    docs = docs.drop(copies)
+    inner = packed(docs, source=F.col(source).cast("string"), h=row_hash(F.col(doc_id), F.col(text)), empty=F.regexp_instr(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)) == 0)
     n = F.when(F.col("empty"), F.lit(1)).otherwise(F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")).cast("int")
-    return _taken(inner, plan).select("row.*", n.alias(copies)).where(F.col(copies) > 0)
+    taken = _taken(inner, plan).select("row", n.alias("n")).where("n > 0")
+    return unpacked(taken, docs.columns, None, F.col("n").alias(copies))
 
 
 ORACLE_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h from documents),
+         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ' ' || md5(coalesce(text, ''))), 1, 15))::bigint as h from documents),
 src as (
   select source, sum(size)::bigint as source_size,
          ((row_number() over (order by encode(source) nulls last) - 1) % 3 + 1)::bigint as w from sized group by source),

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.decontamination import row_key
+from lodestar.llm.rows import packed, unpacked
 from lodestar.session import materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -217,16 +218,14 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **para
     """
     f = find(docs, doc_id, text, **params).where((F.size("base") > 0) | (F.size("terms") > 0))
     labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]])
-    f = f.select(F.col("row_key").alias("__key"), F.array_sort(F.concat("base", "terms")).alias("__spans")).dropDuplicates(["__key"])
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), row_key(F.col(doc_id), F.col(text)).alias("__k"), F.col(text).alias("__t"))
-    rows = rows.join(f, F.col("__k") == F.col("__key"), "left")
-    t = F.col("__t")
+    f = f.select(F.col("row_key").alias("f_key"), F.array_sort(F.concat("base", "terms")).alias("spans")).dropDuplicates(["f_key"])
+    rows = packed(docs, key=row_key(F.col(doc_id), F.col(text)), t=F.col(text)).join(f, F.col("key") == F.col("f_key"), "left")
+    t = F.col("t")
 
     def step(acc, s):
         put = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.when(s["k"] < 4, F.get(labels, s["k"])).otherwise(s["value"])))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(put)).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""))
-    return rows.select(*[(F.when(F.col("__spans").isNull(), t).otherwise(clean).alias(c) if c == text else F.col("row")[c].alias(c)) for c in names])
+    clean = F.aggregate("spans", zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, F.length(t)))), ""))
+    return unpacked(rows, docs.columns, {text: F.when(F.col("spans").isNull(), t).otherwise(clean)})

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
 from lodestar.llm.decontamination import row_key
+from lodestar.llm.rows import packed, unpacked
 from lodestar.llm.tokens import pieces, utf8
 from lodestar.session import materialise, small_batches
 
@@ -81,7 +82,7 @@ def _fingerprints(shingle: int):
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, row_key, fp`` for each row; fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc_id).try_cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).alias("text"))
     return d.mapInArrow(_fingerprints(shingle), "doc_id long, row_key string, fp long")
 
 
@@ -111,8 +112,8 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def group_bits(corr: np.ndarray, m: int) -> list[list[int]]:
     """m partitions of nearly equal size; each takes the bits most correlated with it."""
-    left, out = set(range(BITS)), []
-    strength = np.abs(corr) - np.eye(BITS)
+    left, out = set(range(len(corr))), []
+    strength = np.abs(corr) - np.eye(len(corr))
     for g in range(m):
         size = math.ceil(len(left) / (m - g))
         free = sorted(left)
@@ -214,13 +215,15 @@ def report(docs: DataFrame, **params) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
-    """One document of each group: the one of least id (nulls last), unchanged."""
+    """One document of each group of ``report``, unchanged, with all its columns: the one of least id (nulls last).
+
+    Texts without words, null included, are one group; an empty table stays empty.
+    """
     fp, groups = grouped(docs, doc_id, text, **params)
     rows = fp.join(groups, F.col("fp") == F.col("f")).groupBy("root", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
     keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"), F.col("n"))).alias("k"))
-    keep = materialise(keep.select(F.col("k.row_key").alias("__key"), F.col("k.n").alias("__n")), "simhash-keep")
-    key = row_key(F.col(doc_id), F.col(text))
-    once = docs.join(keep.where("__n = 1"), key == F.col("__key"), "left_semi")
-    again = keep.where("__n > 1")
-    again = docs.select("*", key.alias("__row")).join(again, F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"]).drop("__row")
-    return once.unionByName(again)
+    keep = materialise(keep.select(F.col("k.row_key").alias("k_key"), F.col("k.n").alias("n")), "simhash-keep")
+    row = packed(docs, key=row_key(F.col(doc_id), F.col(text)))
+    once = row.join(keep.where("n = 1"), F.col("key") == F.col("k_key"), "left_semi")
+    again = row.join(keep.where("n > 1"), F.col("key") == F.col("k_key"), "left_semi").dropDuplicates(["key"])
+    return unpacked(once.unionByName(again), docs.columns)

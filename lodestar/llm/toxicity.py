@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestar.llm.folds import FIT_CHARS, held_out, sample_texts
+from lodestar.llm.rows import packed, row_type, unpacked
 from lodestar.llm.tokens import MARKS, Words, codepoints, pieces
 from lodestar.session import small_batches
 
@@ -245,10 +246,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
     """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, text=text, **params)
-    # a struct of numbered fields carries the row, whatever its columns are called
-    row = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
-    names = [f"`{c.replace('`', '``')}`" for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.col(text).alias("text"))
+    rows = packed(docs, text=F.col(text))
 
     def run(batches):
         for batch in pieces(batches, "text", CHUNK):
@@ -256,5 +254,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", thresho
             keep = bags.noisy_or(bags.logits(model), model) < threshold
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], ["row"])
 
-    kept = rows.mapInArrow(run, T.StructType([T.StructField("row", row)]))
-    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    kept = rows.mapInArrow(run, T.StructType([T.StructField("row", row_type(docs))]))
+    return unpacked(kept, docs.columns)

@@ -3,8 +3,9 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, pii, secret_scan, simhash, substring_dedup, toxicity
+from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, near_duplicates, pii, secret_scan, simhash, substring_dedup, toxicity
 
 E = hashlib.sha256(b"").hexdigest()
 ROWS = [
@@ -19,8 +20,8 @@ ITEMS = [(1, "same words"), (2, None), (None, "again and"), (3, "")]
 @pytest.fixture(scope="module")
 def tables(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA)
-    for clash in ("row_key", "h", "size", "fp", "mark", "word", "stats", "base", "terms", "w", "at", "key", "row", "copies", "target", "id", "label", "d", "t"):
-        docs = docs.selectExpr("*", f"'x' as {clash}")
+    for clash in ("row_key", "h", "size", "fp", "mark", "word", "stats", "base", "terms", "w", "at", "key", "row", "copies", "target", "id", "label", "d", "t", "uid", "__key", "__row", "__n", "a-b", "a b", "a.b", "q`q"):
+        docs = docs.withColumn(clash, F.lit("x"))
     return docs, spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int"), spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
@@ -63,7 +64,7 @@ def test_empty_tables(tables, name):
 
 def test_filters_keep_columns_and_clean_rows(tables):
     docs, labels, items = tables
-    for kept in (toxicity.remove_toxic(docs, labels), simhash.deduplicate(docs), decontamination.decontaminate(docs, items), pii.sanitise(docs), mixing.mix_documents(docs, copies="n")):
+    for kept in (toxicity.remove_toxic(docs, labels), simhash.deduplicate(docs), near_duplicates.deduplicate(docs), decontamination.decontaminate(docs, items), pii.sanitise(docs), mixing.mix_documents(docs, copies="n")):
         assert [c for c in kept.columns if c != "n"] == docs.columns
         kept.collect()
     assert decontamination.decontaminate(docs, items).where("doc_id = 3").count() == 0
@@ -74,6 +75,31 @@ def test_vectors_null_zero_broken_and_repeated(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [0.5, 0.0]), (7, [0.5, 0.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.0]), (40, None)]
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert [(r["rank"], r.vec_id, r.score) for r in got if r.query_id == 0] == [(1, 1, 1.0), (2, 7, 0.5), (3, 20, -1.0)]
+    assert [(r["rank"], r.vec_id, r.score) for r in got if r.query_id == 0] == [(1, 1, 1.0), (2, 8, 1.0), (3, 7, 0.5), (4, 20, -1.0)]
     assert {r.query_id for r in got} == {0, 20}
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_ids_that_are_text(tables):
+    docs, labels, items = tables
+    docs = docs.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    for name in REPORTS:
+        assert REPORTS[name](docs, labels, items).count() == len(ROWS)
+    assert near_duplicates.deduplicate(docs).count() == 5
+
+
+def test_weights_need_not_be_whole(tables):
+    got = mixing.mix_table(tables[0], weights=(0.5, 1.5)).collect()
+    assert len(got) == len(ROWS) and all(r.target is not None for r in got)
+
+
+def test_joins_without_broadcast(tables, monkeypatch):
+    docs, _, items = tables
+    reports = {"bench": lambda: decontamination.report(docs, items, broadcast_windows=0), "pii": lambda: pii.report(docs), "simhash": lambda: simhash.report(docs), "mix": lambda: mixing.mix_table(docs)}
+    with_broadcast = {"bench": decontamination.report(docs, items), "pii": pii.report(docs), "simhash": simhash.report(docs), "mix": mixing.mix_table(docs)}
+    want = {k: sorted(map(str, v.collect())) for k, v in with_broadcast.items()}
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for name, make in reports.items():
+        assert sorted(map(str, make().collect())) == want[name], name

@@ -136,13 +136,19 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("n"), (i * step).alias("start"), F.substring(text, i * step + 1, F.lit(size)).alias("chunk"))))
 
 
+#: What a page does not show, in patterns that Java and RE2 both read.
+UNSEEN = (r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", r"(?s)<[^>]*>")
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def visible_text(html: Column) -> Column:
     """What a reader of an HTML page sees, roughly: markup, scripts, styles and comments go, basic entities are decoded."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    t = html
+    for pattern in UNSEEN:
+        t = F.regexp_replace(t, pattern, " ")
+    for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(t, r"[ \t\r\n\f]+", " "))
 
 
 NUMBER_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}

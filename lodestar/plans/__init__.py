@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business", "monitoring", "knowledge")
+FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring")
 
 
 def load_queries() -> dict:

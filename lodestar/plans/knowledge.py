@@ -139,11 +139,11 @@ def chunked(spark, d):
     return c.select("doc_id", F.col("c.n").cast("long").alias("n"), F.length("c.chunk").cast("long").alias("size"), F.sha2("c.chunk", 256).alias("sha"))
 
 
-@query("x26_keyword_and_hybrid")
-def keyword_and_hybrid(spark, d):
+@query("x26_keyword", r"""with b as (select item_id as query_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN-]+'), lambda w: w <> ''))) as w from benchmark), c as (select doc_id as chunk_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\pL\pN-]+'), lambda w: w <> ''))) as w from documents),
+  k as (select query_id, chunk_id, count(*) as score from b join c using (w) group by 1, 2) select * from (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from k) where rank <= 10""")
+def keyword(spark, d):
     b, docs = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    k = retrieval.keyword_search(b, docs, 10)
-    return retrieval.fuse(k, k.where("rank <= 3"), 5)
+    return retrieval.keyword_search(b, docs, 10)
 
 
 @query("x28_token_estimate", "select conv_id, sum(greatest(1, round_even(length(text) / 3.5, 0)))::bigint as tokens from conversations group by conv_id")
@@ -190,7 +190,14 @@ def resumable_schedule(spark, d):
     return c.join(done, ["run", "item_id"], "left_anti").select("run", "item_id", F.col("pos").cast("long").alias("pos"), "config", "turn")
 
 
-@query("html_to_text")
+def _seen(html: str) -> str:
+    shown = _chain(html, [(p, " ") for p in text.UNSEEN])
+    for entity, char in text.ENTITIES:
+        shown = "replace({}, '{}', '{}')".format(shown, entity, char.replace("'", "''"))
+    return f"trim(regexp_replace({shown}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ')"
+
+
+@query("html_to_text", f"select page_id, sha256({_seen('html')}) as sha, length({_seen('html')})::int as n from pages")
 def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(text.visible_text(F.col("html")), 256).alias("sha"), F.length(text.visible_text(F.col("html"))).alias("n"))
 

@@ -73,7 +73,7 @@ def twin_language_first(spark, d):
     return verdicts.twin_first(h, "query_id", "rank", "twin")
 
 
-@query("x15_model_ranking", TOPK_SQL + f""", f as (select ql as model, query_id, min(case when relevant then rank end) as first from hits group by all), g as (select model, count(*) as n, count_if(first <= 5) as hits, {MICRO.format('avg(coalesce(1.0 / first, 0))')} as mrr from f group by 1)
+@query("x15_model_ranking", TOPK_SQL + f""", f as (select ql as model, query_id, min(case when relevant then rank end) as first from hits group by all), g as (select model, count(*) as n, count_if(coalesce(first, 99) <= 5) as hits, {MICRO.format('avg(coalesce(1.0 / first, 0))')} as mrr from f group by 1)
   select model, n, hits, mrr, row_number() over (order by hits / n desc, mrr desc, model)::int as place from g""")
 def model_ranking(spark, d):
     f = top_hits(spark, d).groupBy(F.col("ql").alias("model"), "query_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))

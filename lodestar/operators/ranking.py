@@ -26,3 +26,16 @@ def running_bounds(df: DataFrame, key: str, weight: str) -> DataFrame:
     """
     w = Window.orderBy(key)
     return df.select(key, weight, F.coalesce(F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("lo"), F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("hi"))
+
+
+def numbered(df: DataFrame, part: Column, order: list[str], place: str) -> DataFrame:
+    """Numbers from 1 in the order of ``part`` then ``order``, without one task for all rows.
+
+    ``part`` is a coarse, order-keeping value (a day of a time): rows are
+    numbered within each part, and each part starts after those before it.
+    """
+    d = df.withColumn("_part", part)
+    own = d.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = d.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a part
+    return own.join(before, F.col("_part").eqNullSafe(F.col("_p"))).withColumn(place, F.col("_own") + F.col("_before")).drop("_part", "_own", "_p", "_before")

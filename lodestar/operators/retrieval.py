@@ -25,13 +25,17 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int, salts: int = 16) -> DataFrame:
+#: Chunks and queries that one task holds at a time.
+CHUNK_BLOCK, QUERY_BLOCK = 20_000, 2_000
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, chunk_id, distance``: exact cosine top k under the order (distance, chunk_id).
 
-    ``queries`` (query_id, qv) is a stated set, met block by block: chunks are
-    dealt over ``salts`` shares, queries go to every share, each share keeps
-    its k best of each query, and the few survivors are ranked. Nothing is
-    broadcast and no pair is a row.
+    ``queries`` (query_id, qv) is a stated set, met block by block: both sides
+    are counted and dealt into blocks of a bounded size, each pair of blocks
+    keeps its k best of each query, and the few survivors are ranked. Nothing
+    is broadcast and no pair is a row.
     """
 
     def best(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -53,9 +57,12 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, salts: int = 16) -> Da
                     out.append(pd.DataFrame({"query_id": qid, "chunk_id": c["chunk_id"].to_numpy()[near], "distance": row[near]}))
         return pd.concat(out)
 
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "qv").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "cv").withColumn("share", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int"))
-    near = left.groupBy("share").cogroup(right.groupBy("share")).applyInPandas(best, "query_id long, chunk_id long, distance double")
+    parts, asked = (max(1, -(-df.count() // size)) for df, size in ((chunks, chunk_block), (queries, query_block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "qv").select("*", deal("query_id", asked).alias("block"), every(parts).alias("share"))
+    right = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "cv").select("*", deal("chunk_id", parts).alias("share"), every(asked).alias("block"))
+    near = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInPandas(best, "query_id long, chunk_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
 

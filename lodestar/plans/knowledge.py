@@ -79,12 +79,14 @@ def containability(spark, d):
     # anchored by the passage's first words, so that no pair of all passages and documents is made
     first = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 4), " ")
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    grams = docs.select("doc_id", words.alias("w"), "text")
-    grams = grams.select("doc_id", "text", F.explode(F.when(F.size("w") > 3, F.sequence(F.lit(0), F.size("w") - 4))).alias("i"), "w")
-    grams = grams.select("doc_id", "text", F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(1, 4)]).alias("g"))
+    grams = docs.select("doc_id", words.alias("w"))
+    grams = grams.select("doc_id", F.explode(F.when(F.size("w") > 3, F.sequence(F.lit(0), F.size("w") - 4))).alias("i"), "w")
+    grams = grams.select("doc_id", F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(1, 4)]).alias("g"))
     p = b.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 3), " ").alias("pg"))
     # the item's own first word may be glued to the word before it, so the anchor starts at its second
-    return grams.join(F.broadcast(p) if p.count() < 10_000 else p, F.col("g") == F.col("pg")).where(F.contains("text", "passage")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    met = grams.join(F.broadcast(p) if p.count() < 10_000 else p, F.col("g") == F.col("pg")).select("doc_id", "item_id", "passage").distinct()
+    # texts are fetched for what met an anchor only
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
 
 
 @query("x11_threshold_calibration", TOPK_SQL + f""", s as (select distance, count_if(relevant) as p, count_if(not relevant) as n from hits group by 1), c as (select distance, sum(p) over w as tp, sum(n) over w as fp, sum(p) over () as pp, sum(n) over () as nn from s window w as (order by distance)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators import detectors, intervals, series
+from lodestar.operators import detectors, intervals, ranking, series
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
 
@@ -21,7 +21,7 @@ LONG_SQL = f"""select ts, signal, val from s unpivot (val for signal in ({', '.j
 
 def incidents(spark, d):
     e = table(spark, d, "events").where("event_type = 'error'").select("ts", "event_id")
-    e = e.withColumn("n", F.row_number().over(Window.orderBy("ts", "event_id"))).where("n % 40 = 0")  # derived test data
+    e = ranking.numbered(e, F.to_date("ts"), ["ts", "event_id"], "n").where("n % 40 = 0")
     return e.select(F.concat(F.lit("I"), F.lpad((F.col("n") / 40).cast("int").cast("string"), 4, "0")).alias("incident"), F.col("ts").alias("start_ts"), F.expr("ts + interval 90 minutes").alias("end_ts"))
 
 

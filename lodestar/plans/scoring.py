@@ -11,6 +11,7 @@ from lodestar.operators import retrieval, verdicts
 from lodestar.plans.knowledge import EDGES_SQL, TOPK_SQL, edges, top_hits
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
+from lodestar.sources import tables as upserts
 
 
 @query("r3_tolerant_matching", """with g as (select c_nationkey as nation, c_acctbal as v, row_number() over (partition by c_nationkey order by c_acctbal) as p from customer),
@@ -250,3 +251,35 @@ def budgeted_k(spark, d):
 @query("x35_terms_in_text", "select item_id, contains(' ' || regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN]+', ' ', 'g'), '^ | $', '', 'g') || ' ', ' that ') as has_that from benchmark")
 def terms_in_text(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.has_term(F.lit("that"), F.col("text")).alias("has_that"))
+
+
+SOURCE_SQL = "select c_custkey, c_name, c_acctbal + case when c_custkey % 3 = 0 then 1 else 0 end as c_acctbal from customer where c_custkey % 5 <> 0 union all select c_custkey + 10000000, c_name, c_acctbal from customer where c_custkey % 50 = 0"
+
+
+def _target_and_source(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    changed = t.where("c_custkey % 5 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0))
+    return t, changed.unionByName(t.where("c_custkey % 50 = 0").withColumn("c_custkey", F.col("c_custkey") + 10_000_000))
+
+
+@query("s14_merge_upsert", f"""with s as ({SOURCE_SQL}), j as (select coalesce(s.c_custkey, t.c_custkey) as k, case when t.c_custkey is null then 'insert' when s.c_custkey is not null and (s.c_name, s.c_acctbal) is distinct from (t.c_name, t.c_acctbal) then 'update' else 'keep' end as action, coalesce(s.c_acctbal, t.c_acctbal) as v
+  from customer t full join s on s.c_custkey = t.c_custkey) select action, count(*) as "count" from j group by 1""")
+def merge_upsert(spark, d):
+    return upserts.merge(*_target_and_source(spark, d), ["c_custkey"])[1]
+
+
+@query("s14_merged_rows", f"with s as ({SOURCE_SQL}) select coalesce(s.c_custkey, t.c_custkey) as c_custkey, coalesce(s.c_name, t.c_name) as c_name, coalesce(s.c_acctbal, t.c_acctbal) as c_acctbal from customer t full join s on s.c_custkey = t.c_custkey")
+def merged_rows(spark, d):
+    return upserts.merge(*_target_and_source(spark, d), ["c_custkey"])[0]
+
+
+@query("s15_tombstones", f"with s as ({SOURCE_SQL}) select c_custkey, case when c_custkey in (select c_custkey from s) then null else timestamp '2024-01-01' end as gone_ts from customer")
+def tombstones(spark, d):
+    t, s = _target_and_source(spark, d)
+    marked = t.select("c_custkey", F.lit(None).cast("timestamp").alias("gone_ts"))
+    return upserts.tombstone(marked, s, ["c_custkey"], F.to_timestamp(F.lit("2024-01-01")))
+
+
+@query("s16_insert_missing", f"with s as ({SOURCE_SQL}) select c_custkey, c_name, c_acctbal from customer union all select c_custkey, c_name, c_acctbal from s where c_custkey not in (select c_custkey from customer)")
+def insert_missing(spark, d):
+    return upserts.insert_missing(*_target_and_source(spark, d), ["c_custkey"])

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.sources.tables import swap_in
+
 LOG = "level string, msg string, ts string, ts_minute string, n_ok long, n_err long, app_tps double, app_p50_ms double, app_p95_ms double, app_err_pct double, feed string, buffered long"
 
 
@@ -20,10 +24,16 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return parsed.where(~bad).select("r.*").drop("_bad"), broken
 
 
-def log_lines(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(log rows of rotated and live files, number of lines by kind of message, bad lines under null)."""
-    text = spark.read.text(paths)
-    rows = text.select(F.from_json("value", LOG).alias("r")).select("r.*")
+def log_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of a live log and its rotated files, number of lines by kind of message, bad lines under null).
+
+    ``path.2`` is older than ``path.1``, that older than ``path``: ``age`` is the
+    number behind the name (0 for the live file), so that rows in order of age
+    from high to low, then of time, are in order of writing.
+    """
+    text = spark.read.text(f"{path}*").select("value", F.col("_metadata.file_name").alias("file"))
+    age = F.coalesce(F.try_to_number(F.regexp_extract("file", r"\.([0-9]{1,4})$", 1), F.lit("9999")).cast("int"), F.lit(0))
+    rows = text.select(F.from_json("value", LOG).alias("r"), age.alias("age")).select("r.*", "age")
     return rows.where("msg is not null"), rows.groupBy("msg").count()
 
 
@@ -48,6 +58,9 @@ def marked_documents(texts: DataFrame) -> DataFrame:
     return parts.select("doc", meta.alias("meta"), F.posexplode(blocks).alias("n", "block"))
 
 
-def atomic_csv(df: DataFrame, path: str) -> None:
-    """Replace a CSV table; the committer publishes files only when all are written."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def replace(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Replace a table of CSV (with header) or JSON lines: written beside, then swapped in."""
+    fresh = f"{path}-{uuid.uuid4().hex}"
+    writer = df.write.option("header", True) if kind == "csv" else df.write.option("ignoreNullFields", "false")
+    writer.format(kind).save(fresh)
+    swap_in(df.sparkSession, fresh, path)

@@ -25,6 +25,25 @@ def merge(target: DataFrame, source: DataFrame, key: list[str]) -> tuple[DataFra
     return rows.drop("__act").select(*target.columns), rows.groupBy(F.col("__act").alias("action")).count()
 
 
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the finished folder ``fresh`` in the place of ``path``.
+
+    The old folder is renamed away, the new one in, and only then is the old
+    one deleted: a crash between leaves a whole table under one of the names
+    ``path``, ``fresh`` or ``path-old-...``.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = at(f"{path}-old-{uuid.uuid4().hex}")
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), old):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(fresh), at(path)):
+        raise OSError(f"cannot move {fresh} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def merge_path(spark: SparkSession, path: str, source: DataFrame, key: list[str]) -> None:
     """Merge into a Parquet table at ``path`` (created if absent): new files beside, then swapped in."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -32,8 +51,7 @@ def merge_path(spark: SparkSession, path: str, source: DataFrame, key: list[str]
     rows = merge(spark.read.schema(source.schema).parquet(path), source, key)[0] if fs.exists(hadoop) else source
     fresh = f"{path}-{uuid.uuid4().hex}"
     rows.write.parquet(fresh)
-    fs.delete(hadoop, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), hadoop)
+    swap_in(spark, fresh, path)
 
 
 def tombstone(target: DataFrame, source: DataFrame, key: list[str], at: Column, column: str = "gone_ts") -> DataFrame:

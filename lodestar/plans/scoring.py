@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.functions import text
-from lodestar.operators import retrieval, verdicts
+from lodestar.operators import episodes, graph, retrieval, verdicts
 from lodestar.plans.knowledge import EDGES_SQL, TOPK_SQL, edges, top_hits
+from lodestar.plans.monitoring import INCIDENTS_SQL, incidents
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
 from lodestar.sources import tables as upserts
@@ -143,8 +144,6 @@ def fixed_hops(spark, d):
 @query("g5_two_forms_agree", "select 0::bigint as only_walks, 0::bigint as only_fixed, true as same_columns")
 def two_forms_agree(spark, d):
     """Variable-length walks against the fixed-hop form, as bags of (root, node, hops)."""
-    from lodestar.operators import graph
-
     e = edges(spark, d)
     w = graph.walks(e, table(spark, d, "embeddings").select(F.col("vec_id").alias("root")), 3).select("root", "node", F.col("hops").cast("int").alias("hops"))
     f = _fixed(e).select(F.col("src").alias("root"), F.col("dst").alias("node"), "hops")
@@ -283,3 +282,67 @@ def tombstones(spark, d):
 @query("s16_insert_missing", f"with s as ({SOURCE_SQL}) select c_custkey, c_name, c_acctbal from customer union all select c_custkey, c_name, c_acctbal from s where c_custkey not in (select c_custkey from customer)")
 def insert_missing(spark, d):
     return upserts.insert_missing(*_target_and_source(spark, d), ["c_custkey"])
+
+
+EPISODES_SQL = f"""i as ({INCIDENTS_SQL}), e as (select 'M' || (user_id % 3) as model, event_id as episode_no, ts as opened from events where event_type = 'signup' and event_id % 5 = 0),
+  firsts as (select model, incident, start_ts, min(opened) as opened from e join i on opened >= start_ts and opened <= end_ts + interval 10 minute group by 1, 2, 3),
+  c as (select model, count(*) as caught, median(m) as med, quantile_cont(m, 0.9) as p90 from (select model, (floor(epoch(opened)) - floor(epoch(start_ts))) / 60 as m from firsts) group by 1),
+  f as (select model, count(*) as false_alarms from e where not exists (select 1 from i where opened >= start_ts and opened <= end_ts + interval 30 minute) group by 1),
+  g as (select model, (select count(*) from i) as incidents, coalesce(caught, 0) as caught, med, p90, coalesce(false_alarms, 0) as false_alarms from (select distinct model from e) left join c using (model) left join f using (model))"""
+
+
+def _graded(spark, d):
+    e = table(spark, d, "events").where("event_type = 'signup' and event_id % 5 = 0")
+    e = e.select(F.concat(F.lit("M"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("event_id").alias("episode_no"), F.col("ts").alias("start_ts"))
+    return episodes.grade(e, incidents(spark, d), 720.0)
+
+
+@query("d22_grading", f"with {EPISODES_SQL} select model, incidents, caught, {MICRO.format('med')} as median_ttd, {MICRO.format('p90')} as p90_ttd, false_alarms, {MICRO.format('false_alarms * 24 / 720.0')} as per_24h from g")
+def grading(spark, d):
+    return _graded(spark, d).select("model", "incidents", "caught", *(micro(F.col(c)).alias(c) for c in ("median_ttd", "p90_ttd")), "false_alarms", micro(F.col("per_24h")).alias("per_24h"))
+
+
+@query("d25_best_rival", f"with {EPISODES_SQL} select model, caught, false_alarms from g where model <> 'M0' order by caught desc, false_alarms, med nulls last, model limit 1")
+def best_rival(spark, d):
+    return episodes.best_rival(_graded(spark, d), "M0").select("model", "caught", "false_alarms")
+
+
+@query("d23_attribution", f"""with x as (select distinct l_orderkey, l_linenumber from lineitem where l_tax > 0.06), r as (select l_orderkey as incident, l_linenumber as signal, rank() over (partition by l_orderkey order by l_quantity desc) as r from lineitem),
+  k as (select r.*, max(r) over (partition by incident) as edge, x.l_orderkey is not null as want from (select * from r where r <= 3) r left join x on x.l_orderkey = incident and x.l_linenumber = signal),
+  g as (select incident, count_if(r < edge) as above, count_if(r = edge) as t, count_if(r < edge and want) as sure, count_if(r = edge and want) as m, 3 - count_if(r < edge) as p from k group by 1)
+  select incident, sure + m > 0 as hit, {MICRO.format('case when sure > 0 then 1 when m = 0 or p <= 0 then 0 when p >= t then 1 else 1 - greatest(t - m, 0) / t * case when p > 1 then greatest(t - m - 1, 0) / (t - 1) else 1 end * case when p > 2 then greatest(t - m - 2, 0) / (t - 2) else 1 end end')} as chance from g""")
+def attribution(spark, d):
+    li = table(spark, d, "lineitem")
+    details = li.select(F.col("l_orderkey").alias("incident"), F.col("l_linenumber").alias("signal"), F.col("l_quantity").alias("weight"))
+    expected = li.where("l_tax > 0.06").select(F.col("l_orderkey").alias("incident"), F.col("l_linenumber").alias("signal")).distinct()
+    return episodes.attribution(details, expected).select("incident", "hit", micro(F.col("chance")).alias("chance"))
+
+
+SLOTS = [("greeting", [["that", "of"], ["the"]]), ("number", [["127", "24", "2024"]]), ("both", [["inha", "wherer", "thion"], ["and"]])]
+
+
+def _slot_sql(groups) -> str:
+    return " and ".join(f"regexp_matches(lower(text), '(^|[^\\w.])({'|'.join(g)})($|\\W)')" for g in groups)
+
+
+@query("g6_slots_of_texts", f"""with p as ({' union all '.join(f"select doc_id, '{s}' as slot from documents where {_slot_sql(g)}" for s, g in SLOTS)}), f as (select doc_id, count(*) as n, min(slot) as one from p group by 1)
+  select doc_id as memory_id, case when n = 1 then one end as slot, case when n is null then 'unmatched' when n = 1 then 'matched' else 'ambiguous' end as status from documents left join f using (doc_id)""")
+def slots_of_texts(spark, d):
+    slots = spark.createDataFrame(SLOTS, "slot string, groups array<array<string>>")
+    return graph.match_slots(table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), "text"), slots)
+
+
+@query("g7_link_scores", f"""with {EDGES_SQL}, p as (select src % 20 as thread, src * 2 + (kind = 'relates')::int as seq, src % 7 as source, dst % 7 as target, case when src % 11 = 0 then 'invalidates' else kind end as kind from e),
+  gold as (select distinct src % 20 as thread, src % 7 as source, dst % 7 as target, kind from e where dst % 3 = 0), bad as (select distinct src % 20 as thread, src % 5 as lo, 5 + src % 2 as hi from e),
+  n as (select p.*, row_number() over (partition by p.thread, p.source, p.target, p.kind order by seq) as nth, gold.thread is not null as good, least(p.source, p.target) as lo, greatest(p.source, p.target) as hi from p left join gold using (thread, source, target, kind)),
+  q as (select n.*, exists (select 1 from gold g where g.thread = n.thread and least(g.source, g.target) = lo and greatest(g.source, g.target) = hi) as pair, exists (select 1 from bad b where b.thread = n.thread and b.lo = n.lo and b.hi = n.hi) as wrong from n),
+  s as (select thread, count_if(good and nth = 1) as tp, count_if(not (good and nth = 1)) as fp, count_if(not good and kind = 'invalidates') as harmful, count_if(wrong) as distractor, count_if(pair) as pair_hits from q group by 1), w as (select thread, count(*) as want from gold group by 1)
+  select thread, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(want, 0) - coalesce(tp, 0) as fn, coalesce(harmful, 0) as harmful, coalesce(distractor, 0) as distractor, coalesce(pair_hits, 0) as pair_hits from w full join s using (thread)""")
+def link_scores(spark, d):
+    e = edges(spark, d)
+    thread, source, target = (F.col("src") % 20).alias("thread"), (F.col("src") % 7).alias("source"), (F.col("dst") % 7).alias("target")
+    seq = (F.col("src") * 2 + (F.col("kind") == "relates").cast("int")).alias("seq")
+    p = e.select(thread, seq, source, target, F.when(F.col("src") % 11 == 0, "invalidates").otherwise(F.col("kind")).alias("kind"))
+    gold = e.where("dst % 3 = 0").select(thread, source, target, "kind").distinct()
+    bad = e.select(thread, (F.col("src") % 5).alias("a"), (5 + F.col("src") % 2).alias("b"))
+    return graph.score_links(p, gold, bad)

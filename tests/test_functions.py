@@ -116,7 +116,7 @@ def test_readers(spark, tmp_path):
     got = files.marked_documents(docs).orderBy("n").collect()
     assert [(r.meta["title"], r.n, r.block) for r in got] == [("X y", 0, "first\nblock"), ("X y", 1, "second")]
     (tmp_path / "l").write_text('{"level":"i","msg":"minute","n_ok":3}\nbroken\n')
-    logs, kinds = files.log_lines(spark, [str(tmp_path / "l")])
+    logs, kinds = files.log_lines(spark, str(tmp_path / "l"))
     assert logs.first().n_ok == 3 and {r.msg: r["count"] for r in kinds.collect()} == {"minute": 1, None: 1}
 
 

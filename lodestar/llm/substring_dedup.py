@@ -38,7 +38,7 @@ from lodestar.session import small_batches
 
 WINDOW, ROUNDS, LEAST = 13, 4, 3
 #: Bytes of text that a task handles at once.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Bytes of text a share of the names, which one task decides in memory.
 SHARE = 16 << 20
 LAST = np.iinfo(np.int64).max
@@ -203,8 +203,7 @@ def _send(parts: int, window: int):
             s = seg[own]
             used, s["doc"] = np.unique(s["doc"], return_inverse=True)
             at = np.repeat(head[own] - np.append(0, np.cumsum(s["n"][:-1], dtype=np.int64)), s["n"]) + np.arange(int(s["n"].sum()))
-            data = [np.array([len(s), len(used)], "<u8"), *(s[c] for c in _SEGMENT.names), ids[used], marks[used], check[p[at]]]
-            rows.append((k, False, b"".join(np.ascontiguousarray(x).tobytes() for x in data)))
+            rows.append((k, False, _pack_segments(s, ids[used], marks[used], check[p[at]])))
         for i in range(0, len(rows), 64):
             cols = list(zip(*rows[i : i + 64], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["pid", "settled", "data"])
@@ -216,13 +215,28 @@ def _send(parts: int, window: int):
     return run
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    m, u = np.frombuffer(data, "<u8", 2).astype(int)
-    out, at = [], 16
-    for t, n in [*((_SEGMENT[c], m) for c in _SEGMENT.names), (np.dtype("<i8"), u), (np.dtype("<i4"), u)]:
-        out.append(np.frombuffer(data, t, n, at))
+_PLACES = [c for c in _SEGMENT.names if c != "key"]
+
+
+def _pack_segments(s: np.ndarray, ids: np.ndarray, marks: np.ndarray, check: np.ndarray) -> bytes:
+    """Sizes; places and documents, as small differences and compressed; then names and checks, which are random."""
+    small = [*(s[c] for c in _PLACES if c != "doc"), np.diff(s["doc"].astype(np.int32), prepend=np.int32(0)), np.diff(ids, prepend=np.int64(0)), marks]
+    body = pa.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in small), codec="zstd", asbytes=True)
+    return b"".join([np.array([len(s), len(ids), len(body)], "<u8").tobytes(), body, np.ascontiguousarray(s["key"]).tobytes(), np.ascontiguousarray(check).tobytes()])
+
+
+def _unpack(data: pa.Buffer) -> tuple[np.ndarray, ...]:
+    """(key, document, first window, place in the name, windows) of each segment, (id, mark) of each document, checks."""
+    m, u, size = np.frombuffer(data, "<u8", 3).astype(int)
+    kinds = [*((c, _SEGMENT[c], m) for c in _PLACES if c != "doc"), ("doc", np.dtype("<i4"), m), ("ids", np.dtype("<i8"), u), ("marks", np.dtype("<i4"), u)]
+    body = pa.decompress(data.slice(24, size), sum(t.itemsize * n for _, t, n in kinds), codec="zstd")
+    found, at = {}, 0
+    for name, t, n in kinds:
+        found[name] = np.frombuffer(body, t, n, at)
         at += t.itemsize * n
-    return (*out, np.frombuffer(data, "<u8", -1, at))
+    at = 24 + size
+    key = np.frombuffer(data, "<u8", m, at)
+    return key, np.cumsum(found["doc"], dtype=np.int64).astype(np.uint32), found["at"], found["rel"], found["n"], np.cumsum(found["ids"], dtype=np.int64), found["marks"], np.frombuffer(data, "<u8", -1, at + 8 * m)
 
 
 def _decide(table: pa.Table) -> pa.Table:

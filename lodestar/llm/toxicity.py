@@ -6,16 +6,14 @@ prod(1 - p), and only documents carry labels. The gradient of the document's
 likelihood reaches each sentence in proportion to its share, so the model
 learns which sentences offend and can point at them.
 
-With s the sum of the weights, a sentence of s <= 0 has probability zero and
+With s the sum of the weights, a sentence of s <= ``TELLING`` has probability zero and
 another one 1 - (1 - sigmoid(b + s)) / (1 - sigmoid(b)): sentences without
 telling words add nothing, however many. Labels that the words do not explain
 go to one leak a document, which takes part in fitting only.
 
 The model is fitted on at most ``SAMPLE`` labelled documents (least hash of id
-first) of ``folds.FIT_CHARS`` characters together, all whole. Fitting works on
-the features whose share of documents differs most by label, then adds every
-other feature whose gradient exceeds the l1 penalty, until there is none: the
-result is that of fitting all features. Scoring runs in Arrow batches with a
+first) of ``folds.FIT_CHARS`` characters together, all whole, over all features;
+an l1 penalty leaves most of them at zero. Scoring runs in Arrow batches with a
 broadcast weight vector.
 """
 
@@ -39,8 +37,10 @@ SAMPLE, FEATURE_BITS, THRESHOLD = 8_000, 18, 0.3
 LEAST_BIAS = -4.0
 #: A word counts as itself and as its first so many bytes.
 PREFIXES = (5, 6, 7, 8)
-#: Features of the first working set, and added to it at most in a round.
-WORKING = 1024
+#: Weight of the penalty that keeps most features at zero.
+L1 = 5e-4
+#: Weights of a sentence up to this sum tell nothing, however many such sentences there are.
+TELLING = 1.0
 CHUNK = 4 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
@@ -85,7 +85,7 @@ class Bags:
     def noisy_or(self, z: np.ndarray, m: Model) -> np.ndarray:
         s = np.logaddexp(0, z)
         if not m.constant:
-            s = np.where(z > m.bias, s - np.logaddexp(0, m.bias), 0)
+            s = np.where(z > m.bias + TELLING, s - np.logaddexp(0, m.bias), 0)
         return -np.expm1(-np.bincount(self.of, s, self.n))
 
 
@@ -109,43 +109,11 @@ def _parts(texts: list[str], docs: int = 256, chars: int = 1 << 20):
         yield i, len(texts)
 
 
-class _Fit:
-    """Adam with soft thresholding over a working set of features."""
-
-    def __init__(self, y: np.ndarray, sentence: np.ndarray, feature: np.ndarray, of: np.ndarray, l1: float):
-        self.y, self.sentence, self.of, self.l1 = y, sentence, of, l1
-        self.used, self.feature = np.unique(feature, return_inverse=True)
-
-    def gradient(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(of each sentence's logit, of the parameters); the last two are the bias and the leak."""
-        y, of, n_s = self.y, self.of, len(self.of)
-        b, over = theta[-2], np.bincount(self.sentence, theta[self.feature], n_s)
-        counts = over >= 0
-        z = np.where(counts, b + over, b)
-        s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
-        to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
-        p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
-        g_z = to_s[of] * p * counts
-        tail = [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))]
-        return g_z, np.append(np.bincount(self.feature, g_z[self.sentence], len(self.used)), tail)
-
-    def run(self, theta: np.ndarray, steps: int, rate: float) -> np.ndarray:
-        first, second = np.zeros_like(theta), np.zeros_like(theta)
-        for k in range(1, steps + 1):
-            grad = self.gradient(theta)[1]
-            first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-            size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-            theta = theta - size * first / (1 - 0.9**k)
-            theta[:-2] = np.sign(theta[:-2]) * np.maximum(np.abs(theta[:-2]) - size[:-2] * self.l1, 0)
-        return theta
-
-
-def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = 2e-4, working: int = WORKING, rounds: int = 8) -> Model:
-    """l1-penalised weights over all features (most are zero); without both labels a constant model."""
+def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = L1) -> Model:
+    """Adam with soft thresholding over all features (most get weight zero); without both labels a constant model."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0, True)
-    # each text is cut up once; occurrences are kept as whole numbers of four bytes
     kept, n_s = [], 0
     for i, j in _parts(texts):
         sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
@@ -153,34 +121,25 @@ def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps:
         n_s += len(of)
     sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
     del kept
-    seen = np.zeros((2, 1 << bits))
-    for i in range(0, len(sentence), 1 << 22):
-        doc = of[sentence[i : i + (1 << 22)]].astype(np.int64)
-        in_doc = np.unique(doc << bits | feature[i : i + (1 << 22)])
-        for label in (0, 1):
-            seen[label] += np.bincount(in_doc[y[in_doc >> bits] == label] & ((1 << bits) - 1), minlength=1 << bits)
-    tells = np.abs(seen[1] / (y == 1).sum() - seen[0] / (y == 0).sum()) / np.sqrt((seen.sum(0) + 1) / len(y))
-    chosen = np.zeros(1 << bits, bool)
-    chosen[np.argsort(-tells, kind="stable")[:working]] = True
-    chosen &= tells > 0
-    weights = np.zeros(1 << bits)
-    # the bias, and the leak of a document: what the words do not explain, whatever its length
-    tail = [max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS), np.log(np.expm1(-np.log1p(-y.mean() / 2)))]
-    for _ in range(rounds):
-        own = chosen[feature]
-        step = _Fit(y, sentence[own], feature[own], of, l1)
-        theta = step.run(np.append(weights[step.used], tail), steps, rate)
-        weights[:] = 0
-        weights[step.used], tail = theta[:-2], theta[-2:].tolist()
-        # features outside whose gradient the penalty does not hold at zero
-        g_z = step.gradient(theta)[0]
-        pull = np.abs(np.bincount(feature, g_z[sentence], 1 << bits)) * ~chosen
-        late = np.argsort(-pull, kind="stable")[:working]
-        late = late[pull[late] > l1]
-        if not len(late):
-            break
-        chosen[late] = True
-    return Model(weights.astype(np.float32), float(tail[0]))
+    # weights, bias, and the leak of a document: what the words do not explain, whatever its length
+    theta = np.zeros((1 << bits) + 2)
+    theta[-2] = max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS)
+    theta[-1] = np.log(np.expm1(-np.log1p(-y.mean() / 2)))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for k in range(1, steps + 1):
+        b, over = theta[-2], np.bincount(sentence, theta[feature], n_s)
+        counts = over >= 0
+        z = np.where(counts, b + over, b)
+        s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
+        to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
+        p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
+        g_z = to_s[of] * p * counts
+        grad = np.append(np.bincount(feature, g_z[sentence], 1 << bits), [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))])
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+        theta -= size * first / (1 - 0.9**k)
+        theta[:-2] = np.sign(theta[:-2]) * np.maximum(np.abs(theta[:-2]) - size[:-2] * l1, 0)
+    return Model(theta[:-2].astype(np.float32), float(theta[-2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, chars: int = FIT_CHARS) -> Model:

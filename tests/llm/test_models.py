@@ -238,16 +238,13 @@ def test_long_labelled_texts_take_part_in_fitting(spark):
 
 
 def test_every_feature_may_get_a_weight():
-    """The working set only orders the work: starting small or large gives the same verdicts."""
+    """Rude words that a handful of documents share each are learnt beside thousands of others."""
     r = random.Random(3)
-    texts = [" ".join(r.choices("we read the paper in our garden".split(), k=12)) + (f". you rude{i % 60}x" if i % 3 == 0 else ".") for i in range(900)]
+    texts = [" ".join(r.choices("we read the paper in our garden".split(), k=6) + [f"plain{i}x{j}" for j in range(6)]) + (f". you rude{i % 60}x" if i % 3 == 0 else ".") for i in range(900)]
     labels = [int(i % 3 == 0) for i in range(900)]
-    scores = []
-    for working in (4, 4096):
-        model = toxicity.train(labels, texts, working=working, rounds=200)
-        bags = toxicity.Bags(pa.array(texts))
-        scores.append(bags.noisy_or(bags.logits(model), model) >= 0.3)
-    assert (scores[0] == scores[1]).mean() > 0.99 and (scores[0] == np.array(labels, bool)).mean() > 0.98
+    model = toxicity.train(labels, texts)
+    bags = toxicity.Bags(pa.array(texts))
+    assert ((bags.noisy_or(bags.logits(model), model) >= 0.3) == np.array(labels, bool)).mean() > 0.98
 
 
 def plain_noisy_or(text, model):
@@ -258,7 +255,7 @@ def plain_noisy_or(text, model):
         for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence):
             bags = toxicity.Bags(pa.array([w]))
             z += sum(float(model.weights[f[0]]) for f, own in zip(bags.feature, bags.own, strict=True) if own[0])
-        if z > 0:
+        if z > toxicity.TELLING:
             keep *= (1 - 1 / (1 + math.exp(-model.bias - z))) / (1 - p0)
     return 1 - keep
 

@@ -42,10 +42,10 @@ from lodestar.session import materialise
 
 BOOKS, WORDS, BEAM, SAMPLE = 32, 64, 4, 16_384
 #: Vectors a cell; centroids of a half at most.
-CELL, HALF = 8192, 1024
+CELL, HALF = 65_536, 1024
 #: Candidates the trial starts with, its number of queries, the recall it asks for, the probes it weighs.
 CANDIDATES, TRIAL, TARGET, MOST_PROBES = 200, 64, 0.97, 4096
-CODE_BLOCK, QUERY_BLOCK = 16_384, 512
+CODE_BLOCK, QUERY_BLOCK = 65_536, 512
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -221,8 +221,8 @@ def _search(books: np.ndarray, top: int):
             rep = codes["rep"].to_numpy()
             c = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, m)
             scale = (codes["norm"] / np.maximum(codes["near_norm"], 1e-12)).to_numpy()
-            for i in range(0, len(queries), 128):
-                part = queries.iloc[i : i + 128]
+            for i in range(0, len(queries), 32):
+                part = queries.iloc[i : i + 32]
                 table = split(np.stack(part["v"].to_list()))[1] @ books.reshape(m * k, d).T
                 score = sum(table[:, b * k : (b + 1) * k][:, c[:, b]] for b in range(m)) * scale
                 n = min(top, len(rep))

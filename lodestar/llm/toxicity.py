@@ -114,27 +114,31 @@ def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps:
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0, True)
-    kept, n_s = [], 0
+    # occurrences stay in parts, so that nothing but their four-byte numbers grows with the sample
+    pairs, owners, n_s = [], [], 0
     for i, j in _parts(texts):
         sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
-        kept.append((sentence + np.int32(n_s), feature, (of + i).astype(np.int32)))
+        pairs.append((n_s, len(of), sentence, feature))
+        owners.append((of + i).astype(np.int32))
         n_s += len(of)
-    sentence, feature, of = (np.concatenate(x) for x in zip(*kept, strict=True))
-    del kept
+    of = np.concatenate(owners)
     # weights, bias, and the leak of a document: what the words do not explain, whatever its length
     theta = np.zeros((1 << bits) + 2)
     theta[-2] = max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS)
     theta[-1] = np.log(np.expm1(-np.log1p(-y.mean() / 2)))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        b, over = theta[-2], np.bincount(sentence, theta[feature], n_s)
+        b, over = theta[-2], np.concatenate([np.bincount(sentence, theta[feature], n) for _, n, sentence, feature in pairs])
         counts = over >= 0
         z = np.where(counts, b + over, b)
         s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
         to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
         p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
         g_z = to_s[of] * p * counts
-        grad = np.append(np.bincount(feature, g_z[sentence], 1 << bits), [(to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))])
+        grad = np.zeros_like(theta)
+        for at, n, sentence, feature in pairs:
+            grad[:-2] += np.bincount(feature, g_z[at : at + n][sentence], 1 << bits)
+        grad[-2:] = (to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
         theta -= size * first / (1 - 0.9**k)

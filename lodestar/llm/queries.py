@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import ann, decontamination, langid, lm_scoring, mixing, pii, secret_scan, simhash, substring_dedup, toxicity
+from lodestar.llm import alignment, ann, decontamination, extraction, langid, lm_scoring, mixing, pii, secret_scan, simhash, substring_dedup, toxicity, whitening
 
 
 def _table(spark, sf_dir, name):
@@ -49,6 +49,18 @@ def op10_langid(spark, sf_dir):
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark, sf_dir):
+    return extraction.report(_table(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secret_scan": (op1_secret_scan, None),
     "op2_lm_scoring": (op2_lm_scoring, None),
@@ -60,4 +72,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
     "op10_langid": (op10_langid, None),
+    "op11_html_extraction": (op11_html_extraction, None),
+    "op12_whitening": (op12_whitening, None),
+    "op13_alignment": (op13_alignment, None),
 }

@@ -45,7 +45,7 @@ LAST = np.iinfo(np.int64).max
 _FAR = 1 << 28
 SENT = "pid int, settled boolean, data binary"
 HOMES = "home int, data binary"
-MARKS = "id long, mark int, marks binary"
+MARKS = "id long, mark long, marks binary"
 _SEGMENT = np.dtype([("key", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("rel", "u1"), ("n", "u1")])
 
 
@@ -120,14 +120,14 @@ def choose(anchors: tuple[np.ndarray, ...], n: int, window: int = WINDOW) -> np.
 
 def _pack(ids: np.ndarray, marks: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
     """Ranges of window starts, one entry a range: its document, first start and number."""
-    return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in ((ids, "<i8"), (marks, "<i4"), (first, "<u4"), (count, "<u4")))
+    return b"".join(np.ascontiguousarray(x, t).tobytes() for x, t in ((ids, "<i8"), (marks, "<i8"), (first, "<u4"), (count, "<u4")))
 
 
 def _unpack_marks(packs: list[bytes]) -> list[np.ndarray]:
     parts = []
     for data in packs:
-        n, out, at = len(data) // 20, [], 0
-        for t in ("<i8", "<i4", "<u4", "<u4"):
+        n, out, at = len(data) // 24, [], 0
+        for t in ("<i8", "<i8", "<u4", "<u4"):
             out.append(np.frombuffer(data, t, n, at))
             at += out[-1].nbytes
         parts.append(out)
@@ -159,7 +159,7 @@ def _send(parts: int, window: int):
         ids = np.asarray(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
         order = np.argsort(ids, kind="stable")
         batch = batch.take(pa.array(order))
-        ids, marks = ids[order], np.asarray(batch.column("mark").to_numpy(zero_copy_only=False), np.int32)
+        ids, marks = ids[order], np.asarray(batch.column("mark").to_numpy(zero_copy_only=False), np.int64)
         w = Words(batch.column("text"))
         n = len(w.start)
         if n < window:
@@ -228,7 +228,7 @@ def _pack_segments(s: np.ndarray, ids: np.ndarray, marks: np.ndarray, check: np.
 def _unpack(data: pa.Buffer) -> tuple[np.ndarray, ...]:
     """(key, document, first window, place in the name, windows) of each segment, (id, mark) of each document, checks."""
     m, u, size = np.frombuffer(data, "<u8", 3).astype(int)
-    kinds = [*((c, _SEGMENT[c], m) for c in _PLACES if c != "doc"), ("doc", np.dtype("<i4"), m), ("ids", np.dtype("<i8"), u), ("marks", np.dtype("<i4"), u)]
+    kinds = [*((c, _SEGMENT[c], m) for c in _PLACES if c != "doc"), ("doc", np.dtype("<i4"), m), ("ids", np.dtype("<i8"), u), ("marks", np.dtype("<i8"), u)]
     body = pa.decompress(data.slice(24, size), sum(t.itemsize * n for _, t, n in kinds), codec="zstd")
     found, at = {}, 0
     for name, t, n in kinds:
@@ -305,7 +305,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window
     small_batches(spark)
     t = F.coalesce(F.col(text), F.lit(""))
     own = F.col(doc_id).try_cast("long")
-    d = docs.select(own.alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), F.hash(t).alias("mark"), t.alias("text"))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(own, F.lit(int(LAST))).alias("id"), F.xxhash64(t).alias("mark"), t.alias("text"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(2 * spark.sparkContext.defaultParallelism, size // SHARE)
     sent = d.select(F.col("id").alias("doc_id"), "mark", "text").mapInArrow(_send(parts, window), SENT)
@@ -342,7 +342,8 @@ def _applied(docs: DataFrame, texts: bool, **params) -> DataFrame:
     d, marks = repeated(docs, **params)
     m = marks.select(F.col("id").alias("m_id"), F.col("mark").alias("m_mark"), "marks")
     joined = d.join(m, (F.col("id") == F.col("m_id")) & (F.col("mark") == F.col("m_mark")), "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_kept(params.get("window", WINDOW), texts), "doc_id long, n_words long, n_removed long, kept string")
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(_kept(params.get("window", WINDOW), texts), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def report(docs: DataFrame, **params) -> DataFrame:
@@ -351,7 +352,8 @@ def report(docs: DataFrame, **params) -> DataFrame:
     A word goes if a window of ``window`` words around it also starts in a
     document with a smaller id; windows are judged on the input. Null texts have
     no words; a null id (as is one that is no integer) is larger than any other and never repeats itself; rows
-    with equal ids are one document in that they remove nothing from each other;
+    with equal ids are one document in that they remove nothing from each other, and are told apart by 64 bits
+    of a hash of the text; ids keep their type;
     an empty table gives no rows.
     """
     return _applied(docs, False, **params).withColumnRenamed("kept", "kept_sha256")

@@ -103,3 +103,26 @@ def test_joins_without_broadcast(tables, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
     for name, make in reports.items():
         assert sorted(map(str, make().collect())) == want[name], name
+
+
+def colliding(n=2):
+    """Texts of different lengths whose 32-bit row hashes agree; found by trying, as such pairs are common."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    return [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 1 + 40 * (i % 2))) for i in range(n)]
+
+
+def test_null_ids_with_equal_short_hashes(spark):
+    """Rows without an id are told apart even where a 32-bit hash of their texts agrees."""
+    texts = spark.createDataFrame([(x,) for x in colliding(240_000)], "text string").withColumn("h", F.hash("text"))
+    pair = texts.groupBy("h").agg(F.collect_set("text").alias("t"), F.countDistinct(F.length("text") > 100).alias("k")).where("k = 2").first().t
+    twice = spark.createDataFrame([(5, "z"), *((None, t) for t in pair)], "doc_id long, text string")
+    words = sorted(len(t.split()) for t in pair)
+    assert sorted(r.n_words for r in substring_dedup.report(twice).where("doc_id is null").collect()) == words
+    assert sorted(r.n_tokens for r in lm_scoring.report(twice).where("doc_id is null").collect()) == [n + 1 for n in words]
+
+
+def test_text_ids_keep_their_type(spark):
+    d = spark.createDataFrame([("a", "x y z"), ("7", "x y z")], "doc_id string, text string")
+    assert sorted(r.doc_id for r in substring_dedup.report(d).collect()) == ["7", "a"]

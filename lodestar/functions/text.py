@@ -142,7 +142,7 @@ ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nb
 
 
 def visible_text(html: Column) -> Column:
-    """What a reader of an HTML page sees, roughly: markup, scripts, styles and comments go, basic entities are decoded."""
+    """What a reader of an HTML page sees, roughly: markup, style and script elements and comments go, basic entities are decoded."""
     t = html
     for pattern in UNSEEN:
         t = F.regexp_replace(t, pattern, " ")

@@ -12,6 +12,7 @@ from lodestar.plans.knowledge import EDGES_SQL, TOPK_SQL, edges, top_hits
 from lodestar.plans.monitoring import INCIDENTS_SQL, incidents
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
+from lodestar.session import materialise
 from lodestar.sources import tables as upserts
 
 
@@ -284,7 +285,47 @@ def insert_missing(spark, d):
     return upserts.insert_missing(*_target_and_source(spark, d), ["c_custkey"])
 
 
-EPISODES_SQL = f"""i as ({INCIDENTS_SQL}), e as (select 'M' || (user_id % 3) as model, event_id as episode_no, ts as opened from events where event_type = 'signup' and event_id % 5 = 0),
+#: Three models score each minute with events of their users: flagged by its largest value, unscored if one signs up.
+SCORES_SQL = """s as (select 'M' || (user_id % 3) as model, case user_id % 3 when 0 then 'single' when 1 then 'consecutive' else 'same_signal' end as rule, date_trunc('minute', ts) as ts,
+    case when not bool_or(event_type = 'signup') then (max(value) > 45)::int end as flag, max(value) as score, list_sort(list_distinct(list(event_type))) as names from events group by 1, 2, 3),
+  b as (select *, flag is not null and flag = 1 as up, row_number() over w as rn, lag(ts) over w as t1, lag(ts, 2) over w as t2, lag(flag) over w as f1, lag(flag, 2) over w as f2, lag(names) over w as n1, lag(names, 2) over w as n2 from s window w as (partition by model order by ts)),
+  l as (select *, coalesce(f1 = 1 and ts - t1 <= interval 30 minute, false) as one, coalesce(f2 = 1 and t1 - t2 <= interval 30 minute, false) as two from b),
+  r as (select *, case when up then list_transform(names, lambda x: {'signal': x, 'n': case when one and two and list_contains(n1, x) and list_contains(n2, x) then 3 when one and list_contains(n1, x) then 2 else 1 end}) else [] end as runs from l),
+  k as (select *, coalesce(list_max(list_transform(runs, lambda x: x.n)), 0) as longest, nullif(array_to_string(list_transform(list_filter(runs, lambda x: x.n >= 3), lambda x: x.signal), ','), '') as fired from r),
+  o as (select model, rule, rn, ts, score, up, longest, runs, fired, case when not up then false when rule = 'single' then true when rule = 'consecutive' then one and two else longest >= 3 end as opens from k)"""
+FOUND_SQL = f"""recursive {SCORES_SQL},
+  m as (select model, rn, case when opens then ts end as start_ts, case when opens then ts end as last_ts, case when opens then score end as peak, case when opens and rule = 'same_signal' then fired end as fired, 0 as u, opens::int as n, false as done, ts from o where rn = 1
+    union all select o.model, o.rn, case when h then m.start_ts when opens then o.ts end, case when h and not up then m.last_ts when h or opens then o.ts end, case when h and up then greatest(m.peak, o.score) when h then m.peak when opens then o.score end,
+      case when h then m.fired when opens and rule = 'same_signal' then o.fired end, case when h and not up then m.u + 1 else 0 end, m.n + case when not h and opens then 1 else 0 end, h and not up and m.u + 1 >= 10, o.ts
+    from (select *, start_ts is not null and not done as h from m) m join o on o.model = m.model and o.rn = m.rn + 1),
+  found as (select model, n as episode_no, start_ts, last_ts, case when done then ts end as end_ts, case when done then 'CLOSED' else 'OPEN' end as status, peak, fired from m where done or (start_ts is not null and rn = (select max(rn) from o where o.model = m.model)))"""
+
+
+def minute_scores(spark, d):
+    e, user = table(spark, d, "events"), F.col("user_id") % 3
+    rule = F.when(user == 0, episodes.SINGLE).when(user == 1, episodes.CONSECUTIVE).otherwise(episodes.SAME_SIGNAL)
+    g = e.groupBy(F.concat(F.lit("M"), user.cast("string")).alias("model"), rule.alias("rule"), F.date_trunc("minute", "ts").alias("ts"))
+    flag = F.when(~F.bool_or(F.col("event_type") == "signup"), (F.max("value") > 45).cast("int"))
+    return g.agg(flag.alias("flag"), F.max("value").alias("score"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("breached"))
+
+
+@query("d19_signal_runs", f"with {SCORES_SQL} select model, ts, longest::int as longest, fired, opens, array_to_string(list_transform(runs, lambda x: x.signal || ':' || x.n), ',') as runs from o")
+def signal_runs(spark, d):
+    r = episodes.flagged_runs(minute_scores(spark, d), gap_s=1800, range_s=86400)
+    shown = F.array_join(F.transform(F.map_entries("runs"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return r.select("model", "ts", "longest", "fired", "opens", shown.alias("runs"))
+
+
+def _found(spark, d):
+    return episodes.episodes(minute_scores(spark, d), gap_s=1800, range_s=86400)
+
+
+@query("d18_episodes", f"with {FOUND_SQL} select model, episode_no, start_ts, last_ts, end_ts, status, {MICRO.format('peak')} as peak, fired from found")
+def alert_episodes(spark, d):
+    return _found(spark, d).select("model", "episode_no", "start_ts", "last_ts", "end_ts", "status", micro(F.col("peak_score")).alias("peak"), "fired")
+
+
+EPISODES_SQL = f"""{FOUND_SQL}, i as ({INCIDENTS_SQL}), e as (select model, episode_no, start_ts as opened from found),
   firsts as (select model, incident, start_ts, min(opened) as opened from e join i on opened >= start_ts and opened <= end_ts + interval 10 minute group by 1, 2, 3),
   c as (select model, count(*) as caught, median(m) as med, quantile_cont(m, 0.9) as p90 from (select model, (floor(epoch(opened)) - floor(epoch(start_ts))) / 60 as m from firsts) group by 1),
   f as (select model, count(*) as false_alarms from e where not exists (select 1 from i where opened >= start_ts and opened <= end_ts + interval 30 minute) group by 1),
@@ -292,9 +333,7 @@ EPISODES_SQL = f"""i as ({INCIDENTS_SQL}), e as (select 'M' || (user_id % 3) as
 
 
 def _graded(spark, d):
-    e = table(spark, d, "events").where("event_type = 'signup' and event_id % 5 = 0")
-    e = e.select(F.concat(F.lit("M"), (F.col("user_id") % 3).cast("string")).alias("model"), F.col("event_id").alias("episode_no"), F.col("ts").alias("start_ts"))
-    return episodes.grade(e, incidents(spark, d), 720.0)
+    return episodes.grade(materialise(_found(spark, d), "episodes-found"), incidents(spark, d), 720.0)
 
 
 @query("d22_grading", f"with {EPISODES_SQL} select model, incidents, caught, {MICRO.format('med')} as median_ttd, {MICRO.format('p90')} as p90_ttd, false_alarms, {MICRO.format('false_alarms * 24 / 720.0')} as per_24h from g")

@@ -1,4 +1,4 @@
-"""Registry of the reference-style queries: ``name -> (function, DuckDB SQL or None)``."""
+"""Registry of the queries over the given tables: ``name -> (function, DuckDB SQL or None)``."""
 
 from __future__ import annotations
 

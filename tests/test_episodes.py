@@ -124,3 +124,67 @@ def test_minutes_stream_and_upsert(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n_ok, r.n_err) for r in spark.read.parquet(out).orderBy("ts").collect()] == [(1, 1), (1, 0), (1, 0)]
+
+
+def random_scores(seed, models=4, n=900):
+    import random
+
+    rng, rows = random.Random(seed), []
+    for m in range(models):
+        rule = (ep.SINGLE, ep.CONSECUTIVE, ep.SAME_SIGNAL)[m % 3]
+        t, busy = 0.0, 0.3
+        for _ in range(n):
+            t += rng.choice([30, 60, 60, 60, 60, 89, 90, 91, 400]) + rng.choice([0, 0.25])
+            if rng.random() < 0.05:
+                busy = rng.choice([0.03, 0.3, 0.9])
+            flag = rng.choice([0, None]) if rng.random() > busy else 1
+            names = ",".join(rng.choices(["CPU", "IO", "NET", "", "CPU"], k=rng.randrange(4))) or None
+            rows.append((f"m{m}", rule, T0 + timedelta(seconds=t), flag, rng.choice([None, round(rng.random(), 3)]), names))
+    return rows
+
+
+ROW = "model string, rule string, ts timestamp, flag int, score double, breached string"
+
+
+@pytest.mark.parametrize("range_s, fan", [(300, 3), (6 * 3600, 256), (7, 5)])
+def test_ranges_equal_one_fold(spark, range_s, fan):
+    """Split into any ranges, scanned in any blocks, the episodes are those of one fold over all rows."""
+    rows = random_scores(range_s, n=250 if range_s < 100 else 900)
+    want = []
+    for model in sorted({r[0] for r in rows}):
+        mine, s = [r for r in rows if r[0] == model], ep.State()
+        want += ep.fold(s, model, mine[0][1], ((r[2].timestamp(), *r[3:]) for r in mine))
+        if s.start is not None:
+            want.append(s.row(model, "OPEN", None))
+    got = ep.episodes(spark.createDataFrame(rows, ROW).repartition(5), range_s=range_s, fan=fan).collect()
+    key = lambda r: (r[0], r[1])
+    plain = lambda t: None if t is None else t.to_pydatetime().replace(tzinfo=None)
+    assert sorted(map(tuple, got), key=key) == sorted([(m, n, *map(plain, times), *rest) for m, n, *times, rest in ((w[0], w[1], w[2], w[3], w[4], w[5:]) for w in want)], key=key)
+    assert len(want) > 20
+
+
+def test_effects_compose(spark):
+    """Any split of rows into ranges composes to the effect of the whole, entered in any state."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(400):
+        n = rng.randrange(1, 40)
+        up = [rng.random() < rng.choice([0.1, 0.5]) for _ in range(n)]
+        rows = [(float(i), u, u and rng.random() < 0.5, rng.choice([None, float(i)]), None) for i, u in enumerate(up)]
+        cuts = sorted(rng.sample(range(1, n), min(n - 1, rng.randrange(4))))
+        parts = [ep.effect(rows[a:b], 4) for a, b in zip([0, *cuts], [*cuts, n], strict=True)]
+        whole = parts[0]
+        for p in parts[1:]:
+            whole = ep.compose(whole, p, 4)
+        for held in (None, *(ep.Open(u, -5.0, -4.0, 0.5, "x", 3) for u in range(4))):
+            from dataclasses import replace
+
+            want = ep.machine(iter(rows), (held and replace(held), 3), 4)
+            assert ep.enter(whole, (held, 3), 4) == want == ep.enter(ep.effect(rows, 4), (held, 3), 4)
+
+
+def test_no_rows_and_rows_without_time_or_model(spark):
+    assert ep.episodes(spark.createDataFrame([], ROW)).count() == 0
+    rows = [(None, ep.SINGLE, at(1), 1, 2.0, None), ("a", ep.SINGLE, None, 1, 2.0, None), (None, ep.SINGLE, at(1), 0, None, None)]
+    assert [(r.model, r.status, r.peak_score) for r in ep.episodes(spark.createDataFrame(rows, ROW)).collect()] == [(None, "OPEN", 2.0)]

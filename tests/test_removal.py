@@ -19,3 +19,13 @@ def test_queries_without_the_llm_folders(tmp_path):
         assert done.returncode == 0, done.stderr
         total, trained, oracles = map(int, done.stdout.split())
         assert total > 100 and trained == 0 and oracles > 100
+
+
+def test_queries_without_a_module_they_need(tmp_path):
+    """A missing package costs the queries that need it, and says so."""
+    code = "import sys; sys.modules['xxhash'] = None; " + LISTED
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, env={"PATH": "/usr/bin:/bin"})
+    assert done.returncode == 0, done.stderr
+    total, trained, _ = map(int, done.stdout.split())
+    assert total > 100 and trained == 0
+    assert not (ROOT / "lodestar" / "llm").exists() or "xxhash" in done.stderr

@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over the same bytes.
 
-Each text is encoded by a byte-level BPE (A) and by a BPE of pieces (B). Token
-numbers repeated over the bytes they own give two arrays of owners. Where a
+Each text is encoded by a byte-level BPE (A) and by a BPE of pieces (B), the
+words between lone spaces once for all their occurrences in a piece of input.
+Token numbers repeated over the bytes they own give two arrays of owners. Where a
 pair of owners differs from the one before, two tokens begin to overlap; where
 both owners change at once, both tokens end: these cuts part the text into
 groups. All A and B tokens of a group are linked. How many documents link a
@@ -18,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +34,13 @@ from lodestar.session import materialise, small_batches
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that a task handles at once.
-CHUNK = 1 << 20
-#: Characters that a tokenizer is given at once; longer texts are parted before a lone space.
-PART = 1 << 16
+CHUNK = 2 << 20
+#: Distinct words that a tokenizer is given at once.
+GROUP_WORDS = 8192
+#: Words that begin or end with a space or the sign that stands for one, or hold such a sign.
+_ODD = re.compile("^[\\s▁]|[\\s▁]$|▁")
+#: A space between two other characters: neither tokenizer joins what it parts, and both begin a token with it.
+_LONE_SPACE = re.compile("(?<=[^\\s▁]) (?=[^\\s▁])")
 #: Links of one group up to which they are written out pair by pair; larger groups go by distinct ids.
 GROUP_LINKS = 1 << 20
 #: Pairs in one row of the table of links.
@@ -49,6 +56,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _joined(parts: list[tuple]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    return [np.concatenate([p[0][k] for p in parts]) for k in (0, 1)], [np.concatenate([p[1][k] for p in parts]) for k in (0, 1)], np.concatenate([p[2] for p in parts])
+
+
 class Tokenizers:
     """Both tokenizers of a task, made from the bytes of their files, and what each id's bytes are."""
 
@@ -56,6 +67,7 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -75,32 +87,55 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = (tuple(np.array([f"{i}{end}" for i in range(len(t))], object) for end in ends) for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """Pieces of the text without the space before each: neither tokenizer joins what a lone space parts."""
+    def _spell(self, ids: tuple[list[int], list[int]], data: bytes) -> bool:
+        return all(b"".join(map(of.__getitem__, x)) == data for of, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
+
+    def _ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of plain words by A and B, a space before each, how many each has, and whether they spell it."""
+        line = " ".join(words)
+        found = self.a.encode(" " + line, add_special_tokens=False).ids, self.b.encode(line)
+        if self._spell(found, b" " + line.encode()):
+            ids = [np.array(x, np.int64) for x in found]
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
+            cut = [np.searchsorted(np.cumsum(size[x]), ends, "right") for size, x in zip((self.a_size, self.b_size), ids, strict=True)]
+            return ids, [np.diff(c, prepend=0) for c in cut], np.ones(len(words), bool)
+        if len(words) == 1:
+            return self._odd(words[0])
+        half = len(words) // 2  # one of them is not spelt by its tokens: find out which
+        return _joined([self._ids(words[:half]), self._ids(words[half:])])
+
+    def _odd(self, word: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """The same of one word of any kind."""
+        found = (self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)) if word else ([], [])
+        return [np.array(x, np.int64) for x in found], [np.array([len(x)]) for x in found], np.array([self._spell(found, b" " + word.encode())])
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and B of a space and each text; none if they do not spell it."""
+        words, count = [], []
+        for text in texts:
+            w = _LONE_SPACE.split(text) if text and self.parted else [text or ""]
+            words += w
+            count.append(len(w))
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # plain words are encoded many at once, and the odd ones (at the ends of texts, mostly) by themselves
+        is_plain = np.fromiter((bool(w) and _ODD.search(w) is None for w in words), bool, len(words))
+        order = np.append(np.flatnonzero(is_plain), np.flatnonzero(~is_plain))
+        plain = [words[i] for i in order[: is_plain.sum()]]
+        groups = [self._ids(plain[i : i + GROUP_WORDS]) for i in range(0, len(plain), GROUP_WORDS)]
+        ids, size, spelt = _joined([*groups, *(self._odd(words[i]) for i in order[len(plain) :])])
+        first = [np.append(0, np.cumsum(n)) for n in size]
+        where = np.argsort(order)
         at = 0
-        while self.parted and len(text) - at > PART:
-            to = at + PART
-            while (to := text.find(" ", to)) >= 0 and (text[to - 1].isspace() or text[to - 1] == "▁" or not text[to + 1 : to + 2].strip() or text[to + 1] == "▁"):
-                to += 1
-            if to < 0:
-                break
-            yield text[at:to]
-            at = to + 1
-        yield text[at:]
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by A and B of a space and the text; none if they do not spell it."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not text:
-            return none
-        a, b = [], []
-        for part in self._parts(text):
-            a += self.a.encode(" " + part, add_special_tokens=False).ids
-            b += self.b.encode(part)
-        data = b" " + text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
-            return none
-        return np.array(a, np.int64), np.array(b, np.int64)
+        for n, text in zip(count, texts, strict=True):
+            c = where[code[at : at + n]]
+            good = bool(text) and spelt[c].all()
+            at += n
+            out = []
+            for x, f, m in zip(ids, first, size, strict=True):
+                each = m[c]
+                out.append(x[np.repeat(f[c] - (np.cumsum(each) - each), each) + np.arange(each.sum())] if good else x[:0])
+            yield tuple(out)
 
 
 class Alignment:
@@ -184,8 +219,8 @@ def _linked(files):
         for batch in pieces(batches, "text", CHUNK):
             ids = batch.column("doc_id")
             at, rows, stats, pairs, times = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                x = Alignment(t, *t.encode(text))
+            for i, found in enumerate(t.encode(batch.column("text").to_pylist())):
+                x = Alignment(t, *found)
                 k, n = x.links(many)
                 digest = hashlib.sha256(x.written(t).encode()).hexdigest() if len(x.a) else ""
                 s = {"n_a": len(x.a), "n_b": len(x.b), "n_groups": len(x.n_a), "n_links": int((x.n_a * x.n_b).sum()), "groups_sha256": digest}
@@ -253,7 +288,7 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", a_file: s
     def run(batches):
         t = _tokenizers(files)
         for batch in pieces(batches, "text", CHUNK):
-            found = [Alignment(t, *t.encode(x)) for x in batch.column("text").to_pylist()]
+            found = [Alignment(t, *x) for x in t.encode(batch.column("text").to_pylist())]
             columns = [pa.array([getattr(x, k).astype(np.int32) for x in found], pa.list_(pa.int32())) for k in ("a", "b", "a_group", "b_group")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "a_ids", "b_ids", "a_group", "b_group"])
 

@@ -80,23 +80,23 @@ def test_shuffled_counts_and_split_rows(spark, tokenizers, monkeypatch):
     for name, value in (("BROADCAST_PAIRS", 0), ("ROW_PAIRS", 7), ("GROUP_LINKS", 3)):
         monkeypatch.setattr(alignment, name, value)
     t = tokenizers
-    for text in TEXTS:  # wide groups by distinct ids, and few links at once
-        x = alignment.Alignment(t, *t.encode(text))
+    for text, found in zip(TEXTS, t.encode(TEXTS), strict=True):  # wide groups by distinct ids, and few links at once
+        x = alignment.Alignment(t, *found)
         k, n = x.links(len(t.b_bytes))
         g = plain(t, text)[2]
         assert Counter(a * len(t.b_bytes) + b for p in g for a in p[0] for b in p[1]) == dict(zip(k.tolist(), n.tolist(), strict=True))
     assert got(alignment.report(df)) == want
 
 
-def test_parts_do_not_change_tokens(tokenizers, monkeypatch):
+def test_words_do_not_change_tokens(tokenizers, monkeypatch):
+    """Tokens of words between lone spaces are those of the whole text."""
     t = tokenizers
     assert t.parted
     docs = [x for x in TEXTS if x] + [" ".join(x for x in TEXTS if x) * 3, "word " * 300, "a  b   c " * 90, "x ▁ y " * 50, " ' s 'll " * 60]
-    whole = [t.encode(x) for x in docs]
-    monkeypatch.setattr(alignment, "PART", 5)
-    for x, (a, b) in zip(docs, whole, strict=True):
-        pa, pb = t.encode(x)
-        assert (a.tolist(), b.tolist()) == (pa.tolist(), pb.tolist()), x
+    for words in (alignment.GROUP_WORDS, 3):
+        monkeypatch.setattr(alignment, "GROUP_WORDS", words)
+        for x, (a, b) in zip(docs, t.encode(docs), strict=True):
+            assert not len(a) or (a.tolist(), b.tolist()) == (t.a.encode(" " + x, add_special_tokens=False).ids, t.b.encode(x)), x
 
 
 def test_edges(spark):

@@ -1,30 +1,23 @@
 """Anomaly detectors over metric series.
 
 Thresholds, seasonal baselines and PCA residuals are DataFrame expressions on
-the long form ``ts, signal, val``. Density, isolation, one-class and
-memory-estimate detectors are published methods fitted on a bounded training
-matrix and applied by Arrow batches. In all scores flag is 1, 0, or null for
-times that cannot be scored.
+the long form ``ts, signal, val``; models that are fitted are in ``fitted``. In
+all scores flag is 1, 0, or null for times that cannot be scored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.operators import intervals, series
 
-#: A training matrix is at most this many rows, newest first.
-FIT_ROWS = 50_000
-
 
 def incomplete(columns: list[str]) -> Column:
     """True where any of the columns is null."""
@@ -158,182 +151,6 @@ def pca_contributors(wide: DataFrame, model: Pca) -> DataFrame:
     return contributors(long.withColumn("weight", F.abs("val")), "ts", "weight")
 
 
-def matrix(wide: DataFrame, columns: list[str], rows: int = FIT_ROWS) -> np.ndarray:
-    """The newest complete rows, at most ``rows``, oldest first."""
-    got = wide.where(~incomplete(columns)).orderBy(F.desc("ts")).limit(rows).select(*columns).toPandas().to_numpy(float)
-    return got[::-1]
-
-
-@dataclass
-class Scaled:
-    """Rows scaled by their training mean and deviation, then ``raise_`` (larger is odder) over ``limit``."""
-
-    mean: np.ndarray
-    sd: np.ndarray
-    raise_: Callable[[np.ndarray], np.ndarray]
-    limit: float
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return self.raise_((x - self.mean) / self.sd) / self.limit
-
-
-def _scaled(x: np.ndarray, fit: Callable[[np.ndarray], Callable], outliers: float) -> Scaled:
-    mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-    raise_ = fit((x - mean) / sd)
-    return Scaled(mean, sd, raise_, max(float(np.quantile(raise_((x - mean) / sd), 1 - outliers)), 1e-12))
-
-
-def isolation_forest(x: np.ndarray, trees: int = 100, size: int = 256, outliers: float = 0.01, seed: int = 42) -> Scaled:
-    """Isolation forest: short average paths to isolation are odd."""
-
-    def fit(z):
-        rng = np.random.default_rng(seed)
-
-        def norm(n):
-            return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-        def grow(rows, depth):
-            low, high = rows.min(0), rows.max(0)
-            free = np.flatnonzero(high > low)
-            if len(rows) <= 1 or depth == 0 or not len(free):
-                return norm(len(rows))
-            f = rng.choice(free)
-            cut = rng.uniform(low[f], high[f])
-            left = rows[:, f] < cut
-            return f, cut, grow(rows[left], depth - 1), grow(rows[~left], depth - 1)
-
-        n = min(size, len(z))
-        forest = [grow(z[rng.choice(len(z), n, replace=False)], int(np.ceil(np.log2(max(n, 2))))) for _ in range(trees)]
-
-        def walk(node, rows, at, depth, out):
-            if not isinstance(node, tuple):
-                out[at] += depth + node
-                return
-            f, cut, a, b = node
-            left = rows[at, f] < cut
-            walk(a, rows, at[left], depth + 1, out)
-            walk(b, rows, at[~left], depth + 1, out)
-
-        def raise_(rows):
-            out = np.zeros(len(rows))
-            for t in forest:
-                walk(t, rows, np.arange(len(rows)), 0, out)
-            return 2.0 ** (-out / trees / max(norm(n), 1e-9))
-
-        return raise_
-
-    return _scaled(x, fit, outliers)
-
-
-def mixture(x: np.ndarray, parts: int = 3, outliers: float = 0.01, rounds: int = 50, seed: int = 7) -> Scaled:
-    """Gaussian mixture by EM; low density is odd."""
-
-    def fit(z):
-        rng = np.random.default_rng(seed)
-        n, d = z.shape
-        mean = z[rng.choice(n, parts, replace=n < parts)]
-        cov, weight = np.stack([np.eye(d)] * parts), np.full(parts, 1 / parts)
-
-        def dense(rows):
-            out = []
-            for m, c, w in zip(mean, cov, weight, strict=True):
-                low = np.linalg.cholesky(c)
-                y = np.linalg.solve(low, (rows - m).T)
-                out.append(np.log(w + 1e-300) - 0.5 * (y * y).sum(0) - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi))
-            return np.stack(out, 1)
-
-        for _ in range(rounds):
-            logs = dense(z)
-            r = np.exp(logs - np.logaddexp.reduce(logs, 1)[:, None])
-            weight = (r.sum(0) + 1e-9) / n
-            mean = (r.T @ z) / (r.sum(0)[:, None] + 1e-9)
-            for k in range(parts):
-                c = z - mean[k]
-                cov[k] = (c * r[:, k : k + 1]).T @ c / (r[:, k].sum() + 1e-9) + 1e-3 * np.eye(d)
-        floor = -np.logaddexp.reduce(dense(z), 1).min()
-        return lambda rows: np.exp((-np.logaddexp.reduce(dense(rows), 1) - floor) / max(d, 1))
-
-    return _scaled(x, fit, outliers)
-
-
-def one_class(x: np.ndarray, features: int = 256, outliers: float = 0.01, steps: int = 400, seed: int = 5) -> Scaled:
-    """One-class SVM with a Gaussian kernel, by random Fourier features and subgradient steps."""
-
-    def fit(z):
-        rng = np.random.default_rng(seed)
-        near = np.sqrt(((z[rng.choice(len(z), 200)] - z[rng.choice(len(z), 200)]) ** 2).sum(1))
-        w = rng.normal(0, 1 / max(np.median(near), 1e-6), (z.shape[1], features))
-        b = rng.uniform(0, 2 * np.pi, features)
-        phi = lambda rows: np.sqrt(2 / features) * np.cos(rows @ w + b)
-        p = phi(z)
-        v, rho = p.mean(0), 0.0
-        for t in range(1, steps + 1):
-            under = (p @ v < rho).astype(float)
-            v -= (v - under @ p / (outliers * len(p))) / (t + 10)
-            rho -= (under.mean() / outliers - 1) / (t + 10)
-        return lambda rows: np.exp(rho - phi(rows) @ v)
-
-    return _scaled(x, fit, outliers)
-
-
-def memory_estimate(x: np.ndarray, memory: int = 200, outliers: float = 0.01) -> Scaled:
-    """Multivariate state estimation: distance to a similarity-weighted mix of memory vectors."""
-
-    def fit(z):
-        order = np.argsort((z * z).sum(1), kind="stable")
-        extremes = np.unique(np.concatenate([z.argmin(0), z.argmax(0)]))
-        spread = order[np.linspace(0, len(z) - 1, max(1, min(memory, len(z)) - len(extremes))).astype(int)]
-        d = z[np.unique(np.concatenate([extremes, spread]))]
-
-        def likeness(a, b):
-            return 1 / (1 + np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)))
-
-        inverse = np.linalg.pinv(likeness(d, d) + 1e-6 * np.eye(len(d)))
-
-        def raise_(rows):
-            w = likeness(rows, d) @ inverse
-            return ((rows - w / np.maximum(np.abs(w.sum(1, keepdims=True)), 1e-9) @ d) ** 2).sum(1)
-
-        return raise_
-
-    return _scaled(x, fit, outliers)
-
-
-def sprt(residual: np.ndarray, mean: float, sd: float, shift: float = 3.0, alpha: float = 0.01, beta: float = 0.1) -> np.ndarray:
-    """Sequential probability ratio test on a residual: 1 where it decides for a mean shifted by ``shift`` sd, else 0."""
-    upper, lower = np.log((1 - beta) / alpha), np.log(beta / (1 - alpha))
-    out, total = np.zeros(len(residual), int), 0.0
-    for i, r in enumerate(residual):
-        total = max(total, lower) + shift * ((r - mean) / sd - shift / 2)
-        if total >= upper:
-            out[i], total = 1, 0.0
-        elif total <= lower:
-            total = 0.0
-    return out
-
-
-def alert_in_window(flags: np.ndarray, count: int = 3, window: int = 5) -> np.ndarray:
-    """1 where at least ``count`` of the last ``window`` flags are set."""
-    run = np.convolve(flags, np.ones(window), "full")[: len(flags)]
-    return (run >= count).astype(int)
-
-
-def model_score(wide: DataFrame, model: Scaled, columns: list[str]) -> DataFrame:
-    """``ts, flag, score`` of every row, null where a column is null; Arrow batches, no shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]], 1)
-            ok = ~np.isnan(x).any(1)
-            score = np.full(len(x), np.nan)
-            if ok.any():
-                score[ok] = model.score(x[ok])
-            flag = pa.array(np.where(ok, score > 1, 0).astype(np.int32), mask=~ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), flag, pa.array(score, mask=~ok)], ["ts", "flag", "score"])
-
-    return wide.select("ts", *[F.col(c).cast("double") for c in columns]).mapInArrow(run, "ts timestamp, flag int, score double")
-
-
 def feed_soak(df: DataFrame, ts: str, unit: str, tail_s: int) -> DataFrame:
     """One row: buckets missing inside the feed, its largest bucket, and gaps of more than ``tail_s`` seconds."""
     h = df.groupBy(F.date_trunc(unit, ts).alias("ts")).agg(F.count("*").alias("n"))

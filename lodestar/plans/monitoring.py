@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.operators import detectors, intervals, ranking, series
+from lodestar.operators import detectors, fitted, intervals, ranking, series
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
 
@@ -219,3 +219,42 @@ def time_window_guard(spark, d):
     from lodestar.functions.calendar import in_window
 
     return table(spark, d, "events").select("event_id", in_window(F.col("ts"), 22, 6, blackout=(F.dayofweek("ts") == 1) | (F.dayofmonth("ts") == 15)).alias("allowed"))
+
+
+@query("d10_d11_pca", f"""with s as ({SIGNALS_SQL}), t as (select * from s where ts < timestamp '2024-01-21'),
+  m as (select avg(click) as a, stddev_samp(click) as sa, avg(view) as b, stddev_samp(view) as sb, sign(corr(click, view)) as r from t),
+  e as (select ts, pow((click - a) / sa - r * (view - b) / sb, 2) / 2 as error from s, m), q as (select quantile_cont(error, 0.995) as limit_ from e where ts < timestamp '2024-01-21')
+  select ts, (error > limit_)::int as flag, {MICRO.format('error / limit_')} as score from e, q where ts >= timestamp '2024-01-21'""")
+def pca_residual(spark, d):
+    """Of two signals the first component is their sum or difference, which SQL can say."""
+    wide = series.signals(table(spark, d, "events"))
+    model = detectors.pca_train(wide.where("ts < '2024-01-21'"), ["click", "view"], variance=0.5)
+    return detectors.pca_score(wide.where("ts >= '2024-01-21'"), model).select("ts", "flag", micro(F.col("score")).alias("score"))
+
+
+def _scored_by(fit, spark, d):
+    wide = series.signals(table(spark, d, "events"))
+    return fitted.score(wide.where("ts >= '2024-01-21'"), fit(wide.where("ts < '2024-01-21'"), SIGNALS))
+
+
+@query("d12_one_class")
+def one_class_scores(spark, d):
+    return _scored_by(fitted.one_class, spark, d)
+
+
+@query("d13_mixture")
+def mixture_scores(spark, d):
+    return _scored_by(fitted.mixture, spark, d)
+
+
+@query("d14_mset_sprt")
+def mset_sprt_scores(spark, d):
+    wide = series.signals(table(spark, d, "events"))
+    train = wide.where("ts < '2024-01-21'")
+    model = fitted.memory_estimate(train, SIGNALS)
+    return fitted.mset_sprt(wide.where("ts >= '2024-01-16'"), model, fitted.sprt_trained(train, model, step_s=3600.0), range_s=5 * 86400).where("ts >= '2024-01-21'")
+
+
+@query("d15_isolation_forest")
+def forest_scores(spark, d):
+    return _scored_by(fitted.isolation_forest, spark, d)

@@ -1,12 +1,12 @@
 """Known answers of statistics, text, comparison, graph, ledger and table helpers."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import stats, text
-from lodestar.operators import compare, detectors, graph, ledger, ml, retrieval, series
+from lodestar.operators import compare, detectors, fitted, graph, ledger, ml, retrieval, series
 from lodestar.sources import files, tables
 
 
@@ -146,27 +146,68 @@ def test_pca_residual_finds_drift(drift):
     assert top.signal == "s3"
 
 
-#: A forest does not reach beyond the range it was fitted on: it flags 23 % of the drifted minutes, not the 80 % asked for.
-WEAK = pytest.param(detectors.isolation_forest, marks=pytest.mark.xfail(reason="an isolation forest does not extrapolate"))
-
-
-@pytest.mark.parametrize("fit", [WEAK, detectors.mixture, detectors.one_class, detectors.memory_estimate])
+@pytest.mark.parametrize("fit", [fitted.isolation_forest, fitted.mixture, fitted.one_class, fitted.memory_estimate])
 def test_models_find_drift(drift, fit):
     cols = [f"s{k}" for k in range(1, 6)]
-    model = fit(detectors.matrix(drift.where("id < 1440"), cols))
+    model = fit(drift.where("id < 1440"), cols)
     spiked = drift.where("id >= 1440").withColumn("s3", F.when(F.col("id") >= 1590, F.col("s3") * 2).otherwise(F.col("s3")))
-    s = detectors.model_score(spiked, model, cols)
+    s = fitted.score(spiked, model)
     r = {x.late: x.rate for x in s.groupBy((F.unix_timestamp("ts") >= 1590 * 60).alias("late")).agg(F.avg("flag").alias("rate")).collect()}
     assert r[True] > 0.8 and r[False] < 0.2
 
 
-def test_sprt_and_windows():
+def test_forest_does_not_depend_on_tasks(drift):
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    flags = detectors.sprt(np.concatenate([rng.normal(0, 1, 300), rng.normal(3, 1, 50)]), 0, 1)
-    assert flags[:300].mean() < 0.03 and flags[300:].mean() > 0.4
-    assert detectors.alert_in_window(np.array([1, 0, 1, 0, 1, 0, 0])).tolist() == [0, 0, 0, 0, 1, 0, 0]
+    cols, x = ["s1", "s2"], np.array([[0.4, 1.1], [3.0, 2.0], [1.0, 2.0]])
+    one, two = (fitted.isolation_forest(drift.repartition(n), cols, trees=8, size=32) for n in (1, 7))
+    assert np.allclose(one.raise_(x), two.raise_(x), rtol=1e-9)
+
+
+def test_fits_pass_over_incomplete_rows(spark):
+    d = spark.createDataFrame([(datetime(2024, 1, 1, 0, i % 60), float(i % 7), float(i % 5)) for i in range(60)] + [(datetime(2024, 1, 2), None, 1.0), (datetime(2024, 1, 2), float("nan"), 1.0), (datetime(2024, 1, 2), float("inf"), 1.0)], "ts timestamp, a double, b double")
+    for fit in (fitted.isolation_forest, fitted.mixture, fitted.memory_estimate):
+        s = fitted.score(d, fit(d, ["a", "b"]))
+        assert s.where("flag is null and score is null").count() == 3 and s.where("score > 0 or score = 0").count() == 60
+    with pytest.raises(ValueError, match="no complete rows"):
+        fitted.mixture(d.where("a is null"), ["a", "b"])
+
+
+def plain_sprt(rows, t):
+    """Flag of each (seconds, score) row, its test replayed from the beginning of its context."""
+    import math
+
+    upper, lower = math.log((1 - t.beta) / t.alpha), math.log(t.beta / (1 - t.alpha))
+    decided = []
+    for at, x in rows:
+        total, fired = 0.0, False
+        for b, y in rows:
+            if at - t.context * t.step_s < b <= at and y is not None:
+                total = max(total, lower) + t.shift * ((y - t.mean) / t.sd - t.shift / 2)
+                fired = total >= upper
+                if fired or total <= lower:
+                    total = 0.0
+        decided.append(fired and x is not None)
+    return [None if x is None else int(sum(f for f, (b, _) in zip(decided, rows, strict=True) if at - t.window * t.step_s < b <= at) >= t.count) for at, x in rows]
+
+
+def test_mset_sprt_for_any_ranges(spark):
+    """Equal to a row by row replay, however time is cut into ranges; gaps and missing rows included."""
+    import random
+
+    rng, at, rows = random.Random(4), 0, []
+    for i in range(500):
+        at += rng.choice([60, 60, 60, 120, 600])
+        load, odd = rng.uniform(0, 1), 6.0 if 150 < i < 175 or i > 480 else 0.0
+        rows.append((datetime(1970, 1, 1) + timedelta(seconds=at), None if rng.random() < 0.05 else load + odd, 2 * load))
+    d = spark.createDataFrame(rows, "ts timestamp, a double, b double")
+    model = fitted.memory_estimate(d.limit(150), ["a", "b"], memory=40)
+    test = fitted.sprt_trained(d.limit(150), model, context=20)
+    want = plain_sprt([(r.ts.timestamp(), r.score) for r in fitted.score(d, model).orderBy("ts").collect()], test)
+    assert {0, 1, None} == set(want)
+    for range_s in (300, 3600, 10**9):
+        got = [r.flag for r in fitted.mset_sprt(d.repartition(3), model, test, range_s).orderBy("ts").collect()]
+        assert got == want, range_s
 
 
 def test_signal_selection_and_hand_scores(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.functions import text
-from lodestar.operators import episodes, graph, retrieval, verdicts
+from lodestar.operators import episodes, graph, matching, retrieval, verdicts
 from lodestar.plans.knowledge import EDGES_SQL, TOPK_SQL, edges, top_hits
 from lodestar.plans.monitoring import INCIDENTS_SQL, incidents
 from lodestar.plans.tables import MICRO, micro, table
@@ -25,6 +25,23 @@ def tolerant_matching(spark, d):
     return verdicts.tolerant_bags(c, shifted, ["nation"], "v")
 
 
+#: Of each order, its lines' rates against rates that are a hundredth or two off: more than one line is near enough.
+@query("r3_row_matching", """with g as (select l_orderkey as o, l_discount as d, l_tax as t, l_returnflag as f, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as p from lineitem),
+  r as (select l_orderkey as o, l_discount + case l_linenumber % 3 when 0 then 0.02 when 1 then 0.01 else 0 end as d, l_tax - case l_linenumber % 2 when 0 then 0.01 else 0 end as t, case when l_orderkey % 13 = 0 then 'N' else l_returnflag end as f,
+    row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as p from lineitem where l_orderkey % 17 <> 0 or l_linenumber <> 2),
+  a as (select g.o, g.p, coalesce(bit_or((1 << (r.p - 1))::bigint) filter (where abs(g.d - r.d) < 0.015 and abs(g.t - r.t) < 0.015 and g.f = r.f), 0) as near from g left join r on g.o = r.o group by 1, 2),
+  n as (select o, count(*) as n_gold, coalesce(any_value(m), 0) as n_result from g left join (select o, count(*) as m from r group by 1) using (o) group by 1),
+  halls as (select a.o, s.s, bit_count(bit_or(near)) >= count(*) as fits from a join n on a.o = n.o join lateral (select unnest(range(1, (1 << n_gold)::bigint)) as s) s on true where (s.s >> (a.p - 1)) & 1 = 1 group by 1, 2)
+  select n.o as l_orderkey, n_gold::bigint as n_gold, n_result::bigint as n_result, n_gold = n_result and fits as matches from n join (select o, bool_and(fits) as fits from halls group by 1) using (o)""")
+def row_matching(spark, d):
+    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    gold = li.select("l_orderkey", F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_returnflag").alias("f"))
+    off = F.when(n % 3 == 0, 0.02).when(n % 3 == 1, 0.01).otherwise(0.0)
+    flag = F.when(F.col("l_orderkey") % 13 == 0, "N").otherwise(F.col("l_returnflag"))
+    result = li.where((F.col("l_orderkey") % 17 != 0) | (n != 2)).select("l_orderkey", (F.col("l_discount") + off).alias("d"), (F.col("l_tax") - F.when(n % 2 == 0, 0.01).otherwise(0.0)).alias("t"), flag.alias("f"))
+    return matching.tolerant_rows(gold, result, ["l_orderkey"], ["d", "t", "f"], 0.015)
+
+
 @query("r4_percent_units", """with t as (select l_orderkey, l_linenumber, round(100 * l_discount, 1) as gold, case when l_linenumber % 2 = 0 then l_discount else 100 * l_discount + case when l_linenumber = 3 then 0.3 else 0 end end as v from lineitem)
   select l_orderkey, l_linenumber, abs(gold - v) < 0.005 or (round(gold, 1) = gold and round(v, 1) = gold) or abs(gold - 100 * v) < 0.005 or (round(gold, 1) = gold and round(100 * v, 1) = gold) as matches from t""")
 def percent_units(spark, d):

@@ -34,7 +34,7 @@ from lodestar.session import materialise, small_batches
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text that a task handles at once.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Distinct words that a tokenizer is given at once.
 GROUP_WORDS = 8192
 #: Words that begin or end with a space or the sign that stands for one, or hold such a sign.
@@ -87,13 +87,17 @@ class Tokenizers:
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.a_text, self.b_text = (tuple(np.array([f"{i}{end}" for i in range(len(t))], object) for end in ends) for t, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
 
+    def _encoded(self, text: str) -> tuple[list[int], list[int]]:
+        # the fast form leaves out places in the text, which the owners' arrays tell anyway
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+
     def _spell(self, ids: tuple[list[int], list[int]], data: bytes) -> bool:
         return all(b"".join(map(of.__getitem__, x)) == data for of, x in zip((self.a_bytes, self.b_bytes), ids, strict=True))
 
     def _ids(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids of plain words by A and B, a space before each, how many each has, and whether they spell it."""
         line = " ".join(words)
-        found = self.a.encode(" " + line, add_special_tokens=False).ids, self.b.encode(line)
+        found = self._encoded(line)
         if self._spell(found, b" " + line.encode()):
             ids = [np.array(x, np.int64) for x in found]
             ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
@@ -106,7 +110,7 @@ class Tokenizers:
 
     def _odd(self, word: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """The same of one word of any kind."""
-        found = (self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)) if word else ([], [])
+        found = self._encoded(word) if word else ([], [])
         return [np.array(x, np.int64) for x in found], [np.array([len(x)]) for x in found], np.array([self._spell(found, b" " + word.encode())])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.operators import detectors, fitted, intervals, ranking, series
 from lodestar.plans.tables import MICRO, micro, table
 from lodestar.registry import query
+from lodestar.session import shared_dir
+from lodestar.sources import progress
+from lodestar.streaming import minutes
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
 SIGNALS = [*TYPES, "total", "top"]
@@ -258,3 +264,29 @@ def mset_sprt_scores(spark, d):
 @query("d15_isolation_forest")
 def forest_scores(spark, d):
     return _scored_by(fitted.isolation_forest, spark, d)
+
+
+#: Feeds are thirds of the users; one of them is silent from 3 to 4 every night.
+@query("st5_closed_minutes", """with e as (select 'F' || (user_id % 3) as feed, * from events where user_id % 3 <> 1 or hour(ts) <> 3),
+  u as (select date_trunc('minute', max(ts) - interval 5 minute) as until from e), f as (select feed, min(date_trunc('minute', ts)) as first from e group by 1),
+  sp as (select feed, unnest(generate_series(first + interval 1 minute, until - interval 1 minute, interval 1 minute)) as ts from f, u),
+  n as (select feed, date_trunc('minute', ts) as ts, count_if(event_type <> 'error') as n_ok, count_if(event_type = 'error') as n_err, max(value) as top from e group by 1, 2)
+  select feed, ts, coalesce(n_ok, 0) as n_ok, coalesce(n_err, 0) as n_err, top from sp left join n using (feed, ts)""")
+def closed_minutes(spark, d):
+    return minutes.minute_table(feeds(table(spark, d, "events")))
+
+
+def feeds(events):
+    """Events with their feed, and a planted gap."""
+    return events.where("user_id % 3 <> 1 or hour(ts) <> 3").withColumn("feed", F.concat(F.lit("F"), (F.col("user_id") % 3).cast("string")))
+
+
+@query("st3_resumed_scores", f"""with s as ({SIGNALS_SQL}), m as (select max(ts) as until from s), sp as (select unnest(generate_series(timestamp '2024-01-27', until, interval 1 hour)) as ts from m)
+  select sp.ts, (error > click / 4)::int as flag, {MICRO.format('error / (1 + click)')} as score from sp left join s using (ts)""")
+def resumed_scores(spark, d):
+    """A day a run, each going on where the table ends; together they are one run over all."""
+    wide = series.signals(table(spark, d, "events")).select("ts", "error", "click")
+    scored = progress.ScoredTable(spark, f"{shared_dir(spark)}/lodestar/resumed-{uuid.uuid4().hex}")
+    rule = lambda rows: rows.where("error is not null").select("ts", (F.col("error") > F.col("click") / 4).cast("int").alias("flag"), (F.col("error") / (1 + F.col("click"))).alias("score"))
+    progress.score_all_new(scored, wide, ["error", "click"], rule, datetime(2024, 1, 27), datetime(2024, 3, 1), step=timedelta(hours=1))
+    return scored.read(progress.SCORED).select("ts", "flag", micro(F.col("score")).alias("score"))

@@ -169,3 +169,51 @@ def ranking_equal(a: list[tuple], b: list[tuple], digits: int = 6) -> bool:
 def overlap_at(a: Column, b: Column, k: int) -> Column:
     """Size of the common part of two arrays' first k."""
     return F.size(F.array_intersect(F.slice(a, 1, k), F.slice(b, 1, k)))
+
+
+def canonical(hits: DataFrame, tie: float = 1e-6) -> DataFrame:
+    """``run, query, rank, id, score`` -> per run and query ``hits, ids, scores, groups``: its ranking up to the order within ties.
+
+    ``groups`` lists, for each run of scores that differ by no more than ``tie``
+    from the one before, its first place and a hash of its sorted ids. A ranking
+    is as long as its top-k; the groups of two of any number of queries compare
+    by one join.
+    """
+    w = Window.partitionBy("run", "query").orderBy("rank", "id")
+    new = F.coalesce((F.abs(F.col("score") - F.lag("score").over(w)) > tie).cast("int"), F.lit(1))
+    placed = hits.select("run", "query", "rank", "id", F.col("score").cast("double").alias("score"), new.alias("new"), F.row_number().over(w).alias("at"))
+    placed = placed.withColumn("g", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = placed.groupBy("run", "query", "g").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("h"))
+    groups = groups.withColumn("group", F.struct("at", F.xxhash64(F.array_sort(F.col("h.id"))).alias("ids")))
+    out = groups.groupBy("run", "query").agg(F.array_sort(F.collect_list("group")).alias("groups"), F.array_sort(F.flatten(F.collect_list("h"))).alias("h"))
+    return out.select("run", "query", F.size("h").alias("hits"), F.col("h.id").alias("ids"), F.col("h.score").alias("scores"), "groups")
+
+
+def compared(hits: DataFrame, one: str, other: str, k: int = 10, tie: float = 1e-6, truncated: bool = True) -> DataFrame:
+    """Per query of either run ``query, identical, equivalent, overlap, drift``.
+
+    ``identical``: the same ids in the same first ``k`` places. ``equivalent``:
+    all hits agree up to the order within ties; with ``truncated`` the last tie
+    may hold other ids on both sides, as the limit cut it. ``overlap``: common
+    ids in the first k. ``drift``: the largest difference of scores at one place
+    of the first k. A query that one run lacks is neither, with overlap 0.
+    """
+    c = canonical(hits.where(F.col("run").isin(one, other)), tie)
+    a, b = (c.where(F.col("run") == r).select(F.col("query").alias(f"q_{s}"), *[F.col(x).alias(f"{x}_{s}") for x in ("hits", "ids", "scores", "groups")]) for r, s in ((one, "a"), (other, "b")))
+    j = a.join(b, F.col("q_a") == F.col("q_b"), "full")
+    first = lambda x: F.slice(x, 1, k)
+    head = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+    same = F.col("groups_a") == F.col("groups_b")
+    cut = (F.col("hits_a") == F.col("hits_b")) & (head("groups_a") == head("groups_b")) & (F.element_at("groups_a", -1)["at"] == F.element_at("groups_b", -1)["at"])
+    drift = F.array_max(F.zip_with(first("scores_a"), first("scores_b"), lambda x, y: F.abs(x - y)))
+    no = F.lit(False)
+    return j.select(
+        F.coalesce("q_a", "q_b").alias("query"), F.coalesce(first("ids_a") == first("ids_b"), no).alias("identical"),
+        F.coalesce(same | cut if truncated else same, no).alias("equivalent"), F.coalesce(F.size(F.array_intersect(first("ids_a"), first("ids_b"))), F.lit(0)).alias("overlap"), drift.alias("drift"),
+    )
+
+
+def passes(hits: DataFrame, one: str, other: str, k: int = 10, tie: float = 1e-6) -> DataFrame:
+    """One row ``compared, different, not_equivalent, max_drift`` of two passes or of an index and its rebuild."""
+    c = compared(hits, one, other, k, tie)
+    return c.agg(F.count("*").alias("compared"), F.count_if(~F.col("identical")).alias("different"), F.count_if(~F.col("equivalent")).alias("not_equivalent"), F.max("drift").alias("max_drift"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring")
+FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring", "resampled")
 
 
 def load_queries() -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.session import materialise
 from lodestar.sources.tables import swap_in
 
 LOG = "level string, msg string, ts string, ts_minute string, n_ok long, n_err long, app_tps double, app_p50_ms double, app_p95_ms double, app_err_pct double, feed string, buffered long"
@@ -37,16 +38,38 @@ def log_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("msg is not null"), rows.groupBy("msg").count()
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, place, value``: lines whose order in a file is that of block (its offset) and place, in as many tasks as Spark reads."""
+    text = spark.read.text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+
+
 def spool(spark: SparkSession, path: str) -> DataFrame:
-    """One text of many results, each after a line ``@@ name``: ``name, n, line``.
+    """Texts of many results, each after a line ``@@ name``: ``name, n, line``, lines numbered from 1 within a name.
 
-    The file is a report, read as one partition so that line order holds.
+    A file may be read in many blocks: within one, lines follow their marker; a
+    row a block then tells which marker is open where the next one begins, and
+    how many lines each name had before. Files follow each other by path; lines
+    before the first marker of a file belong to none.
     """
-    lines = spark.read.text(path).coalesce(1).withColumn("i", F.monotonically_increasing_id())
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.last(F.when(F.col("value").startswith("@@ "), F.trim(F.substring("value", 4, 1000))), ignorenulls=True).over(w)
-    named = lines.withColumn("name", name).where("name is not null and not startswith(value, '@@ ')")
-    return named.select("name", F.row_number().over(Window.partitionBy("name").orderBy("i")).alias("n"), F.col("value").alias("line"))
+    lines = ordered_lines(spark, path)
+    mark = F.when(F.col("value").startswith("@@ "), F.trim(F.substring("value", F.lit(4), F.length("value"))))
+    inside = Window.partitionBy("file", "block").orderBy("place")
+    lines = lines.withColumn("mark", mark).withColumn("own", F.last("mark", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = materialise(lines, "spool-lines")
+    # a row a block: few, whatever the size of the files
+    ends = lines.groupBy("file", "block").agg(F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("place"))).alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col("file").alias("c_file"), F.col("block").alias("c_block"), F.last("last", ignorenulls=True).over(before).alias("carried"))
+    on = (F.col("file") == F.col("c_file")) & (F.col("block") == F.col("c_block"))
+    named = lines.where("mark is null").join(carried, on).select("file", "block", "place", F.coalesce("own", "carried").alias("name"), F.col("value").alias("line")).where("name is not null")
+    # a row a name and block
+    counts = named.groupBy("name", "file", "block").agg(F.count("*").alias("lines"))
+    so_far = Window.partitionBy("name").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("name").alias("c_name"), F.col("file").alias("c_file"), F.col("block").alias("c_block"), F.coalesce(F.sum("lines").over(so_far), F.lit(0)).alias("skipped"))
+    nth = F.row_number().over(Window.partitionBy("name", "file", "block").orderBy("place"))
+    numbered = named.withColumn("nth", nth).join(counts, on & (F.col("name") == F.col("c_name")))
+    return numbered.select("name", (F.col("skipped") + F.col("nth")).cast("long").alias("n"), "line")
 
 
 def marked_documents(texts: DataFrame) -> DataFrame:

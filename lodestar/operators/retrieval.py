@@ -22,7 +22,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def euclidean(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
 #: Chunks and queries that one task holds at a time.
@@ -146,6 +146,27 @@ def keep_default_or_best(cells: list[tuple[str, int, int]], default: str, margin
     return best[0] if 100 * gain >= margin_pp * best[2] * base[2] else default
 
 
+def kept_or_best(cells: DataFrame, family: str, name: str, default, margin_pp: int = 3) -> DataFrame:
+    """``family, name, hits, n`` -> per family ``family, kept``: its best name if that beats ``default`` by ``margin_pp`` points, else the default.
+
+    Rates are compared as exact fractions; of equal ones the name nearest to the
+    default is best, then the lesser. Names are whole numbers; a family without
+    the default has none kept.
+    """
+    rate, off = F.col("hits").cast("double") / F.col("n"), F.abs(F.col(name) - default)
+    cell = F.struct(F.col("hits").cast("decimal(19,0)").alias("h"), F.col("n").cast("decimal(19,0)").alias("n"), F.col(name).alias("name"))
+    g = cells.where("n > 0").groupBy(family).agg(F.max_by(cell, F.struct(rate, -off, -F.col(name))).alias("b"), F.max(F.when(F.col(name) == default, cell)).alias("d"))
+    gain = 100 * (F.col("b.h") * F.col("d.n") - F.col("d.h") * F.col("b.n")) >= margin_pp * F.col("b.n") * F.col("d.n")
+    return g.select(family, F.when(gain, F.col("b.name")).otherwise(F.col("d.name")).alias("kept"))
+
+
+def of_files(chunks: DataFrame, name: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Chunks whose file, the part of ``name`` before the first slash, is included (all are if none are named) and not excluded."""
+    file = F.substring_index(F.col(name), "/", 1)
+    kept = chunks if not include else chunks.where(file.isin(include))
+    return kept if not exclude else kept.where(~F.coalesce(file.isin(exclude), F.lit(False)))
+
+
 def budgeted_k(budget: int, size: int) -> int:
     return int(budget / size + 0.5)
 

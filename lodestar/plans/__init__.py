@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring", "resampled")
+FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring", "resampled", "answers")
 
 
 def load_queries() -> dict:

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "allotment string, seq long, claim string, action string, outcome string, held double, spent double"
+#: Amounts are kept as whole numbers of this part of the unit.
+PART = 10_000
 
 
 def run_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -14,30 +16,36 @@ def run_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
 
     A claim is granted if spent + held + amount fits the budget and the
     allotment is open; a settlement above its hold that breaks the budget
-    closes it. Each allotment is one ordered fold.
+    closes it. Amounts count to four decimals, exactly. Each allotment is one
+    ordered fold with running totals; those without a budget are left out, and
+    a null amount is 0.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, float] = {}
-        spent, closed, out = 0.0, False, []
-        budget = float(pdf["budget"].iloc[0])
+        holds: dict[str, int] = {}
+        held, spent, closed, out = 0, 0, False, []
+        budget = int(pdf["budget"].iloc[0])
         for r in pdf.sort_values("seq").itertuples():
+            amount = int(r.amount)
             if r.action == "claim":
-                ok = not closed and r.claim not in held and spent + sum(held.values()) + r.amount <= budget + 1e-9
+                ok = not closed and r.claim not in holds and spent + held + amount <= budget
                 outcome = "granted" if ok else "closed" if closed else "refused"
                 if ok:
-                    held[r.claim] = r.amount
-            elif r.claim in held:
-                held.pop(r.claim)
-                spent += r.amount
-                closed = closed or spent > budget + 1e-9
-                outcome = "breach" if spent > budget + 1e-9 else "settled"
+                    holds[r.claim] = amount
+                    held += amount
+            elif r.claim in holds:
+                held -= holds.pop(r.claim)
+                spent += amount
+                closed = closed or spent > budget
+                outcome = "breach" if spent > budget else "settled"
             else:
                 outcome = "unknown"
-            out.append((r.allotment, r.seq, r.claim, r.action, outcome, sum(held.values()), spent))
+            out.append((r.allotment, r.seq, r.claim, r.action, outcome, held / PART, spent / PART))
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return entries.join(F.broadcast(budgets), "allotment").groupBy("allotment").applyInPandas(fold, SCHEMA)  # one row an allotment
+    whole = lambda c: F.coalesce((F.col(c).cast("decimal(28,4)") * PART).cast("long"), F.lit(0).cast("long")).alias(c)
+    e = entries.select("allotment", "seq", "claim", "action", whole("amount"))
+    return e.join(budgets.where("budget is not null").select("allotment", whole("budget")), "allotment").groupBy("allotment").applyInPandas(fold, SCHEMA)
 
 
 def eligible(offers: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

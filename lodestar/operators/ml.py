@@ -34,15 +34,27 @@ def classify(df: DataFrame, columns: list[str], label: str, key: str) -> DataFra
 
 
 def cluster(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (5, 6, 7, 8)) -> DataFrame:
-    """``model, k, score``: mean probability of the own cluster (mixture) or mean closeness (k-means)."""
+    """``model, k, score`` of k-means and mixtures of each size: the mean probability of a row's own cluster.
+
+    A mixture tells it itself; for k-means it is the own centre's share of the
+    inverse squared distances to all centres (1 on a centre). Each candidate is
+    scored by itself. Centres are k rows of a few numbers.
+    """
     x = features(df, columns).cache()
-    rows = []
-    for k in ks:
-        fit = KMeans(k=k, seed=1).fit(x)
-        rows.append(("kmeans", k, 1 / (1 + fit.summary.trainingCost / max(x.count(), 1))))
-    mix = GaussianMixture(k=ks[0], seed=1).fit(x).transform(x)
-    top = mix.select(F.array_max(_array("probability")).alias("p")).agg(F.avg("p")).first()[0]
-    return df.sparkSession.createDataFrame([*rows, ("mixture", ks[0], float(top))], "model string, k int, score double")
+    try:
+        rows = []
+        for k in ks:
+            centres = [c.tolist() for c in KMeans(k=k, seed=1).fit(x).clusterCenters()]
+            point = _array("features")
+            far = F.transform(F.lit(centres), lambda c: F.aggregate(F.zip_with(c, F.col("p"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+            near = x.select(point.alias("p")).select(far.alias("far")).select(F.array_min("far").alias("least"), F.aggregate("far", F.lit(0.0), lambda s, v: s + F.try_divide(F.lit(1.0), v)).alias("all"))
+            own = F.when(F.col("least") == 0, 1.0).otherwise(1 / F.col("least") / F.col("all"))
+            rows.append(("kmeans", k, near.agg(F.avg(own)).first()[0]))
+            mix = GaussianMixture(k=k, seed=1).fit(x).transform(x)
+            rows.append(("mixture", k, mix.agg(F.avg(F.array_max(_array("probability")))).first()[0]))
+    finally:
+        x.unpersist()
+    return df.sparkSession.createDataFrame([(m, k, float(s)) for m, k, s in rows if s is not None], "model string, k int, score double")
 
 
 def _array(column: str):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestar.functions.stats import holm_adjusted, mcnemar_p
+
 TOLERANCE = 0.005
 
 
@@ -75,3 +77,25 @@ def paired(judged: DataFrame, unit: str, strategy: str, hit: str) -> DataFrame:
 def ranked_models(rates: DataFrame, order: list[Column]) -> DataFrame:
     """Models numbered by ``order``; a table of models, one row each."""
     return rates.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def confirmatory(judged: DataFrame, unit: str, group: str, strategy: str, hit: str, alpha: float = 0.05) -> DataFrame:
+    """Of each two strategies in each group, over units both have: exact McNemar tests, adjusted by Holm over the whole family.
+
+    ``group, a, b, n, hits_a, hits_b, only_a, only_b, p, p_holm, verdict``; the
+    verdict names the better one where the adjusted p is below ``alpha``.
+    """
+    x = judged.select(unit, group, F.col(strategy).alias("a"), F.col(hit).alias("ha"))
+    y = judged.select(unit, group, F.col(strategy).alias("b"), F.col(hit).alias("hb"))
+    only_a, only_b = F.count_if(F.col("ha") & ~F.col("hb")), F.count_if(~F.col("ha") & F.col("hb"))
+    g = x.join(y, [unit, group]).where("a < b").groupBy(group, "a", "b").agg(F.count("*").alias("n"), F.count_if("ha").alias("hits_a"), F.count_if("hb").alias("hits_b"), only_a.alias("only_a"), only_b.alias("only_b"))
+    family = holm_adjusted(g.withColumn("p", mcnemar_p(F.col("only_a"), F.col("only_b"))).withColumn("__family", F.lit(1)), "p", ["__family"]).drop("__family")
+    better = F.when(F.col("only_a") > F.col("only_b"), F.concat(F.col("a").cast("string"), F.lit(" better"))).when(F.col("only_b") > F.col("only_a"), F.concat(F.col("b").cast("string"), F.lit(" better")))
+    return family.withColumn("verdict", F.when(F.col("p_holm") < alpha, better).otherwise("no difference detected"))
+
+
+def crosschecked(judged: DataFrame, tests: DataFrame, group: str, strategy: str, hit: str) -> DataFrame:
+    """Hits of each group and strategy counted anew against those of the tests: ``group, strategy, counted, tested`` where they differ."""
+    counted = judged.groupBy(group, F.col(strategy).alias("s")).agg(F.count_if(hit).alias("counted"))
+    sides = tests.select(group, F.col("a").alias("s"), F.col("hits_a").alias("tested")).union(tests.select(group, "b", "hits_b")).distinct()
+    return counted.join(sides, [group, "s"], "full").where(~F.col("counted").eqNullSafe(F.col("tested"))).withColumnRenamed("s", strategy)

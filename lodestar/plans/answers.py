@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.functions import facts
-from lodestar.operators import compare, retrieval
+from lodestar.operators import compare, ml, retrieval, verdicts
+from lodestar.plans.knowledge import TOPK_SQL, top_hits
 from lodestar.plans.tables import MICRO, NET, micro, net_amount, table
 from lodestar.registry import query
 
@@ -176,3 +177,50 @@ def normalised_values(spark, d):
     j = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
     n = lambda c, k: compare.normal(F.col(c), k)
     return j.select("c_custkey", n("c_name", "string").alias("name"), n("c_acctbal", "double").alias("balance"), n("o_orderdate", j.schema["o_orderdate"].dataType.simpleString()).alias("day"))
+
+
+_STRATEGIES = "f as (select query_id, ql % 2 as part, min(case when relevant then rank end) as first from hits group by 1, 2), s as (select query_id, part, k as strategy, coalesce(first <= k, false) as hit from f, (values (1), (3), (12)) v(k))"
+
+
+def _strategies(spark, d):
+    f = top_hits(spark, d).groupBy("query_id", (F.col("ql") % 2).alias("part")).agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
+    s = f.select("query_id", "part", "first", F.explode(F.array(F.lit(1), F.lit(3), F.lit(12))).alias("strategy"))
+    return s.withColumn("hit", F.coalesce(F.col("first") <= F.col("strategy"), F.lit(False)))
+
+
+@query("x27_confirmatory", f"""{TOPK_SQL}, {_STRATEGIES},
+  g as (select x.part, x.strategy as a, y.strategy as b, count(*) as n, count_if(x.hit) as hits_a, count_if(y.hit) as hits_b, count_if(x.hit and not y.hit) as only_a, count_if(not x.hit and y.hit) as only_b from s x join s y on x.query_id = y.query_id and x.strategy < y.strategy group by all),
+  t as (select *, least(1.0, (select 2 * sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1))) / pow(2, only_a + only_b) from range(0, least(only_a, only_b)::bigint + 1) r(i))) as p from g),
+  h as (select *, row_number() over (order by p) as k, count(*) over () as m from t), a as (select *, max(least(1.0, (m - k + 1) * p)) over (order by p rows unbounded preceding) as p_holm from h)
+  select part, a, b, n, hits_a, hits_b, only_a, only_b, {MICRO.format('p')} as p, {MICRO.format('p_holm')} as p_holm, case when p_holm < 0.05 and only_a > only_b then a || ' better' when p_holm < 0.05 and only_b > only_a then b || ' better' else 'no difference detected' end as verdict from a""")
+def confirmatory(spark, d):
+    t = verdicts.confirmatory(_strategies(spark, d), "query_id", "part", "strategy", "hit")
+    return t.withColumn("p", micro(F.col("p"))).withColumn("p_holm", micro(F.col("p_holm"))).select("part", "a", "b", "n", "hits_a", "hits_b", "only_a", "only_b", "p", "p_holm", "verdict")
+
+
+@query("m3_agreement", f"""with z as (select event_type as model, (value > 100)::int as flag, (value - (select avg(value) from events)) / (select stddev_samp(value) from events) as z from events) select model, {MICRO.format('avg(abs(z))')} as mean_extremeness, count(*) as n from z where flag = 1 group by 1""")
+def agreement(spark, d):
+    e = table(spark, d, "events")
+    m = e.agg(F.avg("value").alias("a"), F.stddev_samp("value").alias("s"))
+    scores = e.crossJoin(F.broadcast(m)).select(F.col("event_type").alias("model"), (F.col("value") > 100).cast("int").alias("flag"), ((F.col("value") - F.col("a")) / F.col("s")).alias("z"))  # one row
+    return ml.extremeness(scores).select("model", micro(F.col("mean_extremeness")).alias("mean_extremeness"), "n")
+
+
+@query("x16_budgeted_k_by_source", "select source, floor(6000.0 / greatest(1, avg(n_chars)) + 0.5)::int as k from documents group by source")
+def budgeted_k_by_source(spark, d):
+    """How many chunks of a source's mean size fit a budget of characters, rounded half up."""
+    return table(spark, d, "documents").groupBy("source").agg(F.floor(F.lit(6000.0) / F.greatest(F.lit(1.0), F.avg("n_chars")) + 0.5).cast("int").alias("k"))
+
+
+@query("s3_s5_generated_rows", """select p_partkey, 'row' as kind, g::varchar as item, g as pos from part, range(1, p_size % 5 + 1) t(g) union all select p_partkey, 'list', unnest([p_brand, p_type]), unnest(range(0, 2)) from part
+  union all select p_partkey, 'word', unnest(string_split(p_type, ' ')), unnest(range(0, len(string_split(p_type, ' ')))) from part union all select p_partkey, 'const', c.item, c.pos from part join (values ('small', 1, 10), ('large', 2, 99)) c(item, pos, top) on p_size > 40 and top > 50 or p_size <= 40 and top < 50""")
+def generated_rows(spark, d):
+    """Rows made for each part: by a number of it, from a list, from the words of a text, and from constants."""
+    p = table(spark, d, "part")
+    n = p.where("p_size % 5 > 0").select("p_partkey", F.lit("row").alias("kind"), F.explode(F.sequence(F.lit(1).cast("long"), (F.col("p_size") % 5).cast("long"))).alias("pos")).select("p_partkey", "kind", F.col("pos").cast("string").alias("item"), "pos")
+    listed = p.select("p_partkey", F.lit("list").alias("kind"), F.posexplode(F.array("p_brand", "p_type")).alias("pos", "item"))
+    words = p.select("p_partkey", F.lit("word").alias("kind"), F.posexplode(F.split("p_type", " ")).alias("pos", "item"))
+    const = spark.createDataFrame([("small", 1, False), ("large", 2, True)], "item string, pos long, large boolean")
+    sized = p.join(F.broadcast(const), (F.col("p_size") > 40) == F.col("large")).select("p_partkey", F.lit("const").alias("kind"), "item", "pos")  # two rows
+    order = ["p_partkey", "kind", "item", F.col("pos").cast("long").alias("pos")]
+    return n.select(*order).union(listed.select(*order)).union(words.select(*order)).union(sized.select(*order))

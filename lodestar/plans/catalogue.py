@@ -77,11 +77,12 @@ def parameters(spark, d):
   od as (select model_id, count(distinct case when on_demand then region end) as n from avail group by 1), lm as (select model_id, max(lifecycle) as lifecycle from listed where model_type = 'BASE' group by 1),
   ids as (select model_id from b union select model_id from lm)
   select i.model_id, coalesce(b.vendor, split_part(i.model_id, '.', 1)) as vendor, b.access, capabilities, coalesce(on_demand, false) as home_on_demand, coalesce(dedicated, false) as home_dedicated, coalesce(od.n, 0) as od_regions,
-    od_retired::date as od_retires, coalesce(od_retired > timestamp '2024-02-10 08:00:00' and od_retired <= timestamp '2024-02-10 08:00:00' + interval 30 day, false) as retires_soon, b.model_id is not null as in_discovery, lm.model_id is not null as in_listing, lm.lifecycle,
-    case when b.model_id is not null then (1 + (z > 25)::int)::int end as param_count, date '2024-02-10' as taken
+    strftime(od_retired, '%Y-%m-%d') as od_retires, coalesce(od_retired > timestamp '2024-02-10 08:00:00' and od_retired <= timestamp '2024-02-10 08:00:00' + interval 30 day, false) as retires_soon, b.model_id is not null as in_discovery, lm.model_id is not null as in_listing, lm.lifecycle,
+    case when b.model_id is not null then (1 + (z > 25)::int)::int end as param_count, '2024-02-10' as taken
   from ids i left join b using (model_id) left join caps using (model_id) left join home using (model_id) left join od using (model_id) left join lm on lm.model_id = i.model_id""")
 def catalogue_view(spark, d):
-    return offerings.catalogue(discovery(spark, d), listing(spark, d), "region-1")
+    c = offerings.catalogue(discovery(spark, d), listing(spark, d), "region-1")
+    return c.withColumn("od_retires", F.date_format("od_retires", "yyyy-MM-dd")).withColumn("taken", F.date_format("taken", "yyyy-MM-dd"))
 
 
 @query("u2_offering_search", """with q as (select embedding as qv from embeddings where vec_id = 3), p as (select vec_id, label, 1 - list_dot_product(qv::double[], embedding::double[]) / (sqrt(list_dot_product(qv::double[], qv::double[])) * sqrt(list_dot_product(embedding::double[], embedding::double[]))) as dist from q, embeddings where label = 2)

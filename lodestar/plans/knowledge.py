@@ -259,12 +259,19 @@ def reconciliation(spark, d):
     return a.union(b).union(lab.where(~F.col("quality").isin(0, 1)).select(F.lit("filter_broken").alias("side"))).groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query("c6_budget_ledger")
+@query("c6_budget_ledger", f"""with recursive o as (select o_custkey::varchar as allotment, o_orderkey, cast(o_totalprice as decimal(28,4)) as amount, row_number() over (partition by o_custkey order by o_orderkey) as n from orders),
+  b as (select allotment, cast(sum(amount) * 0.7 as decimal(28,4)) as budget from o group by 1),
+  l as (select allotment, o_orderkey, n, amount <= budget as ok, cast(0 as decimal(28,4)) as before, cast(case when amount <= budget then amount else 0 end as decimal(28,4)) as spent, amount from o join b using (allotment) where n = 1
+    union all select o.allotment, o.o_orderkey, o.n, l.spent + o.amount <= budget, l.spent, cast(l.spent + case when l.spent + o.amount <= budget then o.amount else 0 end as decimal(28,4)), o.amount from l join o on o.allotment = l.allotment and o.n = l.n + 1 join b on b.allotment = o.allotment)
+  select allotment, 2 * o_orderkey as seq, o_orderkey::varchar as claim, 'claim' as action, case when ok then 'granted' else 'refused' end as outcome, {MICRO.format('case when ok then amount::double else 0 end')} as held, {MICRO.format('before::double')} as spent from l
+  union all select allotment, 2 * o_orderkey + 1, o_orderkey::varchar, 'settle', case when ok then 'settled' else 'unknown' end, 0, {MICRO.format('spent::double')} from l""")
 def budget_ledger(spark, d):
     o = table(spark, d, "orders")
     e = o.select(F.col("o_custkey").cast("string").alias("allotment"), F.col("o_orderkey").cast("string").alias("claim"), (2 * F.col("o_orderkey")).alias("seq"), F.col("o_totalprice").alias("amount"))
     both = e.withColumn("action", F.lit("claim")).unionByName(e.withColumn("action", F.lit("settle")).withColumn("seq", F.col("seq") + 1))
-    return ledger.run_ledger(both, e.groupBy("allotment").agg((F.sum("amount") * 0.7).alias("budget")))
+    budgets = e.groupBy("allotment").agg((F.sum(F.col("amount").cast("decimal(28,4)")) * F.lit("0.7").cast("decimal(1,1)")).alias("budget"))
+    r = ledger.run_ledger(both, budgets)
+    return r.withColumn("held", micro(F.col("held"))).withColumn("spent", micro(F.col("spent")))
 
 
 @query("d24_mcnemar", """with t as (select c_custkey % 10 as b, c_nationkey % 8 as c, count(*) as n from customer group by 1, 2), i as (select *, unnest(range(0, least(b, c) + 1)) as i from t)
@@ -299,10 +306,15 @@ def attribution_grid(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_shipdate").isNotNull().alias("retrieved"), (F.col("l_returnflag") == "A").alias("correct")).agg(F.count("*").alias("n"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
 
 
-@query("m4_smoothing")
+@query("m4_smoothing", f"""with recursive h as (select date_trunc('hour', ts) as t, count_if(event_type = 'click')::double as click, count_if(event_type = 'view')::double as "view", cast(sum(cast(value as decimal(18,4))) as double) as total from events group by 1),
+  s as (select *, row_number() over (partition by series order by t) as i, lead(y) over (partition by series order by t) as next from h unpivot (y for series in (click, "view", total))),
+  r as (select series, i, y as level, coalesce(next - y, 0.0) as trend from s where i = 1
+    union all select s.series, s.i, 0.3 * y + 0.7 * (level + trend), 0.1 * (0.3 * y + 0.7 * (level + trend) - level) + 0.9 * trend from r join s on s.series = r.series and s.i = r.i + 1)
+  select series, i as n, {MICRO.format('level')} as level, {MICRO.format('trend')} as trend, {MICRO.format('level + trend')} as forecast from r where i = (select max(i) from s where s.series = r.series)""")
 def smoothing(spark, d):
     h = series.signals(table(spark, d, "events"))
-    return ml.smooth(series.long_form(h, "ts", ["click", "view", "total"]).select(F.col("signal").alias("series"), F.col("ts").alias("t"), F.col("val").alias("y")), "series")
+    r = ml.smooth(series.long_form(h, "ts", ["click", "view", "total"]).select(F.col("signal").alias("series"), F.col("ts").alias("t"), F.col("val").alias("y")), "series")
+    return r.select("series", "n", *(micro(F.col(c)).alias(c) for c in ("level", "trend", "forecast")))
 
 
 @query("m5_rules")
@@ -319,7 +331,7 @@ def classification(spark, d):
 
 @query("m2_clustering")
 def clustering(spark, d):
-    return ml.cluster(table(spark, d, "part"), ["p_size", "p_retailprice"], (5, 6))
+    return ml.cluster(table(spark, d, "part"), ["p_size", "p_retailprice"])
 
 
 @query("s3_s6_generators", """select 'seq' as kind, g::varchar as item, g as pos from range(1, 8) t(g) union all select 'split', unnest(string_split('CPU,PIO,REDO', ',')), unnest(range(0, 3)) union all select 'list', unnest(['a', 'b']), unnest(range(0, 2)) union all select * from (values ('const', 'x', 1::bigint), ('const', 'y', 2)) v""")

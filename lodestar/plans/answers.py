@@ -179,6 +179,28 @@ def normalised_values(spark, d):
     return j.select("c_custkey", n("c_name", "string").alias("name"), n("c_acctbal", "double").alias("balance"), n("o_orderdate", j.schema["o_orderdate"].dataType.simpleString()).alias("day"))
 
 
+_ROUNDED = "select lower(trim(n_name)) as a, r_name as b, round_even(cast(c_acctbal as decimal(30, 6)), 2) as c from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+
+
+@query("r2_bag_equality", f"""with g as ({_ROUNDED}), moved as (select b as x, c as y, a as z, 1 as w from g), wrong as (select a, b, c + case when c = (select max(c) from g) then 1 else 0 end as c from g), swapped as (select a, b, row_number() over (order by c) as n, c from g),
+  crossed as (select a, b, lead(c, 1, (select min(c) from g)) over (order by c) as c from g)
+  select 'moved' as result, not exists (select a, b, c from g except all select z, x, y from moved) as same from g limit 1""".replace("  select 'moved'", "  (select 'moved'").replace("from g limit 1", "from g limit 1)") + """ union all (select 'wrong', not exists (select a, b, c from g except all select a, b, c from wrong) from g limit 1) union all (select 'crossed', not exists (select a, b, c from g except all select a, b, c from crossed) from g limit 1)""")
+def bag_equality(spark, d):
+    """A result with its columns in another order and one more is the same; one value changed, or values paired otherwise, is not."""
+    from pyspark.sql.window import Window
+
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    g = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), F.col("c_acctbal").alias("c"))
+    ends = g.agg(F.max("c").alias("high"), F.min("c").alias("low"))
+    wide = g.crossJoin(F.broadcast(ends))  # one row
+    results = {
+        "moved": g.select(F.col("b").alias("x"), F.col("c").alias("y"), F.upper("a").alias("z"), F.lit(1).alias("w")),
+        "wrong": wide.select("a", "b", F.when(F.col("c") == F.col("high"), F.col("c") + 1).otherwise(F.col("c")).alias("c")),
+        "crossed": wide.select("a", "b", F.coalesce(F.lead("c").over(Window.orderBy("c")), F.col("low")).alias("c")),
+    }
+    return spark.createDataFrame([(k, compare.same_bag(g, v)) for k, v in results.items()], "result string, same boolean")
+
+
 _STRATEGIES = "f as (select query_id, ql % 2 as part, min(case when relevant then rank end) as first from hits group by 1, 2), s as (select query_id, part, k as strategy, coalesce(first <= k, false) as hit from f, (values (1), (3), (12)) v(k))"
 
 

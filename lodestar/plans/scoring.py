@@ -159,7 +159,9 @@ def fixed_hops(spark, d):
     return _fixed(edges(spark, d))
 
 
-@query("g5_two_forms_agree", "select 0::bigint as only_walks, 0::bigint as only_fixed, true as same_columns")
+@query("g5_two_forms_agree", f"""with recursive {EDGES_SQL}, w as (select vec_id as root, vec_id as node, 0 as hops from embeddings union all select root, dst, hops + 1 from w join e on node = src where hops < 3),
+  v as (select root, node, hops from w where hops > 0), f as (select src as root, dst as node, 1 as hops from e union all select a.src, b.dst, 2 from e a join e b on a.dst = b.src union all select a.src, c.dst, 3 from e a join e b on a.dst = b.src join e c on b.dst = c.src)
+  select (select count(*) from (select * from v except all select * from f)) as only_walks, (select count(*) from (select * from f except all select * from v)) as only_fixed, true as same_columns""")
 def two_forms_agree(spark, d):
     """Variable-length walks against the fixed-hop form, as bags of (root, node, hops)."""
     e = edges(spark, d)

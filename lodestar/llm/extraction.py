@@ -279,3 +279,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 report = extract
+
+#: SQL for pages of the given tables' shape, whose main text is one ``article`` of ``h1`` and ``p`` blocks.
+ORACLE_SQL = r"""
+with inner_html as (
+  select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g') as t from pages),
+raw as (select page_id, url, list_transform(regexp_split_to_array(t, '</?(?:p|h1)>'), lambda x: regexp_replace(x, '</?b>', '', 'g')) as parts from inner_html),
+decoded as (
+  select page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&#(39|x27);', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')) as parts from raw),
+plain as (
+  select page_id, url, array_to_string(list_filter(list_transform(parts, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from decoded)
+select page_id, url, text, length(text)::bigint as n_chars from plain
+"""

@@ -72,7 +72,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_decontamination": (op9_decontamination, decontamination.ORACLE_SQL),
     "op10_langid": (op10_langid, None),
-    "op11_html_extraction": (op11_html_extraction, None),
+    "op11_html_extraction": (op11_html_extraction, extraction.ORACLE_SQL),
     "op12_whitening": (op12_whitening, None),
     "op13_alignment": (op13_alignment, None),
 }

@@ -37,8 +37,8 @@ SAMPLE, FEATURE_BITS, THRESHOLD = 8_000, 18, 0.3
 LEAST_BIAS = -4.0
 #: A word counts as itself and as its first so many bytes.
 PREFIXES = (5, 6, 7, 8)
-#: Weight of the penalty that keeps most features at zero.
-L1 = 5e-4
+#: Weight of the penalty that keeps most features at zero: of 1, 2 and 5e-4 that of least log loss in three folds of training rows.
+L1 = 2e-4
 #: Weights of a sentence up to this sum tell nothing, however many such sentences there are.
 TELLING = 1.0
 CHUNK = 4 << 20
@@ -129,7 +129,8 @@ def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps:
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
         b, over = theta[-2], np.concatenate([np.bincount(sentence, theta[feature], n) for _, n, sentence, feature in pairs])
-        counts = over >= 0
+        # the gate of scoring, raised once there are weights: in the beginning no sentence would pass it
+        counts = over > TELLING * min(1.0, 4 * k / steps - 1) if 4 * k > steps else over >= 0
         z = np.where(counts, b + over, b)
         s = np.logaddexp(0, theta[-1]) + np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(y))
         to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)

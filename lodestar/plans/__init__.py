@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring", "resampled", "answers", "catalogue")
+FAMILIES = ("business", "questions", "monitoring", "knowledge", "scoring", "resampled", "answers", "catalogue", "intake")
 
 
 def load_queries() -> dict:

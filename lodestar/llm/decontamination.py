@@ -58,7 +58,9 @@ def scan(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """One pass over the texts: (rows, windows with items).
 
     Rows are ``doc_id, row_key, n_words, at, len, win_id``: one with ``at`` = -1
-    for each document and one for each window found in it.
+    for each document and one for each window found in it. Null texts have no
+    words, null items no windows; repeated rows share a key and their windows,
+    windows that several items share are one. Empty tables give no rows.
     """
     wins = materialise(item_windows(items, size=size).withColumn("win_id", F.xxhash64("win")), "bench-windows")
     each = wins.select("win_id", "win", "len").distinct()

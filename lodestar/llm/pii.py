@@ -151,6 +151,9 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", alpha: flo
 
     ``terms`` holds ``struct<start, k, end, value>`` whose value is the
     replacement: empty for removal, else the class that generalises the term.
+    Null and empty texts have no spans; a null id is carried, and repeated rows
+    each get their row. An empty table, or one without entities of enough
+    support, gives no terms. Terms tied at a threshold are treated alike.
     """
     based = base_spans(docs, doc_id, text).withColumn("m", _masked(F.col("t")))
 

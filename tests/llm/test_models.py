@@ -294,3 +294,35 @@ def test_languages_of_held_out_documents(spark):
     assert all(x.lang_pred == "und" for x in out if x.doc_id >= 900)
     held = [x for x in out if x.held_out and x.doc_id < 900]
     assert np.mean([x.lang_pred == truth[x.doc_id] for x in held]) > 0.95
+
+
+def whole_kernel(a, b):
+    """The blended-spectrum presence kernel on whole sets of byte n-grams, none hashed."""
+    grams = lambda x, n: {x[i : i + n] for i in range(len(x) - n + 1)}
+    fold = lambda t: bytes(langid._FOLD[np.frombuffer(t.encode(), np.uint8)]) if t else b""
+    a, b = fold(a), fold(b)
+    total = 0.0
+    for n in range(1, 5):
+        x, y = grams(a, n), grams(b, n)
+        total += len(x & y) / np.sqrt(max(len(x), 1) * max(len(y), 1))
+    return total / 4
+
+
+def test_language_kernel_against_whole_sets():
+    """Hashed kernel values are those of whole n-gram sets, but for collisions: these are few in texts of a page, and grow with length."""
+    import pyarrow.parquet as pq
+    from lodestar.llm.tokens import utf8
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    off = {}
+    for name, low, high in (("short", 20, 300), ("page", 1500, 3000), ("long", 20_000, 10**9)):
+        some = [t for t in texts if low <= len(t) < high][:24]
+        p = langid.scaled(langid.presence(*utf8(pa.array(some))))
+        k = (p @ p.T).astype(float)
+        whole = np.array([[whole_kernel(a, b) for b in some] for a in some])
+        off[name] = np.abs(k - whole).mean()
+        # which of two texts is nearer to a third seldom changes
+        pairs = [(i, j, h) for i in range(len(some)) for j in range(i) for h in range(j) if abs(whole[i, j] - whole[i, h]) > 0.05]
+        assert not pairs or np.mean([(k[i, j] > k[i, h]) == (whole[i, j] > whole[i, h]) for i, j, h in pairs]) > 0.97
+    print(off)
+    assert off["short"] < 0.01 and off["page"] < 0.05 and off["long"] < 0.2

@@ -13,7 +13,7 @@ from lodestar.session import materialise
 
 #: Units that are flipped in all ways, and flips of one task's row.
 MOST_UNITS, BLOCK = 24, 1 << 12
-#: Numbers of all units together up to which they are sent to every task; beyond, draws are joined with them.
+#: Comparisons times units up to which their numbers are sent to every task; beyond, draws are joined with them.
 SENT_NUMBERS = 2_000_000
 
 # A prime below 2^31 and odd factors of a counter-based generator; x^5 is a bijection modulo this prime.
@@ -105,7 +105,7 @@ def paired_bootstrap(values: DataFrame, resamples: int = 10_000, seed: int = 1,
     part = F.floor(unit / 4096) if isinstance(values.schema["unit"].dataType, T.NumericType) else F.substring(unit.cast("string"), 1, 3)  # in the units' own order
     place = materialise(numbered(units, part, ["unit"], "i").select("unit", (F.col("i") - 1).alias("i")), "bootstrap-units")
     d = materialise(d.join(place, "unit").where("m > 0").select("comparison", "i", "d", "m"), "bootstrap-values")
-    if d.count() <= SENT_NUMBERS:
+    if d.select("comparison").distinct().count() * n <= SENT_NUMBERS:
         got = d.toArrow()
         names = sorted({x for x in got["comparison"].to_pylist()}, key=str)
         row = {c: k for k, c in enumerate(names)}

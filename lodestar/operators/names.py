@@ -62,6 +62,29 @@ def osa_distances(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def _one_apart(n: DataFrame) -> DataFrame:
+    """``a, b``: pairs of names one edit apart, told by which letter of which place is dropped.
+
+    Names that leave one text when the same place is dropped differ in that
+    letter; when the same letter of neighbouring places is dropped, in a swap;
+    and a name that is left itself is a letter shorter. Each is an equality, so
+    no pair is made that has to be compared. Forms are many times as many as
+    names, which Spark's estimate of their size does not tell: no side is broadcast.
+    """
+    at = F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")
+    drops = n.where(F.length("name") > 0).select("name", at)
+    form = F.concat(F.substring("name", F.lit(1), F.col("at") - 1), F.substring(F.col("name"), F.col("at") + 1, F.length("name")))
+    drops = drops.select("name", "at", form.alias("form"), F.substring(F.col("name"), F.col("at"), F.lit(1)).alias("letter"))
+    other = drops.select(F.col("name").alias("o_name"), F.col("at").alias("o_at"), F.col("form").alias("o_form"), F.col("letter").alias("o_letter")).hint("merge")
+    same = F.col("form") == F.col("o_form")
+    changed = drops.join(other, same & (F.col("at") == F.col("o_at")) & (F.col("name") < F.col("o_name")))
+    swapped = drops.join(other, same & (F.col("letter") == F.col("o_letter")) & (F.col("at") + 1 == F.col("o_at")))
+    shorter = drops.join(n.select(F.col("name").alias("o_name")).hint("merge"), F.col("form") == F.col("o_name"))
+    pairs = [d.select("name", "o_name") for d in (changed, swapped, shorter)]
+    either = reduce(DataFrame.union, pairs).where("name <> o_name")
+    return either.select(F.least("name", "o_name").alias("a"), F.greatest("name", "o_name").alias("b")).distinct()
+
+
 def near_names(names: DataFrame, column: str, k: int = 1) -> DataFrame:
     """``a, b, distance``: pairs of different names (a before b) at most ``k`` edits apart.
 
@@ -70,8 +93,10 @@ def near_names(names: DataFrame, column: str, k: int = 1) -> DataFrame:
     is shared by names that are within ``2 k`` edits only.
     """
     n = names.select(F.col(column).cast("string").alias("name")).where("name is not null").distinct()
+    if k == 1:
+        return _one_apart(n).withColumn("distance", F.lit(1))
     under = n.select("name", F.explode(shortened(F.col("name"), k)).alias("form"))
-    pairs = under.select(F.col("name").alias("a"), "form").join(under.select(F.col("name").alias("b"), "form"), "form").where("a < b").select("a", "b").distinct()
+    pairs = under.select(F.col("name").alias("a"), "form").join(under.select(F.col("name").alias("b"), "form").hint("merge"), "form").where("a < b").select("a", "b").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:

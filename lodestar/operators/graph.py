@@ -33,15 +33,18 @@ def match_slots(memories: DataFrame, slots: DataFrame) -> DataFrame:
     ``memories``: ``memory_id, text``; ``slots``: ``slot, groups`` (array of
     arrays of lower-case terms). None or several matching slots make a memory
     unmatched or ambiguous, and the slot null. A slot is tried on texts that
-    have a word of one of its first group's terms only; memories have unique ids.
+    have a word of one of its first group's terms only: words travel without
+    their texts, and a text is fetched once. Memories have unique ids.
     """
     present = lambda t: F.regexp_like(F.lower("text"), F.concat(F.lit(r"(?<![\w.])\Q"), t, F.lit(r"\E(?!\w)")))
     # a run of word characters in a term is a whole word of any text that has the term; a term without one is tried on all
     words = lambda t: F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(t), r"\W+")))
     tried = slots.select("slot", "groups", F.explode_outer(F.get("groups", F.lit(0))).alias("term"))
     tried = tried.select("slot", "groups", F.regexp_extract(F.coalesce("term", F.lit("")), r"(\w+)", 1).alias("word")).distinct()
-    held = memories.select("memory_id", "text", F.explode(words(F.col("text"))).alias("word"))
-    pairs = held.join(tried, "word").where(F.forall("groups", lambda g: F.exists(g, present))).select("memory_id", "slot").distinct()
+    held = memories.select(F.col("memory_id").alias("held_id"), F.explode(words(F.col("text"))).alias("word"))
+    tries = held.join(tried, "word").select("held_id", "slot", "groups").distinct()
+    pairs = memories.select("memory_id", "text").join(tries, F.col("memory_id") == F.col("held_id"))
+    pairs = pairs.where(F.forall("groups", lambda g: F.exists(g, present))).select("memory_id", "slot").distinct()
     found = pairs.groupBy("memory_id").agg(F.count("*").alias("n"), F.min("slot").alias("one"))
     j = memories.select("memory_id").join(found, "memory_id", "left")
     status = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") == 1, "matched").otherwise("ambiguous")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "allotment string, seq long, claim string, action string, outcome string, held double, spent double"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Amounts are kept as whole numbers of this part of the unit.
 PART = 10_000
 
@@ -17,35 +18,42 @@ def run_ledger(entries: DataFrame, budgets: DataFrame) -> DataFrame:
     A claim is granted if spent + held + amount fits the budget and the
     allotment is open; a settlement above its hold that breaks the budget
     closes it. Amounts count to four decimals, exactly. Each allotment is one
-    ordered fold with running totals; those without a budget are left out, and
-    a null amount is 0.
+    ordered fold with running totals, and a task folds its allotments one after
+    another as their sorted entries pass; those without a budget are left out,
+    and a null amount is 0.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        holds: dict[str, int] = {}
-        held, spent, closed, out = 0, 0, False, []
-        budget = int(pdf["budget"].iloc[0])
-        for r in pdf.sort_values("seq").itertuples():
-            amount = int(r.amount)
-            if r.action == "claim":
-                ok = not closed and r.claim not in holds and spent + held + amount <= budget
-                outcome = "granted" if ok else "closed" if closed else "refused"
-                if ok:
-                    holds[r.claim] = amount
-                    held += amount
-            elif r.claim in holds:
-                held -= holds.pop(r.claim)
-                spent += amount
-                closed = closed or spent > budget
-                outcome = "breach" if spent > budget else "settled"
-            else:
-                outcome = "unknown"
-            out.append((r.allotment, r.seq, r.claim, r.action, outcome, held / PART, spent / PART))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def fold(batches):
+        now, holds, held, spent, closed = None, {}, 0, 0, False
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("allotment", "claim", "action", "amount", "budget")]
+            outcomes, helds, spents = [], [], []
+            for allotment, claim, action, amount, budget in zip(*columns, strict=True):
+                if allotment != now:
+                    now, holds, held, spent, closed = allotment, {}, 0, 0, False
+                if action == "claim":
+                    ok = not closed and claim not in holds and spent + held + amount <= budget
+                    outcome = "granted" if ok else "closed" if closed else "refused"
+                    if ok:
+                        holds[claim] = amount
+                        held += amount
+                elif claim in holds:
+                    held -= holds.pop(claim)
+                    spent += amount
+                    closed = closed or spent > budget
+                    outcome = "breach" if spent > budget else "settled"
+                else:
+                    outcome = "unknown"
+                outcomes.append(outcome)
+                helds.append(held / PART)
+                spents.append(spent / PART)
+            new = [pa.array(outcomes, pa.string()), pa.array(helds, pa.float64()), pa.array(spents, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("allotment", "seq", "claim", "action")), *new], NAMES)
 
     whole = lambda c: F.coalesce((F.col(c).cast("decimal(28,4)") * PART).cast("long"), F.lit(0).cast("long")).alias(c)
-    e = entries.select("allotment", "seq", "claim", "action", whole("amount"))
-    return e.join(budgets.where("budget is not null").select("allotment", whole("budget")), "allotment").groupBy("allotment").applyInPandas(fold, SCHEMA)
+    e = entries.select(F.col("allotment").cast("string"), F.col("seq").cast("long"), F.col("claim").cast("string"), F.col("action").cast("string"), whole("amount"))
+    both = e.join(budgets.where("budget is not null").select("allotment", whole("budget")), "allotment")
+    return both.repartition("allotment").sortWithinPartitions("allotment", "seq").mapInArrow(fold, SCHEMA)
 
 
 def eligible(offers: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.operators.metrics import balanced_accuracy
+from lodestar.session import materialise
 
 
 def features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,20 +39,24 @@ def cluster(df: DataFrame, columns: list[str], ks: tuple[int, ...] = (5, 6, 7, 8
 
     A mixture tells it itself; for k-means it is the own centre's share of the
     inverse squared distances to all centres (1 on a centre). Each candidate is
-    scored by itself. Centres are k rows of a few numbers.
+    scored by itself. Centres are k rows of a few numbers. Equal rows are one
+    row that weighs as many, and rows are dealt to all tasks, as every round of
+    every fit reads them.
     """
-    x = features(df, columns).cache()
+    once = df.groupBy(*columns).agg(F.count("*").cast("double").alias("weight"))
+    x = features(once, columns).select("features", "weight").repartition(df.sparkSession.sparkContext.defaultParallelism).cache()
+    mean = lambda v: F.sum(v * F.col("weight")) / F.sum("weight")
     try:
         rows = []
         for k in ks:
-            centres = [c.tolist() for c in KMeans(k=k, seed=1).fit(x).clusterCenters()]
+            centres = [c.tolist() for c in KMeans(k=k, seed=1, weightCol="weight").fit(x).clusterCenters()]
             point = _array("features")
             far = F.transform(F.lit(centres), lambda c: F.aggregate(F.zip_with(c, F.col("p"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-            near = x.select(point.alias("p")).select(far.alias("far")).select(F.array_min("far").alias("least"), F.aggregate("far", F.lit(0.0), lambda s, v: s + F.try_divide(F.lit(1.0), v)).alias("all"))
+            near = x.select(point.alias("p"), "weight").select(far.alias("far"), "weight").select("weight", F.array_min("far").alias("least"), F.aggregate("far", F.lit(0.0), lambda s, v: s + F.try_divide(F.lit(1.0), v)).alias("all"))
             own = F.when(F.col("least") == 0, 1.0).otherwise(1 / F.col("least") / F.col("all"))
-            rows.append(("kmeans", k, near.agg(F.avg(own)).first()[0]))
-            mix = GaussianMixture(k=k, seed=1).fit(x).transform(x)
-            rows.append(("mixture", k, mix.agg(F.avg(F.array_max(_array("probability")))).first()[0]))
+            rows.append(("kmeans", k, near.agg(mean(own)).first()[0]))
+            mix = GaussianMixture(k=k, seed=1, weightCol="weight").fit(x).transform(x)
+            rows.append(("mixture", k, mix.agg(mean(F.array_max(_array("probability")))).first()[0]))
     finally:
         x.unpersist()
     return df.sparkSession.createDataFrame([(m, k, float(s)) for m, k, s in rows if s is not None], "model string, k int, score double")
@@ -85,13 +90,21 @@ def rules(baskets: DataFrame, support: float = 0.01, confidence: float = 0.2) ->
 
 
 def recommend(baskets: DataFrame, found: DataFrame, key: str, n: int = 3) -> DataFrame:
-    """Best ``n`` consequents by lift of rules whose antecedent an owner holds, without what is owned."""
+    """Best ``n`` consequents by lift of rules whose antecedent an owner holds, without what is owned.
+
+    Rules meet each different set of items once, however many owners hold it.
+    """
     single = found.select(F.posexplode("antecedent").alias("pos", "item"), "antecedent", F.element_at("consequent", 1).alias("rec"), "lift")
-    owned = baskets.select(key, F.explode("items").alias("item")).distinct()
-    met = owned.join(single, "item").groupBy(key, "antecedent", "rec", "lift").agg(F.count("*").alias("have")).where(F.col("have") == F.size("antecedent"))
-    best = met.groupBy(key, "rec").agg(F.max("lift").alias("lift"))
-    new = best.join(owned.select(key, F.col("item").alias("rec")), [key, "rec"], "left_anti")
-    return new.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("lift"), "rec"))).where(F.col("rank") <= n)
+    holds = baskets.select(key, F.explode("items").alias("item")).groupBy(key).agg(F.array_sort(F.collect_set("item")).alias("held"))
+    holds = materialise(holds, "rules-holds")
+    sets = materialise(holds.select("held").distinct().withColumn("set", F.monotonically_increasing_id()), "rules-sets")
+    owned = sets.select("set", F.explode("held").alias("item"))
+    met = owned.join(single, "item").groupBy("set", "antecedent", "rec", "lift").agg(F.count("*").alias("have")).where(F.col("have") == F.size("antecedent"))
+    best = met.groupBy("set", "rec").agg(F.max("lift").alias("lift"))
+    new = best.join(owned.select("set", F.col("item").alias("rec")), ["set", "rec"], "left_anti")
+    top = new.withColumn("rank", F.row_number().over(Window.partitionBy("set").orderBy(F.desc("lift"), "rec"))).where(F.col("rank") <= n)
+    listed = top.join(sets, "set").groupBy("held").agg(F.collect_list(F.struct("rec", "lift", "rank")).alias("top"))  # n of a set
+    return holds.join(listed, "held").select(key, F.explode("top").alias("t")).select(key, "t.rec", "t.lift", "t.rank")
 
 
 def extremeness(scores: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.functions.stats import wilson
+from lodestar.session import materialise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,8 +26,57 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-#: Chunks and queries that one task holds at a time.
-CHUNK_BLOCK, QUERY_BLOCK = 20_000, 2_000
+#: Chunks and queries that one task holds at a time; distances that it holds at once.
+CHUNK_BLOCK, QUERY_BLOCK, CELLS = 20_000, 2_000, 1_000_000
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    v = column.combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(float)
+
+
+def _best(k: int):
+    """A block of queries and one of chunks -> the k nearest of each query; slice by slice, so that memory is bounded."""
+
+    def run(key, q: pa.Table, c: pa.Table) -> pa.Table:
+        asked, found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(q) and len(c):
+            c = c.sort_by("chunk_id")
+            ids, query = c["chunk_id"].to_numpy(), q["query_id"].to_numpy()
+            v, x = _matrix(c["cv"]), _matrix(q["qv"])
+            norm, size, n = np.linalg.norm(v, axis=1), np.linalg.norm(x, axis=1), min(k, len(c))
+            step = max(1, CELLS // len(c))
+            for i in range(0, len(x), step):
+                dist = x[i : i + step] @ v.T
+                both = np.outer(size[i : i + step], norm)
+                np.divide(dist, both, out=dist, where=both > 0)
+                dist[both == 0] = 0
+                np.subtract(1, dist, out=dist)
+                for row, qid in zip(dist, query[i : i + step].tolist(), strict=True):
+                    near = np.flatnonzero(row <= np.partition(row, n - 1)[n - 1])
+                    near = near[np.argsort(row[near], kind="stable")][:n]
+                    asked.append(np.full(len(near), qid))
+                    found.append(ids[near])
+                    far.append(row[near])
+        return pa.table({"query_id": np.concatenate(asked), "chunk_id": np.concatenate(found), "distance": np.concatenate(far)})
+
+    return run
+
+
+def _met(left: DataFrame, right: DataFrame, k: int, chunk_block: int, query_block: int) -> DataFrame:
+    """``query_id, chunk_id, distance``: the k nearest of each query in each block of chunks of its cell.
+
+    ``left`` (query_id, qv, cell) and ``right`` (chunk_id, cv, cell) are counted
+    by cell and dealt into blocks of a bounded size; no pair is a row.
+    """
+    count = lambda df, size, name: df.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("long").alias(name))
+    blocks = count(right, chunk_block, "parts").join(count(left, query_block, "asked"), "cell")  # a row a cell
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    left = left.join(F.broadcast(blocks), "cell").select("cell", "query_id", "qv", deal("query_id", "asked").alias("block"), every("parts").alias("share"))
+    right = right.join(F.broadcast(blocks), "cell").select("cell", "chunk_id", "cv", deal("chunk_id", "parts").alias("share"), every("asked").alias("block"))
+    keys = ("cell", "share", "block")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, chunk_id long, distance double")
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -37,55 +87,42 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int = CHU
     keeps its k best of each query, and the few survivors are ranked. Nothing
     is broadcast and no pair is a row.
     """
-
-    def best(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "chunk_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})]
-        if len(q) and len(c):
-            c = c.sort_values("chunk_id", ignore_index=True)
-            v = np.stack(c["cv"].to_list()).astype(float)
-            norm = np.linalg.norm(v, axis=1)
-            for i in range(0, len(q), 256):
-                part = q.iloc[i : i + 256]
-                x = np.stack(part["qv"].to_list()).astype(float)
-                size = np.outer(np.linalg.norm(x, axis=1), norm)
-                dist = 1 - np.divide(x @ v.T, size, out=np.zeros_like(size), where=size > 0)
-                n = min(k, len(c))
-                for row, qid in zip(dist, part["query_id"], strict=True):
-                    edge = np.partition(row, n - 1)[n - 1]
-                    near = np.flatnonzero(row <= edge)
-                    near = near[np.argsort(row[near], kind="stable")][:n]
-                    out.append(pd.DataFrame({"query_id": qid, "chunk_id": c["chunk_id"].to_numpy()[near], "distance": row[near]}))
-        return pd.concat(out)
-
-    parts, asked = (max(1, -(-df.count() // size)) for df, size in ((chunks, chunk_block), (queries, query_block)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "qv").select("*", deal("query_id", asked).alias("block"), every(parts).alias("share"))
-    right = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "cv").select("*", deal("chunk_id", parts).alias("share"), every(asked).alias("block"))
-    near = left.groupBy("share", "block").cogroup(right.groupBy("share", "block")).applyInPandas(best, "query_id long, chunk_id long, distance double")
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "qv", F.lit(0).alias("cell"))
+    right = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "cv", F.lit(0).alias("cell"))
     w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    near = _met(left, right, k, chunk_block, query_block)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "distance")
 
 
-def approximate_search(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 8, tables: int = 6, seed: int = 1) -> DataFrame:
-    """Random-hyperplane buckets first; queries whose buckets hold fewer than k chunks are searched exactly."""
+def approximate_search(queries: DataFrame, chunks: DataFrame, k: int, bits: int = 8, tables: int = 6, seed: int = 1, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Random-hyperplane buckets first; queries whose buckets hold fewer than k chunks are searched exactly.
+
+    A bucket's queries and chunks meet in blocks as in ``search``, which keep
+    the k nearest of each: vectors are sent once a table and block, pairs never.
+    """
     size = queries.select(F.size("qv")).first()
     if size is None:
         return search(queries, chunks, k)
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(tables, bits, size[0]))
 
-    def keys(v: Column) -> Column:
-        return F.array(*[F.struct(F.lit(t).alias("t"), sum(((dot(v, F.lit(planes[t, b].tolist())) > 0).cast("int") * (1 << b) for b in range(bits)), F.lit(0)).alias("b")) for t in range(tables)])
-
-    q = queries.select("query_id", "qv", F.explode(keys(F.col("qv"))).alias("s"))
-    c = chunks.select("chunk_id", "cv", F.explode(keys(F.col("cv"))).alias("s"))
-    met = q.join(c, "s").select("query_id", "qv", "chunk_id", "cv").dropDuplicates(["query_id", "chunk_id"])
+    def keys(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sides = np.einsum("nd,tbd->ntb", _matrix(pa.chunked_array([batch.column(1)])), planes) > 0
+                cell = (sides * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
+                at = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.ravel())], [*batch.schema.names, "cell"])
+
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qv").cast("array<double>").alias("qv")).mapInArrow(keys, "query_id long, qv array<double>, cell long")
+    c = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("cv").cast("array<double>").alias("cv")).mapInArrow(keys, "chunk_id long, cv array<double>, cell long")
+    met = _met(q, c, k, chunk_block, query_block).groupBy("query_id", "chunk_id").agg(F.min("distance").alias("distance"))  # met in several tables
     w = Window.partitionBy("query_id")
-    near = met.select("query_id", "chunk_id", cosine_distance(F.col("qv"), F.col("cv")).alias("distance"))
-    near = near.withColumn("n", F.count("*").over(w)).where(F.col("n") >= k).withColumn("rank", F.row_number().over(w.orderBy("distance", "chunk_id"))).where(F.col("rank") <= k)
+    # a query has k chunks in all of its buckets if and only if k are left of them
+    near = met.withColumn("n", F.count("*").over(w)).where(F.col("n") >= k).withColumn("rank", F.row_number().over(w.orderBy("distance", "chunk_id"))).where(F.col("rank") <= k)
+    near = materialise(near.select("query_id", "rank", "chunk_id", "distance"), "near-buckets")
     left = queries.join(near.select("query_id").distinct(), "query_id", "left_anti")
-    return near.select("query_id", "rank", "chunk_id", "distance").unionByName(search(left, chunks, k))
+    return near.unionByName(search(left, chunks, k, chunk_block, query_block))
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -7,21 +7,25 @@ start as residual k-means and are refined by least squares over beam-search
 codes; they are fitted on at most ``SAMPLE`` distinct vectors (least hash of id
 first), while every vector is encoded and searched. The index row of a vector
 holds its M code bytes, its norm, and the norm of its approximation, which
-rescales looked-up inner products.
+rescales looked-up inner products. Codes travel with their vectors, so that a
+task rescores what it found and returns no more than a ranking can use.
 
 The index is divided into cells: power-of-two bands of the norm, times a pair
 of centroids of the direction's two halves, so many that a cell has about
 ``CELL`` vectors. A query probes the cells of largest estimated inner product.
 In a cell, inner products of the queries with all codewords form a lookup
 table, a vector's score is the sum of M lookups, and the best candidates of a
-query over its cells are rescored with their original vectors in double
+query in each block are rescored there with their original vectors in double
 precision. Work and shuffle are thus in proportion to the rows, up to
 ``HALF``^2 cells a band; beyond them cells grow.
 
-Recall is measured before the search: ``TRIAL`` queries are searched exactly.
-Probes are the fewest whose cells hold their neighbours (all cells if
-``MOST_PROBES`` do not), and candidates are doubled until ``TARGET`` of the
-neighbours are found.
+Recall is measured before the search: ``TRIAL`` queries, drawn among all
+queries, copies included, are searched exactly. Probes are the fewest whose
+cells hold their neighbours (all cells if ``MOST_PROBES`` do not), and
+candidates are doubled until ``TARGET`` of the neighbours are found. A neighbour
+is found if its id is: of vectors with one score only those of least ids are
+neighbours, and lookups tell such vectors apart by chance, so that tied scores
+take more candidates.
 
 Equal vectors are searched once and stand for their least k + 1 ids, which is
 all that a ranking of k with ties to the smaller id can use.
@@ -46,6 +50,8 @@ CELL, HALF = 65_536, 1024
 #: Candidates the trial starts with, its number of queries, the recall it asks for, the probes it weighs.
 CANDIDATES, TRIAL, TARGET, MOST_PROBES = 200, 64, 0.97, 4096
 CODE_BLOCK, QUERY_BLOCK = 65_536, 512
+#: Numbers of the vectors of a block of codes at most; how many more are kept of a block than a ranking needs.
+NUMBERS, SPARE = 1 << 22, 8
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -195,7 +201,7 @@ def _encode(index: Index):
             norm, u = split(_vectors(batch))
             codes = np.concatenate([encode(u[i : i + 512], index.books) for i in range(0, len(u), 512)])
             near = np.linalg.norm(index.books[np.arange(len(index.books)), codes].sum(1).astype(float), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(index.cells(norm, u)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(near)], ["rep", "cell", "codes", "norm", "near_norm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.cells(norm, u)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm), pa.array(near)], ["rep", "first", "v", "cell", "codes", "norm", "near_norm"])
 
     return run
 
@@ -211,24 +217,46 @@ def _probe(index: Index, n: int):
     return run
 
 
-def _search(books: np.ndarray, top: int):
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    v = column.combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _ranked(score: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best scores, ties to the smaller ``first``."""
+    level = np.partition(score, len(score) - n)[len(score) - n]
+    near = np.flatnonzero(score >= level)
+    return near[np.lexsort((first[near], -score[near]))[:n]]
+
+
+def _search(books: np.ndarray, top: int, keep: int):
+    """A block of queries and one of codes -> of each query the ``keep`` best by original vectors among the ``top`` by lookups."""
     m, k, d = books.shape
 
-    def run(key, queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def run(key, queries: pa.Table, codes: pa.Table) -> pa.Table:
+        asked, found, near = [], [], []
         if len(queries) and len(codes):
-            codes = codes.sort_values("rep")
-            rep = codes["rep"].to_numpy()
-            c = np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(-1, m)
-            scale = (codes["norm"] / np.maximum(codes["near_norm"], 1e-12)).to_numpy()
-            for i in range(0, len(queries), 32):
-                part = queries.iloc[i : i + 32]
-                table = split(np.stack(part["v"].to_list()))[1] @ books.reshape(m * k, d).T
+            codes = codes.sort_by("rep")
+            rep, first, v = codes["rep"].to_numpy(), codes["first"].to_numpy(), _matrix(codes["v"])
+            c = np.frombuffer(b"".join(codes["codes"].to_pylist()), np.uint8).reshape(-1, m)
+            scale = codes["norm"].to_numpy() / np.maximum(codes["near_norm"].to_numpy(), 1e-12)
+            n, ids, wanted = min(top, len(rep)), queries["rep"].to_numpy(), _matrix(queries["v"])
+            for i in range(0, len(ids), 32):
+                x = wanted[i : i + 32]
+                table = split(x)[1] @ books.reshape(m * k, d).T
                 score = sum(table[:, b * k : (b + 1) * k][:, c[:, b]] for b in range(m)) * scale
-                n = min(top, len(rep))
-                best = np.argpartition(-score, n - 1, 1)[:, :n]
-                out.append(pd.DataFrame({"q": np.repeat(part["rep"].to_numpy(), n), "rep": rep[best].ravel(), "near": np.take_along_axis(score, best, 1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "rep": [], "near": []})
+                best = np.sort(np.argpartition(-score, n - 1, 1)[:, :n], 1)
+                for q, vector, at in zip(ids[i : i + 32].tolist(), x, best, strict=True):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = np.nan_to_num(v[at] @ vector, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                    own = _ranked(exact, first[at], min(keep, n))
+                    asked.append(np.full(len(own), q))
+                    found.append(at[own])
+                    near.append(exact[own])
+        if not found:
+            return pa.table({"q": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "near": np.zeros(0)})
+        at = np.concatenate(found)
+        return pa.table({"q": np.concatenate(asked), "rep": rep[at], "first": first[at], "near": np.concatenate(near)})
 
     return run
 
@@ -237,8 +265,8 @@ def _dot(x, y):
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, c: s + c)
 
 
-def _candidates(wanted: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, probes: int, candidates: int) -> DataFrame:
-    """``q, rep``: the best of each query by looked-up scores over its cells.
+def _candidates(wanted: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, probes: int, candidates: int, keep: int) -> DataFrame:
+    """``q, rep``: ``keep`` and a few more of each query by original vectors, among ``candidates`` by looked-up scores in each block of its cells.
 
     A large cell is dealt out in blocks of codes, a much asked one in blocks of queries.
     """
@@ -247,20 +275,31 @@ def _candidates(wanted: DataFrame, codes: DataFrame, sizes: DataFrame, index: In
     asked = asked.join(load, F.col("cell") == F.col("l_cell")).join(wanted, F.col("q") == F.col("rep"))
     left = asked.select("rep", "v", "cell", F.pmod(F.xxhash64("rep"), "q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c_blocks") - 1)).alias("cb"))
     right = codes.join(F.broadcast(sizes), "cell").join(load, F.col("cell") == F.col("l_cell"))
-    right = right.select("rep", "codes", "norm", "near_norm", "cell", F.pmod(F.xxhash64("rep", F.lit(1)), "c_blocks").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("qb"))
-    found = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInPandas(_search(index.books, candidates), "q long, rep long, near double")
-    by_near = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "rep"))
-    return found.withColumn("place", by_near).where(F.col("place") <= candidates).select("q", "rep")
+    right = right.select("rep", "first", "v", "codes", "norm", "near_norm", "cell", F.pmod(F.xxhash64("rep", F.lit(1)), "c_blocks").alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("qb"))
+    keys = ("cell", "cb", "qb")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(index.books, candidates, keep + SPARE), "q long, rep long, first long, near double")
+    return _best(found, keep + SPARE)
+
+
+def _best(found: DataFrame, n: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "first"))
+    return found.withColumn("place", place).where(F.col("place") <= n).select("q", "rep")
 
 
 def _rescored(found: DataFrame, wanted: DataFrame, each: DataFrame, keep: int) -> DataFrame:
-    """``q, score, ids``: the best ``keep`` candidates of each query by the original vectors."""
+    """``q, rep, score, ids``: the best ``keep`` candidates of each query by the original vectors."""
     a, b = wanted.select(F.col("rep").alias("qr"), F.col("v").alias("qv")), each.select(F.col("rep").alias("cr"), F.col("v").alias("cv"), "ids")
     pairs = found.join(b, F.col("rep") == F.col("cr")).join(a, F.col("q") == F.col("qr"))
-    scored = pairs.select("q", _dot("qv", "cv").alias("score"), F.col("ids")[0].alias("first"), "ids")
+    scored = pairs.select("q", "rep", _dot("qv", "cv").alias("score"), F.col("ids")[0].alias("first"), "ids")
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("place") <= keep)
 
 
+def _listed(scored: DataFrame, k: int) -> DataFrame:
+    """``q, score, vec_id``: the k + 1 nearest ids of each query vector, ties to the smaller."""
+    listed = scored.select("q", "score", F.explode("ids").alias("vec_id"))
+    return listed.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+
+
 def _exact(queries: pd.DataFrame, keep: int):
     """Brute force for a few queries: each batch's best."""
     q, v = queries["rep"].to_numpy(), np.stack(queries["v"].to_list())
@@ -269,11 +308,10 @@ def _exact(queries: pd.DataFrame, keep: int):
         for batch in batches:
             if batch.num_rows:
                 with np.errstate(over="ignore", invalid="ignore"):
-                    score = v @ _vectors(batch).T
-                n = min(keep, batch.num_rows)
-                best = np.argpartition(-score, n - 1, 1)[:, :n]
-                rep = batch.column("rep").to_numpy()[best].ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), pa.array(rep), pa.array(np.take_along_axis(score, best, 1).ravel())], ["q", "rep", "score"])
+                    score = np.nan_to_num(v @ _vectors(batch).T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+                first, n = batch.column("first").to_numpy(), min(keep, batch.num_rows)
+                at = np.stack([_ranked(row, first, n) for row in score])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)), batch.column("rep").take(pa.array(at.ravel())), pa.array(first[at.ravel()]), pa.array(np.take_along_axis(score, at, 1).ravel())], ["q", "rep", "first", "near"])
 
     return run
 
@@ -298,42 +336,42 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     bands = sorted(r.band for r in each.select("v").mapInArrow(_bands, "band long").distinct().collect())  # exponents of a double
     index = Index.fit(np.array([r.v for r in fit_on]), n, bands)
-    codes = materialise(each.select("rep", "v").mapInArrow(_encode(index), "rep long, cell long, codes binary, norm double, near_norm double"), "ann-codes")
-    sizes = materialise(codes.groupBy("cell").agg(F.ceil(F.count("*") / CODE_BLOCK).cast("long").alias("c_blocks")), "ann-cells")
+    codes = materialise(each.select("rep", F.col("ids")[0].alias("first"), "v").mapInArrow(_encode(index), "rep long, first long, v array<double>, cell long, codes binary, norm double, near_norm double"), "ann-codes")
+    block = max(1, min(CODE_BLOCK, NUMBERS // len(fit_on[0].v)))
+    sizes = materialise(codes.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("c_blocks")), "ann-cells")
 
     asked = d.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.xxhash64("v").alias("q")).distinct()
     wanted = materialise(each.join(asked.select("q").distinct(), F.col("rep") == F.col("q"), "left_semi").select("rep", "v"), "ann-queries")
-    probes, candidates = calibrate(wanted, each, codes, sizes, index, k, n, target)
+    probes, candidates = calibrate(asked, wanted, each, codes, sizes, index, k, n, target)
 
-    scored = _rescored(_candidates(wanted, codes, sizes, index, probes, candidates), wanted, each, k + 1)
-    listed = scored.select("q", "score", F.explode("ids").alias("vec_id"))
-    listed = listed.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    listed = _listed(_rescored(_candidates(wanted, codes, sizes, index, probes, candidates, k + 1), wanted, each, k + 1), k)
     listed = materialise(listed.groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near")), "ann-near")
     out = asked.join(listed, "q").select("query_id", F.filter("near", lambda x: x["vec_id"] != F.col("query_id")).alias("near"))
     return out.select("query_id", F.posexplode(F.slice("near", 1, k)).alias("pos", "x")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
 
 
-def calibrate(wanted: DataFrame, each: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, k: int, n: int, target: float) -> tuple[int, int]:
-    """(probes, candidates) with which ``TRIAL`` queries find ``target`` of their exact neighbours."""
-    trial = wanted.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(TRIAL).toPandas()
-    if not len(trial):
+def calibrate(asked: DataFrame, wanted: DataFrame, each: DataFrame, codes: DataFrame, sizes: DataFrame, index: Index, k: int, n: int, target: float) -> tuple[int, int]:
+    """(probes, candidates) with which ``TRIAL`` queries find ``target`` of their exact neighbours, by id."""
+    drawn = asked.orderBy(F.xxhash64("query_id", F.lit(3)), "query_id").limit(TRIAL).groupBy("q").count().collect()
+    if not drawn:
         return 1, CANDIDATES
-    keep = min(k + 1, n)
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
-    exact = each.select("rep", "v").mapInArrow(_exact(trial, keep), "q long, rep long, score double").withColumn("place", best).where(F.col("place") <= keep)
-    near = exact.join(codes.select(F.col("rep").alias("c_rep"), "cell"), F.col("rep") == F.col("c_rep")).select("q", "score", "cell").collect()  # keep rows a trial query
+    times = {r.q: r["count"] for r in drawn}
+    some = wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(q,) for q in times], "t long")), F.col("rep") == F.col("t"), "left_semi")
+    some = materialise(some, "ann-trial")
+    trial, keep = some.toPandas(), min(k + 1, n)
+    exact = each.select("rep", F.col("ids")[0].alias("first"), "v").mapInArrow(_exact(trial, keep + SPARE), "q long, rep long, first long, near double")
+    exact = materialise(_rescored(_best(exact, keep + SPARE), some, each, keep), "ann-exact")
+    near = exact.join(codes.select(F.col("rep").alias("c_rep"), "cell"), F.col("rep") == F.col("c_rep")).select("q", "cell").collect()  # keep rows a trial query
     order = index.probes(split(np.stack(trial["v"].to_list()))[1], MOST_PROBES)
     place = {(q, c): i for q, row in zip(trial["rep"], order.tolist(), strict=True) for i, c in enumerate(row)}
-    needed = sorted(place.get((r.q, r.cell), index.all_cells() - 1) for r in near)
+    needed = sorted(place.get((r.q, r.cell), index.all_cells() - 1) for r in near for _ in range(times[r.q]))
     probes = needed[min(len(needed) - 1, int((1 + target) / 2 * len(needed)))] + 1
-    least: dict[int, float] = {}
-    for r in near:
-        least[r.q] = min(r.score, least.get(r.q, r.score))
-    asked = materialise(wanted.join(F.broadcast(wanted.sparkSession.createDataFrame([(int(q),) for q in trial["rep"]], "t long")), F.col("rep") == F.col("t"), "left_semi"), "ann-trial")
+    nearest = {(r.q, r.vec_id) for r in _listed(exact, k).select("q", "vec_id").collect()}
     candidates = max(CANDIDATES, k + 1)
     while candidates < n:
-        rows = _rescored(_candidates(asked, codes, sizes, index, probes, candidates), asked, each, keep).select("q", "score").collect()
-        if sum(r.score >= least[r.q] - 1e-9 * abs(least[r.q]) for r in rows) >= target * len(near):
+        scored = _rescored(_candidates(some, codes, sizes, index, probes, candidates, keep), some, each, keep)
+        found = [times[r.q] for r in _listed(scored, k).select("q", "vec_id").collect() if (r.q, r.vec_id) in nearest]
+        if sum(found) >= target * sum(times[q] for q, _ in nearest):
             break
         candidates *= 2
     return probes, candidates

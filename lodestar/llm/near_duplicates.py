@@ -16,9 +16,10 @@ anything is compared, and every candidate is verified on its whole shingle sets.
 A key of up to ``PAIRS`` fingerprints is compared pair by pair. In a larger one,
 a crowd of near copies, each text first meets one leader of its crowds; what is
 then still apart meets the leader and a neighbour in every one of its keys (each
-key has its own order, in blocks of ``BLOCK``). Work is thus in proportion to
-the texts, whatever the size of a crowd; two texts of a crowd that are similar
-only to each other may stay apart.
+key has its own order, in blocks of ``BLOCK``). A crowd that is one group by then
+is done. In any other all pairs of different groups are compared, block by block,
+so that no link is lost: that work grows with the square of such a crowd, but no
+task holds more than a block of either side.
 """
 
 from __future__ import annotations
@@ -202,7 +203,34 @@ def links(reps: DataFrame, sets: DataFrame, partitions: list[tuple[list[int], in
     rest = beside.select("uid", "f", F.explode(F.array("b", F.struct(F.col("leader.uid").alias("uid"), F.col("leader.f").alias("f")))).alias("o"))
     rest = rest.where(F.col("o").isNotNull() & (F.col("o.uid") != F.col("uid")) & _near(F.col("f"), F.col("o.f")))
     rest = materialise(rest.select(*_pair(F.col("uid"), F.col("o.uid"))).distinct(), "near-candidates")
-    root, tries = components(edges), 0
+    root = _joined(components(edges), rest, sets, similarity)
+    mixed = _mixed(crowd, root)
+    return root if mixed.isEmpty() else _joined(root, _apart(mixed), sets, similarity)
+
+
+def _mixed(crowd: DataFrame, root: DataFrame) -> DataFrame:
+    """``uid, f, r, slot, key, n`` of the crowds whose texts are not all of one group r."""
+    rooted = crowd.join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("uid") == F.col("m"), "left").select("uid", "f", F.coalesce("r", "uid").alias("r"), "slot", "key", "n")
+    rooted = materialise(rooted, "near-rooted")
+    split = rooted.groupBy(F.col("slot").alias("k_slot"), F.col("key").alias("k_key")).agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b")
+    return rooted.join(split.select("k_slot", "k_key"), (F.col("slot") == F.col("k_slot")) & (F.col("key") == F.col("k_key")), "left_semi")
+
+
+def _apart(mixed: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``u, v``: all pairs of a crowd with near fingerprints and of different groups; blocks of it meet."""
+    blocks = F.ceil(F.col("n") / size).cast("long")
+    own = mixed.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(9)), blocks))
+    left = own.select("slot", "key", "uid", "f", "r", F.col("own").alias("one"), F.explode(F.sequence(F.col("own"), blocks - 1)).alias("two"))
+    right = own.select(*[F.col(c).alias(f"o_{c}") for c in ("slot", "key", "uid", "f", "r")], F.col("own").alias("o_two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("o_one"))
+    met = (F.col("slot") == F.col("o_slot")) & (F.col("key") == F.col("o_key")) & (F.col("one") == F.col("o_one")) & (F.col("two") == F.col("o_two"))
+    far = (F.col("r") != F.col("o_r")) & _near(F.col("f"), F.col("o_f"))
+    pairs = left.hint("shuffle_merge").join(right, met & far).select(*_pair(F.col("uid"), F.col("o_uid")))
+    return materialise(pairs.distinct(), "near-candidates")
+
+
+def _joined(root: DataFrame, rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``root`` with the groups joined that verified pairs of ``rest`` connect."""
+    tries = 0
     while True:
         # only pairs that would still join two groups; of each two groups a few first, then many more
         for c in ("u", "v"):

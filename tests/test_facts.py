@@ -74,3 +74,13 @@ def test_column(spark):
     assert [(r.id, r.f and (r.f.value, r.f.unit, r.f.start, r.f.end)) for r in df.orderBy("id").collect()] == [(1, ("10", "day", 0, 8)), (2, None), (3, None)]
     big = "1." * 100_000 + " twenty " * 50_000
     assert len(facts_of(big)) == 50_000
+
+
+def test_each_line_is_read_once_and_by_all_tasks(spark):
+    from lodestar.plans import answers
+
+    d = "/root/testdata/sf0.001"
+    for query in (answers.facts_of_sentences, answers.facts_in_window):
+        plan = query(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and "ArrowEvalPython" in plan, plan
+        assert "Window" not in plan or plan.index("ArrowEvalPython") > plan.index("Window"), "texts of windows are read again"

@@ -43,9 +43,8 @@ SYMBOLS = CLASSES * SLOTS
 OWN = SYMBOLS - BUCKETS - 1
 #: Noise classes and noise slots of a batch of ``BATCH`` tokens; the tokens a training task should have at least.
 NOISE, NOISE_SLOTS, BATCH, TASK_TOKENS = 24, 4, 8192, 2_000_000
-#: How often gradient steps visit a token: at least so often (one batch of tokens in four, all over the
-#: texts; counts are of all tokens), and more often the fewer tokens there are.
-LEAST_VISITS, MOST_VISITS = 0.25, 40
+#: How often gradient steps visit a token: each once at least, and more often the fewer tokens there are.
+LEAST_VISITS, MOST_VISITS = 1, 40
 #: Bytes of text that a task handles at once; its arrays are many times as large.
 CHUNK = 2 << 20
 END = ""  # no word is empty

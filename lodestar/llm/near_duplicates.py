@@ -17,9 +17,10 @@ A key of up to ``PAIRS`` fingerprints is compared pair by pair. In a larger one,
 a crowd of near copies, each text first meets one leader of its crowds; what is
 then still apart meets the leader and a neighbour in every one of its keys (each
 key has its own order, in blocks of ``BLOCK``). A crowd that is one group by then
-is done. In any other all pairs of different groups are compared, block by block,
-so that no link is lost: that work grows with the square of such a crowd, but no
-task holds more than a block of either side.
+is done. The texts of all others meet, across groups, wherever they share one of the
+rarest shingles of either set, as every pair of that similarity does (prefix
+filtering): no link is lost, and texts of a crowd that have little in common but
+its key never meet.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ PAIRS, BLOCK = 24, 1000
 KEY_COST = 50
 CHUNK = 1 << 19
 BROADCAST_ROWS = 500_000
+#: Candidates that are verified in one go, without asking first which of them still join two groups.
+AT_ONCE = 50_000
 
 
 def _majority(w: Words, codes: np.ndarray, name: np.ndarray, n: int) -> np.ndarray:
@@ -205,26 +208,42 @@ def links(reps: DataFrame, sets: DataFrame, partitions: list[tuple[list[int], in
     rest = materialise(rest.select(*_pair(F.col("uid"), F.col("o.uid"))).distinct(), "near-candidates")
     root = _joined(components(edges), rest, sets, similarity)
     mixed = _mixed(crowd, root)
-    return root if mixed.isEmpty() else _joined(root, _apart(mixed), sets, similarity)
+    return root if mixed.isEmpty() else _joined(root, _apart(mixed, sets, similarity), sets, similarity)
 
 
 def _mixed(crowd: DataFrame, root: DataFrame) -> DataFrame:
-    """``uid, f, r, slot, key, n`` of the crowds whose texts are not all of one group r."""
-    rooted = crowd.join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("uid") == F.col("m"), "left").select("uid", "f", F.coalesce("r", "uid").alias("r"), "slot", "key", "n")
+    """``uid, r``: the texts of crowds that are not all of one group r."""
+    rooted = crowd.join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("uid") == F.col("m"), "left").select("uid", F.coalesce("r", "uid").alias("r"), "slot", "key")
     rooted = materialise(rooted, "near-rooted")
     split = rooted.groupBy(F.col("slot").alias("k_slot"), F.col("key").alias("k_key")).agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b")
-    return rooted.join(split.select("k_slot", "k_key"), (F.col("slot") == F.col("k_slot")) & (F.col("key") == F.col("k_key")), "left_semi")
+    mixed = rooted.join(split.select("k_slot", "k_key"), (F.col("slot") == F.col("k_slot")) & (F.col("key") == F.col("k_key")), "left_semi")
+    return materialise(mixed.select("uid", "r").distinct(), "near-mixed")
 
 
-def _apart(mixed: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``u, v``: all pairs of a crowd with near fingerprints and of different groups; blocks of it meet."""
+def _apart(mixed: DataFrame, sets: DataFrame, similarity: float, size: int = BLOCK) -> DataFrame:
+    """``u, v``: pairs of texts ``uid, r`` of different groups r, among them all whose shingle sets are similar.
+
+    Shingles stand in one order: those of a single group, which no such pair has
+    in common, then the others, rare ones first. From the first shingle that two
+    sets have in common on, each must hold as many as they need in common. So
+    only the first ones of a set meet those of others, block by block.
+    """
+    asked = mixed.select(F.col("uid").alias("i"), "r")
+    held = sets.join(_few(asked), F.col("uid") == F.col("i")).select("uid", "r", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    among = lambda df: df.groupBy(F.col("key").alias("k_key")).agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("k_key", "n")
+    listed = held.join(among(held), F.col("key") == F.col("k_key")).groupBy("uid", "r", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("m"))
+    placed = listed.select("uid", "r", "size", F.size("m").alias("all"), F.posexplode("m").alias("at", "m")).select("uid", "r", "size", F.col("m.key").alias("key"), (F.col("all") - F.col("at")).alias("rest"))
+    placed = materialise(placed.where(F.col("rest") >= similarity * F.col("size")), "near-prefixes")
+    placed = placed.join(among(placed), F.col("key") == F.col("k_key")).drop("k_key")
+
     blocks = F.ceil(F.col("n") / size).cast("long")
-    own = mixed.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(9)), blocks))
-    left = own.select("slot", "key", "uid", "f", "r", F.col("own").alias("one"), F.explode(F.sequence(F.col("own"), blocks - 1)).alias("two"))
-    right = own.select(*[F.col(c).alias(f"o_{c}") for c in ("slot", "key", "uid", "f", "r")], F.col("own").alias("o_two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("o_one"))
-    met = (F.col("slot") == F.col("o_slot")) & (F.col("key") == F.col("o_key")) & (F.col("one") == F.col("o_one")) & (F.col("two") == F.col("o_two"))
-    far = (F.col("r") != F.col("o_r")) & _near(F.col("f"), F.col("o_f"))
-    pairs = left.hint("shuffle_merge").join(right, met & far).select(*_pair(F.col("uid"), F.col("o_uid")))
+    own = placed.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(9)), blocks))
+    left = own.select("key", "uid", "r", "size", "rest", F.col("own").alias("one"), F.explode(F.sequence(F.col("own"), blocks - 1)).alias("two"))
+    right = own.select(*[F.col(c).alias(f"o_{c}") for c in ("key", "uid", "r", "size", "rest")], F.col("own").alias("o_two"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("o_one"))
+    met = (F.col("key") == F.col("o_key")) & (F.col("one") == F.col("o_one")) & (F.col("two") == F.col("o_two"))
+    once = (F.col("r") != F.col("o_r")) & ((F.col("one") < F.col("two")) | (F.col("uid") < F.col("o_uid")))
+    most = F.least("rest", "o_rest")  # that they can have in common
+    pairs = left.hint("shuffle_merge").join(right, met & once & (most >= similarity * (F.col("size") + F.col("o_size") - most))).select(*_pair(F.col("uid"), F.col("o_uid")))
     return materialise(pairs.distinct(), "near-candidates")
 
 
@@ -237,14 +256,17 @@ def _joined(root: DataFrame, rest: DataFrame, sets: DataFrame, similarity: float
             rest = rest.drop(f"r_{c}").join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col(c) == F.col("m"), "left").withColumn(f"r_{c}", F.coalesce("r", c)).drop("m", "r")
         among = Window.partitionBy(F.least("r_u", "r_v"), F.greatest("r_u", "r_v"), F.pmod(F.xxhash64("u", "v"), F.lit(8))).orderBy(F.xxhash64("u", "v"), "u", "v")
         rest = materialise(rest.where("r_u <> r_v").withColumn("nth", F.row_number().over(among)), "near-candidates")
-        if rest.isEmpty():
+        left = rest.count()
+        if not left:
             return root
-        now = rest.where(F.col("nth") <= 16**tries)
+        now = rest if left <= AT_ONCE else rest.where(F.col("nth") <= 16**tries)
         met = _verified(now.select("u", "v"), sets, similarity).join(now.select(F.col("u").alias("x"), F.col("v").alias("y"), "r_u", "r_v"), (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")))
         # groups that met: their roots alone are joined, and the texts below them follow
         joined = components(met.select(F.col("r_u").alias("u"), F.col("r_v").alias("v")))
         below = root.join(joined.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("v") == F.col("m"), "left").select("u", F.coalesce("r", "v").alias("v"))
         root = materialise(below.unionByName(joined), "near-roots")
+        if left <= AT_ONCE:
+            return root
         rest = rest.where(F.col("nth") > 16**tries).drop("nth")
         tries += 1
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +29,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 #: Chunks and queries that one task holds at a time; distances that it holds at once.
 CHUNK_BLOCK, QUERY_BLOCK, CELLS = 20_000, 2_000, 1_000_000
+#: Characters of texts that a task of the keyword search holds of either side.
+CHAR_BLOCK = 8_000_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -125,13 +128,69 @@ def approximate_search(queries: DataFrame, chunks: DataFrame, k: int, bits: int
     return near.unionByName(search(left, chunks, k, chunk_block, query_block))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """``query_id, text`` against ``chunk_id, text``: number of distinct query words a chunk has."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}-]+"), lambda w: w != "")))
-    q = queries.select("query_id", words(F.col("text")).alias("w"))
-    c = chunks.select("chunk_id", words(F.col("text")).alias("w"))
-    score = q.join(c, "w").groupBy("query_id", "chunk_id").agg(F.count("*").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def _most_words(k: int):
+    """A block of queries and one of chunks -> the k chunks of most words in common with each query; slice by slice, so that memory is bounded."""
+
+    def read(t: pa.Table, name: str):
+        """The distinct ids, nulls last, and the owner and value of each word, in order of owners."""
+        t = t.sort_by(name).combine_chunks()
+        ids = t[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        words = pc.split_pattern(t["words"].combine_chunks(), " ")
+        return ids.dictionary, np.repeat(ids.indices.to_numpy().astype(np.int64), pc.list_value_length(words).to_numpy()), words.flatten()
+
+    def run(key, q: pa.Table, c: pa.Table) -> pa.Table:
+        rows = []
+        if len(q) and len(c):
+            (asked, holder, own), (chunks, of, words) = read(q, "query_id"), read(c, "chunk_id")
+            known = pc.unique(own)
+            number = pc.index_in(own, value_set=known).to_numpy()
+            order = np.argsort(number, kind="stable")
+            holder, first = holder[order], np.searchsorted(number[order], np.arange(len(known) + 1))  # the queries of each word
+            word = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+            word, of = word[word >= 0], of[word >= 0]
+            times = np.diff(first)[word]
+            start = np.searchsorted(of, np.arange(len(chunks) + 1))
+            met = np.append(0, np.cumsum(times))[start]
+            i = 0
+            while i < len(chunks):
+                j = min(i + max(1, CELLS // len(asked)), int(np.searchsorted(met, met[i] + CELLS, "right")) - 1, len(chunks))
+                j = max(i + 1, j)
+                at, t = word[start[i] : start[j]], times[start[i] : start[j]]
+                who = holder[np.repeat(first[at] - np.cumsum(t) + t, t) + np.arange(t.sum())]
+                score = np.bincount(who * (j - i) + np.repeat(of[start[i] : start[j]] - i, t), minlength=len(asked) * (j - i)).reshape(-1, j - i)
+                best = np.argsort(-score, 1, kind="stable")[:, :k]
+                value = np.take_along_axis(score, best, 1)
+                row, nth = np.nonzero(value)
+                rows.append((row, i + best[row, nth], value[row, nth]))
+                i = j
+        if not rows:
+            return pa.table({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "score": pa.array([], pa.int64())})
+        row, col, value = (pa.array(np.concatenate(x)) for x in zip(*rows, strict=True))
+        return pa.table({"query_id": asked.take(row), "chunk_id": chunks.take(col), "score": value})
+
+    return run
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, chars: int = CHAR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, text`` against ``chunk_id, text``: number of distinct query words a chunk has.
+
+    Both sides are dealt into blocks of counted size, each pair of blocks keeps
+    its k best of each query, and the few survivors are ranked: a common word
+    makes no row for each chunk and query. Rows of one id add up.
+    """
+    # no word has a space; joined by it they travel in fewer bytes than as an array
+    own = lambda c: F.array_join(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}-]+"), lambda w: w != "")), " ")
+    q = queries.select("query_id", own(F.col("text")).alias("words")).where("words <> ''")
+    c = chunks.select("chunk_id", own(F.col("text")).alias("words")).where("words <> ''")
+    size = lambda df, rows, name: df.agg(F.ceil(F.greatest(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)) / chars, F.count("*") / rows, F.lit(1))).cast("long").alias(name))
+    blocks = F.broadcast(size(chunks, chars, "parts").crossJoin(size(queries, query_block, "asked")))  # one row
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    left = q.crossJoin(blocks).select("query_id", "words", deal("query_id", "asked").alias("block"), every("parts").alias("share"))
+    right = c.crossJoin(blocks).select("chunk_id", "words", deal("chunk_id", "parts").alias("share"), every("asked").alias("block"))
+    keys, kind = ("share", "block"), {x: df.schema[x].dataType.simpleString() for df, x in ((queries, "query_id"), (chunks, "chunk_id"))}
+    score = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_most_words(k), f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, score long")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("chunk_id"))
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 

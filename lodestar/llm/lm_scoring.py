@@ -31,11 +31,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.folds import held_out
-from lodestar.llm.tokens import Words, mix64, pieces
+from lodestar.llm.tokens import Words, mix64, pieces, utf8
 from lodestar.session import materialise, small_batches
 
 CLASSES, SLOTS, BUCKETS, HEAD, SIZE = 64, 96, 512, 1 << 17, 16
@@ -60,9 +61,9 @@ def _inputs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _count(batches):
     for batch in pieces(batches, "text", CHUNK):
-        codes, words = Words(batch.column("text"), lower=True).distinct()
+        codes, words = Words(batch.column("text"), lower=True).coded()
         n = np.bincount(codes, minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["word", "c"])
+        yield pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["word", "c"])
         yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([batch.num_rows])], ["word", "c"])
 
 
@@ -81,13 +82,16 @@ class Vocabulary:
     weight: np.ndarray
     end_weight: float
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is frequent, symbol, weight) of distinct words."""
-        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
-        tail = np.fromiter((w[-1] | (w[-2] << 8 if len(w) > 1 else 0) for w in words), np.uint64, len(words))
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(is frequent, symbol, weight) of distinct words, none of them empty."""
+        data, to = utf8(words)
+        two = np.diff(to) > 1
+        tail = data[to[1:] - 1].astype(np.uint64) | np.where(two, data[to[1:] - 1 - two], 0).astype(np.uint64) << np.uint64(8)
         shared = (OWN + 1 + (mix64(tail) % np.uint64(BUCKETS)).astype(np.int64)).astype(np.int64)
         if not self.words:
-            return at >= 0, shared, np.zeros(len(at))
+            return np.zeros(len(words), bool), shared, np.zeros(len(words))
+        found = pc.index_in(words.cast(pa.large_binary()), pa.array(self.words, pa.large_binary())).fill_null(-1).to_numpy(zero_copy_only=False)
+        at = np.append(np.fromiter(self.words.values(), np.int64, len(self.words)), -1)[found]
         hit = at >= 0
         return hit, np.where(hit & (self.symbol[at] >= 0), self.symbol[at], shared), np.where(hit, self.weight[at], 0)
 
@@ -177,15 +181,15 @@ class Network:
         out = np.empty(len(place))
         for i in range(0, len(place), block):
             q, k = self.predicted(one[i : i + block], two[i : i + block]), place[i : i + block] // SLOTS
-            z = q @ self.classes[:, :-1].T + self.classes[:, -1]
-            out[i : i + block] = _log_softmax(z, k)
-            order = np.argsort(k, kind="stable")
+            q = np.column_stack([q, np.ones(len(q), q.dtype)])  # meets the bias
+            for j in range(0, len(q), BATCH):  # fits a core's cache
+                out[i + j : i + min(j + BATCH, len(q))] = _log_softmax(q[j : j + BATCH] @ self.classes.T, k[j : j + BATCH])
+            order = _order(k)
             bound = np.searchsorted(k[order], np.arange(CLASSES + 1))
             for c in np.flatnonzero(np.diff(bound)).tolist():
                 own = order[bound[c] : bound[c + 1]]
                 o = self.places[c * SLOTS : (c + 1) * SLOTS]
-                z = q[own] @ o[:, :-1].T + o[:, -1]
-                out[i + own] += _log_softmax(z, place[i + own] % SLOTS)
+                out[i + own] += _log_softmax(q[own] @ o.T, place[i + own] % SLOTS)
         return out
 
 
@@ -201,6 +205,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """A stable order of numbers below SYMBOLS, by radix."""
+    return np.argsort(symbols.astype(np.int16), kind="stable")
+
+
 class Trainer:
     """Noise-contrastive estimation over batches of tokens, with Adagrad steps a row."""
 
@@ -214,47 +223,48 @@ class Trainer:
 
     def _step(self, x: np.ndarray, squares: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
         """Sums gradients by row, then moves each row by its own rate."""
-        order = np.argsort(rows, kind="stable")
+        order = _order(rows)
         head = np.flatnonzero(np.append(True, np.diff(rows[order]) > 0))
         at, g = rows[order][head], np.add.reduceat(grads[order], head)
         squares[at] += (g * g).mean(1)
         x[at] -= self.rate * g / np.sqrt(squares[at])[:, None]
 
     def learn(self, one: np.ndarray, two: np.ndarray, place: np.ndarray) -> None:
-        order = np.argsort(place // SLOTS, kind="stable")
+        order = _order(place // SLOTS)
         one, two, place = one[order], two[order], place[order]
         net, n = self.net, len(place)
         k = place // SLOTS
         q = net.predicted(one, two)
-        d_q = np.zeros_like(q)
+        with_one = np.column_stack([q, np.ones(n, np.float32)])  # meets the bias
+        d_all = np.zeros_like(with_one)
 
-        def terms(vectors, weight):
+        def terms(vectors, shift, true):
             """Gradients of one output row a token."""
-            nonlocal d_q
-            d_q += weight[:, None] * vectors[:, :-1]
-            return np.column_stack([weight[:, None] * q, weight])
+            weight = (_sigmoid(np.einsum("ij,ij->i", with_one, vectors) - shift) - true)[:, None]
+            np.add(d_all, weight * vectors, out=d_all)
+            return weight * with_one
 
         # classes: one true, NOISE drawn by frequency and shared by the batch
         drawn = self.rng.choice(CLASSES, NOISE, p=self.noise)
         shift = np.log(NOISE * self.noise).astype(np.float32)
         own = net.classes[k]
-        g_true = terms(own, _sigmoid((q * own[:, :-1]).sum(1) + own[:, -1] - shift[k]) - 1)
+        g_true = terms(own, shift[k], 1)
         o = net.classes[drawn]
         g = _sigmoid(q @ o[:, :-1].T + o[:, -1] - shift[drawn])
-        d_q += g @ o[:, :-1]
-        noise_rows = np.column_stack([g.T @ q, g.sum(0)])
+        d_all += g @ o
+        noise_rows = g.T @ with_one
         head = np.flatnonzero(np.append(True, np.diff(k) > 0))
         class_rows, class_grads = np.append(k[head], drawn), np.concatenate([np.add.reduceat(g_true, head), noise_rows])
         # slots of the true class: one true, NOISE_SLOTS drawn evenly
         slots = self.rng.integers(0, SLOTS, NOISE_SLOTS)
         shift = np.float32(np.log(NOISE_SLOTS / SLOTS))
         own = net.places[place]
-        rows, grads = [place], [terms(own, _sigmoid((q * own[:, :-1]).sum(1) + own[:, -1] - shift) - 1)]
+        rows, grads = [place], [terms(own, shift, 1)]
         for s in slots.tolist():
             o = net.places[k * SLOTS + s]
-            g = terms(o, _sigmoid((q * o[:, :-1]).sum(1) + o[:, -1] - shift))
             rows.append(k[head] * SLOTS + s)
-            grads.append(np.add.reduceat(g, head))
+            grads.append(np.add.reduceat(terms(o, shift, 0), head))
+        d_q = d_all[:, :-1]
         r1, r2 = net.context[one], net.context[two]
         self._step(net.context, self.squares[0], np.append(one, two), np.concatenate([d_q * net.scales[0], d_q * net.scales[1]]))
         self._step(net.scales, self.squares[3], np.arange(2), np.stack([(d_q * r1).sum(0), (d_q * r2).sum(0)]))
@@ -273,7 +283,7 @@ def _learn(vocab: Vocabulary, counts: np.ndarray, visits: float):
         trainer, credit = Trainer(Network.start(counts), counts), 1.0
         for batch in pieces(batches, "text", CHUNK):
             w = Words(batch.column("text"), lower=True)
-            codes, words = w.distinct()
+            codes, words = w.coded()
             one, two, own, _ = _sequence(w, vocab.look_up(words)[1][codes])
             own, size = place_of[own], min(BATCH, len(own) // 16 + 1)
             for i in [*range(0, len(own), size)] * passes:
@@ -295,10 +305,10 @@ def _symbol_sizes(vocab: Vocabulary):
     def run(batches):
         n, v = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
         for batch in batches:
-            words, c = [w.encode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy()
-            some = np.array([bool(w) for w in words], bool)  # the end of a text has no word
+            words, c = batch.column("word"), batch.column("c").to_numpy()
+            some = pc.not_equal(words, END)  # the end of a text has no word
             symbol = np.full(len(words), STOP, np.int64)
-            symbol[some] = vocab.look_up([w for w in words if w])[1]
+            symbol[some.to_numpy(zero_copy_only=False)] = vocab.look_up(words.filter(some))[1]
             n += np.bincount(symbol, c, SYMBOLS).astype(np.int64)
             v += np.bincount(symbol, minlength=SYMBOLS)
         at = np.flatnonzero(v)
@@ -342,7 +352,7 @@ def _score(model: Model):
         for batch in pieces(batches, "text", CHUNK):
             w = Words(batch.column("text"), lower=True)
             n = batch.num_rows
-            codes, words = w.distinct()
+            codes, words = w.coded()
             frequent, symbols, weight = (x[codes] for x in model.vocab.look_up(words))
             one, two, own, doc = _sequence(w, symbols)
             neural = np.bincount(doc, model.net.log_probability(one, two, model.place[own]) / np.log(10) - model.share[own], n)
@@ -356,7 +366,7 @@ def _score(model: Model):
             ids, marks, out = (batch.column(i) for i in range(3))
             rows = pa.StructArray.from_arrays([pa.array((np.diff(w.first) + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(within + neural)], ["n_tokens", "known", "base", "score"])
             yield pa.RecordBatch.from_arrays([ids, marks, out, pa.array([f" {i}.{m}" for i, m in zip(ids.to_pylist(), marks.to_pylist(), strict=True)]), pa.array(np.ones(n, np.int64)), rows], ["doc_id", "mark", "held_out", "word", "times", "stats"])
-            every = pa.array(words, pa.binary()).cast(pa.string())
+            every = words.cast(pa.binary()).cast(pa.string())
             for i in range(0, len(pair), 50_000):
                 d, c = pa.array(owner[i : i + 50_000]), pa.array(code[i : i + 50_000])
                 yield pa.RecordBatch.from_arrays([ids.take(d), marks.take(d), out.take(d), every.take(c), pa.array(times[i : i + 50_000].astype(np.int64)), pa.nulls(len(c), rows.type)], ["doc_id", "mark", "held_out", "word", "times", "stats"])

@@ -120,12 +120,17 @@ class Words:
         self.end = np.flatnonzero(gap & ~before)
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
-        """(number of its distinct word for each word, the distinct words); told apart by their bytes."""
+    def coded(self) -> tuple[np.ndarray, pa.Array]:
+        """(number of its distinct word for each word, the distinct words as large binary); told apart by their bytes."""
         ends = np.append(0, np.cumsum(self.end - self.start))
         packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(self.data[~self.gap])])
         coded = packed.dictionary_encode()
-        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """``coded`` with the distinct words as a list."""
+        codes, words = self.coded()
+        return codes, words.to_pylist()
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """XXH3 of each word, 128 bits in two arrays."""

@@ -304,7 +304,7 @@ def _symbol_sizes(vocab: Vocabulary):
 
     def run(batches):
         n, v = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, "word", CHUNK):  # words are looked up many at once
             words, c = batch.column("word"), batch.column("c").to_numpy()
             some = pc.not_equal(words, END)  # the end of a text has no word
             symbol = np.full(len(words), STOP, np.int64)

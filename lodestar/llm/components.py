@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import materialise
+from lodestar.session import materialise, measured
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -32,8 +32,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
-        e = materialise(_small(_large(e)), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        e, now = measured(_small(_large(e)), "edges", n=F.count("*"), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if now == seen:
             return e
         seen = now

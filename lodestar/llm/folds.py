@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,12 @@ def held_out(doc_id: Column, n: int, r: int) -> Column:
 
 
 def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = FIT_CHARS) -> tuple[list, list[str]]:
+    """``sample_column`` with the texts as a list."""
+    labels, texts = sample_column(docs, labelled, doc_id, text, chars)
+    return labels, texts.to_pylist()
+
+
+def sample_column(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", chars: int = FIT_CHARS) -> tuple[list, pa.Array]:
     """(labels, texts) of ``labelled`` (``id, label``: a sample of bounded size), in order of id.
 
     One text is taken of each id, however many rows repeat it, and texts are
@@ -35,9 +42,11 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", t
             taken.append((r.id, r.h, r.n, r.label))
             left -= r.n
     if not taken:
-        return [], []
+        return [], pa.array([], pa.string())
     wanted = docs.sparkSession.createDataFrame([x[:3] for x in taken], f"w_id {kind}, w_h long, w_n int")
     found = row.join(F.broadcast(wanted), (F.col("d") == F.col("w_id")) & (F.col("h") == F.col("w_h")) & (F.col("n") == F.col("w_n")))
-    texts = {r.w_id: r.t for r in found.groupBy("w_id").agg(F.min("t").alias("t")).collect()}
+    # in Arrow batches as tasks give them: neither the driver's JVM nor its Python holds them as objects
+    texts = found.groupBy("w_id").agg(F.min("t").alias("t")).toArrow()
+    at = {x: i for i, x in enumerate(texts["w_id"].to_pylist())}
     taken.sort(key=lambda x: x[0])
-    return [x[3] for x in taken], [texts[x[0]] for x in taken]
+    return [x[3] for x in taken], texts["t"].combine_chunks().take(pa.array([at[x[0]] for x in taken]))

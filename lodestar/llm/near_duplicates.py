@@ -39,7 +39,7 @@ from lodestar.llm.decontamination import row_key
 from lodestar.llm.rows import packed, unpacked
 from lodestar.llm.simhash import allot, estimate, group_bits
 from lodestar.llm.tokens import Words, mix64, pieces, windows
-from lodestar.session import materialise, small_batches
+from lodestar.session import materialise, measured, small_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 LONGS = 8
@@ -157,19 +157,24 @@ def _keys(partitions: list[tuple[list[int], int]]):
     return run
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, broadcast if it is small; ``most``: of how many rows it is known not to have more."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS or df.count() <= BROADCAST_ROWS else df
 
 
 def _near(a, b):
     return F.bit_count(a.bitwiseXOR(b)) <= FAR
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` whose shingle sets are similar; only the sets of texts in pairs travel."""
-    pairs = materialise(pairs, "near-pairs")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """The pairs ``u, v`` whose shingle sets are similar; only the sets of texts in pairs travel. ``most``: the pairs are written already and not more than so many."""
+    if most is None:
+        pairs, seen = measured(pairs, "near-pairs", n=F.count("*"))
+        most = seen["n"]
+    if not most:
+        return pairs.select("u", "v")
     ids = pairs.select(F.col("u").alias("i")).union(pairs.select("v")).distinct()
-    sets = sets.join(_few(ids), F.col("uid") == F.col("i"), "left_semi")
+    sets = sets.join(_few(ids, 2 * most), F.col("uid") == F.col("i"), "left_semi")
     one = sets.select(F.col("uid").alias("u1"), F.col("shingles").alias("s1"))
     two = sets.select(F.col("uid").alias("u2"), F.col("shingles").alias("s2"))
     both = pairs.join(one, F.col("u") == F.col("u1")).join(two, F.col("v") == F.col("u2"))
@@ -186,17 +191,17 @@ def links(reps: DataFrame, sets: DataFrame, partitions: list[tuple[list[int], in
     keyed = reps.select("uid", "fp").mapInArrow(_keys(partitions), "slot int, key long, uid long, f long")
     place = F.struct(F.xxhash64("uid", "slot").alias("h"), F.col("uid").alias("uid"), F.col("f").alias("f"))
     counts = keyed.groupBy(F.col("slot").alias("k_slot"), F.col("key").alias("k_key")).agg(F.count("*").alias("n"), F.min(place).alias("leader"))
-    counts = materialise(counts.where("n > 1"), "near-keys")
+    counts, seen = measured(counts.where("n > 1"), "near-keys", few=F.count_if(F.col("n") <= pairs), many=F.count_if(F.col("n") > pairs))
     on = (F.col("slot") == F.col("k_slot")) & (F.col("key") == F.col("k_key"))
     few = counts.where(F.col("n") <= pairs).select("k_slot", "k_key")
-    groups = keyed.join(_few(few), on, "left_semi").groupBy("slot", "key").agg(F.array_sort(F.collect_list(F.struct("uid", "f"))).alias("m"))
+    groups = keyed.join(_few(few, seen["few"]), on, "left_semi").groupBy("slot", "key").agg(F.array_sort(F.collect_list(F.struct("uid", "f"))).alias("m"))
     each = groups.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
     found = each.where(_near(F.col("a.f"), F.col("b.f"))).select(*_pair(F.col("a.uid"), F.col("b.uid"))).distinct()
     edges = materialise(_verified(found, sets, similarity), "near-links")
 
-    crowd = materialise(keyed.join(_few(counts.where(F.col("n") > pairs)), on).select("uid", "f", "slot", "key", "n", "leader"), "near-crowds")
-    if crowd.isEmpty():
+    if not seen["many"]:
         return components(edges)
+    crowd = materialise(keyed.join(_few(counts.where(F.col("n") > pairs), seen["many"]), on).select("uid", "f", "slot", "key", "n", "leader"), "near-crowds")
     led = crowd.where((F.col("leader.uid") != F.col("uid")) & _near(F.col("f"), F.col("leader.f")))
     first = led.groupBy("uid").agg(F.min("leader").alias("l")).select(*_pair(F.col("uid"), F.col("l.uid"))).distinct()
     edges = edges.unionByName(materialise(_verified(first, sets, similarity), "near-links"))
@@ -207,17 +212,18 @@ def links(reps: DataFrame, sets: DataFrame, partitions: list[tuple[list[int], in
     rest = rest.where(F.col("o").isNotNull() & (F.col("o.uid") != F.col("uid")) & _near(F.col("f"), F.col("o.f")))
     rest = materialise(rest.select(*_pair(F.col("uid"), F.col("o.uid"))).distinct(), "near-candidates")
     root = _joined(components(edges), rest, sets, similarity)
-    mixed = _mixed(crowd, root)
-    return root if mixed.isEmpty() else _joined(root, _apart(mixed, sets, similarity), sets, similarity)
+    mixed, texts = _mixed(crowd, root)
+    return _joined(root, _apart(mixed, sets, similarity), sets, similarity) if texts else root
 
 
-def _mixed(crowd: DataFrame, root: DataFrame) -> DataFrame:
-    """``uid, r``: the texts of crowds that are not all of one group r."""
+def _mixed(crowd: DataFrame, root: DataFrame) -> tuple[DataFrame, int]:
+    """``uid, r``: the texts of crowds that are not all of one group r; and how many."""
     rooted = crowd.join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("uid") == F.col("m"), "left").select("uid", F.coalesce("r", "uid").alias("r"), "slot", "key")
     rooted = materialise(rooted, "near-rooted")
     split = rooted.groupBy(F.col("slot").alias("k_slot"), F.col("key").alias("k_key")).agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b")
     mixed = rooted.join(split.select("k_slot", "k_key"), (F.col("slot") == F.col("k_slot")) & (F.col("key") == F.col("k_key")), "left_semi")
-    return materialise(mixed.select("uid", "r").distinct(), "near-mixed")
+    mixed, seen = measured(mixed.select("uid", "r").distinct(), "near-mixed", n=F.count("*"))
+    return mixed, seen["n"]
 
 
 def _apart(mixed: DataFrame, sets: DataFrame, similarity: float, size: int = BLOCK) -> DataFrame:
@@ -229,7 +235,7 @@ def _apart(mixed: DataFrame, sets: DataFrame, similarity: float, size: int = BLO
     only the first ones of a set meet those of others, block by block.
     """
     asked = mixed.select(F.col("uid").alias("i"), "r")
-    held = sets.join(_few(asked), F.col("uid") == F.col("i")).select("uid", "r", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    held = sets.join(_few(asked, asked.count()), F.col("uid") == F.col("i")).select("uid", "r", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
     among = lambda df: df.groupBy(F.col("key").alias("k_key")).agg(F.count("*").alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("k_key", "n")
     listed = held.join(among(held), F.col("key") == F.col("k_key")).groupBy("uid", "r", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("m"))
     placed = listed.select("uid", "r", "size", F.size("m").alias("all"), F.posexplode("m").alias("at", "m")).select("uid", "r", "size", F.col("m.key").alias("key"), (F.col("all") - F.col("at")).alias("rest"))
@@ -255,12 +261,12 @@ def _joined(root: DataFrame, rest: DataFrame, sets: DataFrame, similarity: float
         for c in ("u", "v"):
             rest = rest.drop(f"r_{c}").join(root.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col(c) == F.col("m"), "left").withColumn(f"r_{c}", F.coalesce("r", c)).drop("m", "r")
         among = Window.partitionBy(F.least("r_u", "r_v"), F.greatest("r_u", "r_v"), F.pmod(F.xxhash64("u", "v"), F.lit(8))).orderBy(F.xxhash64("u", "v"), "u", "v")
-        rest = materialise(rest.where("r_u <> r_v").withColumn("nth", F.row_number().over(among)), "near-candidates")
-        left = rest.count()
+        rest, seen = measured(rest.where("r_u <> r_v").withColumn("nth", F.row_number().over(among)), "near-candidates", n=F.count("*"))
+        left = seen["n"]
         if not left:
             return root
         now = rest if left <= AT_ONCE else rest.where(F.col("nth") <= 16**tries)
-        met = _verified(now.select("u", "v"), sets, similarity).join(now.select(F.col("u").alias("x"), F.col("v").alias("y"), "r_u", "r_v"), (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")))
+        met = _verified(now.select("u", "v"), sets, similarity, left).join(now.select(F.col("u").alias("x"), F.col("v").alias("y"), "r_u", "r_v"), (F.col("u") == F.col("x")) & (F.col("v") == F.col("y")))
         # groups that met: their roots alone are joined, and the texts below them follow
         joined = components(met.select(F.col("r_u").alias("u"), F.col("r_v").alias("v")))
         below = root.join(joined.select(F.col("u").alias("m"), F.col("v").alias("r")), F.col("v") == F.col("m"), "left").select("u", F.coalesce("r", "v").alias("v"))
@@ -283,8 +289,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     t = d.mapInArrow(_features(shingle), "doc_id long, row_key string, seq binary, fp binary, shingles array<long>")
     t = materialise(t.withColumn("uid", F.monotonically_increasing_id()), "near-features")
     classes = materialise(t.groupBy(F.col("seq").alias("c_seq")).agg(F.min("uid").alias("rep")), "near-classes")
-    reps = materialise(t.select("uid", "fp", "seq").join(classes, F.col("uid") == F.col("rep"), "left_semi").select("uid", "fp"), "near-texts")
-    n = reps.count()
+    reps, seen = measured(t.select("uid", "fp", "seq").join(classes, F.col("uid") == F.col("rep"), "left_semi").select("uid", "fp"), "near-texts", n=F.count("*"))
+    n = seen["n"]
     p, corr = statistics(reps, n)
     found = links(reps, t.select("uid", "shingles"), plan(n, p, corr), similarity)
     rooted = classes.join(found, F.col("rep") == F.col("u"), "left").select("c_seq", F.coalesce("v", "rep").alias("root"))

@@ -45,7 +45,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 1 << 20)
+            size = 1 << max(16, (n - 1).bit_length())
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1

@@ -23,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.folds import FIT_CHARS, held_out, sample_texts
+from lodestar.llm.folds import FIT_CHARS, held_out, sample_column
 from lodestar.llm.rows import packed, row_type, unpacked
 from lodestar.llm.tokens import MARKS, Words, codepoints, pieces
 from lodestar.session import small_batches
@@ -41,7 +42,7 @@ PREFIXES = (5, 6, 7, 8)
 L1 = 2e-4
 #: Weights of a sentence up to this sum tell nothing, however many such sentences there are.
 TELLING = 1.0
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -57,10 +58,13 @@ class Model:
 class Bags:
     """Word features by sentence by document."""
 
-    def __init__(self, column: pa.Array, bits: int = FEATURE_BITS):
+    def __init__(self, column: pa.Array, bits: int = FEATURE_BITS, named: bool = False):
         w = Words(column, lower=True, breaks=MARKS)
         self.words = w
-        self.feature = (w.features(*PREFIXES) >> np.uint64(64 - bits)).astype(np.int64)
+        hashed = w.features(*PREFIXES)
+        self.name = hashed[0].copy() if named else None
+        hashed >>= np.uint64(64 - bits)
+        self.feature = hashed.view(np.int64)
         size = w.end - w.start
         self.own = [size >= 0, *(size > k for k in PREFIXES)]  # shorter words have no such beginning
         ends = np.zeros(len(w.data) + 1, np.int64)
@@ -89,46 +93,58 @@ class Bags:
         return -np.expm1(-np.bincount(self.of, s, self.n))
 
 
-def _pairs(bags: Bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sentence, feature) of each occurrence, and the document of each sentence."""
-    n = len(bags.head)
-    at = np.repeat(np.arange(n, dtype=np.int32), np.diff(np.append(bags.head, bags.feature.shape[1])))
-    sentence = np.concatenate([at[own] for own in bags.own])
-    return sentence, np.concatenate([f[own] for f, own in zip(bags.feature, bags.own, strict=True)]).astype(np.int32), bags.of
-
-
-def _parts(texts: list[str], docs: int = 256, chars: int = 1 << 20):
-    """Ranges of at most ``docs`` texts and about ``chars`` characters (one text at least)."""
-    i, size = 0, 0
-    for j, t in enumerate(texts):
-        if j > i and (j - i == docs or size + len(t) > chars):
+def _parts(sizes: np.ndarray, docs: int = 256, size: int = 1 << 18):
+    """Ranges of at most ``docs`` texts and about ``size`` bytes (one text at least)."""
+    i, held = 0, 0
+    for j, n in enumerate(sizes.tolist()):
+        if j > i and (j - i == docs or held + n > size):
             yield i, j
-            i, size = j, 0
-        size += len(t)
-    if texts:
-        yield i, len(texts)
+            i, held = j, 0
+        held += n
+    if len(sizes):
+        yield i, len(sizes)
 
 
-def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = L1) -> Model:
+def _coded(texts: pa.Array, bits: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """((words by number, first word of each sentence) of each part, features of each distinct word, document of each sentence).
+
+    A word is held as one number of four bytes, whatever its features; a beginning it does not have is feature 2^bits.
+    """
+    parts, owners, features = [], [np.zeros(0, np.int32)], [np.zeros((1 + len(PREFIXES), 0), np.int32)]
+    every, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # distinct words so far, in order of name
+    for i, j in _parts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+        bags = Bags(texts.slice(i, j - i), bits, named=True)
+        if not len(bags.head):
+            continue
+        name, first, code = np.unique(bags.name, return_index=True, return_inverse=True)
+        at = np.searchsorted(every, name)
+        new = (at == len(every)) | (np.append(every, np.uint64(0))[at] != name)
+        fresh = np.arange(len(every), len(every) + new.sum(), dtype=np.int32)
+        every, number = np.insert(every, at[new], name[new]), np.insert(number, at[new], fresh)
+        own = first[new]
+        features.append(np.where(np.stack(bags.own)[:, own], bags.feature[:, own], 1 << bits).astype(np.int32))
+        parts.append((number[np.searchsorted(every, name)][code], bags.head.astype(np.int32)))
+        owners.append((bags.of + i).astype(np.int32))
+    return parts, np.concatenate(features, axis=1), np.concatenate(owners)
+
+
+def train(labels: list[int], texts: list[str] | pa.Array, bits: int = FEATURE_BITS, steps: int = 200, rate: float = 0.1, l1: float = L1) -> Model:
     """Adam with soft thresholding over all features (most get weight zero); without both labels a constant model."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << bits, np.float32), -20.0 if len(y) == 0 or not y.max() else 20.0, True)
-    # occurrences stay in parts, so that nothing but their four-byte numbers grows with the sample
-    pairs, owners, n_s = [], [], 0
-    for i, j in _parts(texts):
-        sentence, feature, of = _pairs(Bags(pa.array(texts[i:j], pa.string()), bits))
-        pairs.append((n_s, len(of), sentence, feature))
-        owners.append((of + i).astype(np.int32))
-        n_s += len(of)
-    of = np.concatenate(owners)
+    parts, features, of = _coded(pa.array(texts, pa.string()), bits)
+    n_s = len(of)
     # weights, bias, and the leak of a document: what the words do not explain, whatever its length
     theta = np.zeros((1 << bits) + 2)
     theta[-2] = max(np.log(y.mean() / max(n_s / len(y), 1)), LEAST_BIAS)
     theta[-1] = np.log(np.expm1(-np.log1p(-y.mean() / 2)))
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
-        b, over = theta[-2], np.concatenate([np.bincount(sentence, theta[feature], n) for _, n, sentence, feature in pairs])
+        weights, by_word = np.append(theta[:-2], 0), np.zeros(features.shape[1])
+        for f in features:
+            by_word += weights[f]
+        b, over = theta[-2], np.concatenate([np.zeros(0), *(np.add.reduceat(by_word[code], head) for code, head in parts)])
         # the gate of scoring, raised once there are weights: in the beginning no sentence would pass it
         counts = over > TELLING * min(1.0, 4 * k / steps - 1) if 4 * k > steps else over >= 0
         z = np.where(counts, b + over, b)
@@ -136,9 +152,12 @@ def train(labels: list[int], texts: list[str], bits: int = FEATURE_BITS, steps:
         to_s = np.where(y > 0, -1 / np.expm1(np.clip(s, 1e-9, 500)), 1.0) / len(y)
         p, p_0 = 1 / (1 + np.exp(-np.clip(z, -500, 500))), 1 / (1 + np.exp(-b))
         g_z = to_s[of] * p * counts
-        grad = np.zeros_like(theta)
-        for at, n, sentence, feature in pairs:
-            grad[:-2] += np.bincount(feature, g_z[at : at + n][sentence], 1 << bits)
+        grad, by_word, at = np.zeros_like(theta), np.zeros(features.shape[1]), 0
+        for code, head in parts:
+            by_word += np.bincount(code, np.repeat(g_z[at : at + len(head)], np.diff(np.append(head, len(code)))), len(by_word))
+            at += len(head)
+        for f in features:
+            grad[:-2] += np.bincount(f, by_word, (1 << bits) + 1)[:-1]
         grad[-2:] = (to_s[of] * (p - p_0)).sum(), to_s.sum() / (1 + np.exp(-theta[-1]))
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         size = rate / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
@@ -152,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id), 4, 2))
     known = known.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    return train(*sample_texts(docs, known, doc_id, text, chars))
+    return train(*sample_column(docs, known, doc_id, text, chars))
 
 
 def _score(model: Model, where: bool):

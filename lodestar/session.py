@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,13 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str = "step", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialise``, and aggregates of the rows written, which the writing tasks take along: no job reads them again."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return out, seen.get
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of one Arrow batch, since documents may be very long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
